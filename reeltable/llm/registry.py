@@ -1,6 +1,10 @@
 """Queries of the training-data operators and their SQL."""
 
-from reeltable.llm import hostrules
+from reeltable.llm import hostrules, licenses, simhash
 
-QUERIES = {"op10_host_rules": hostrules.op10_host_rules}
-ORACLES = {"op10_host_rules": hostrules.OP10_SQL}
+QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op2_simhash": simhash.op2_simhash,
+    "op10_host_rules": hostrules.op10_host_rules,
+}
+ORACLES = {"op1_license_scan": licenses.OP1_SQL, "op10_host_rules": hostrules.OP10_SQL}
