@@ -1,10 +1,11 @@
 """Queries of the training-data operators and their SQL."""
 
-from reeltable.llm import hostrules, licenses, simhash
+from reeltable.llm import hostrules, licenses, packing, simhash
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_simhash": simhash.op2_simhash,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op10_host_rules": hostrules.op10_host_rules,
 }
 ORACLES = {"op1_license_scan": licenses.OP1_SQL, "op10_host_rules": hostrules.OP10_SQL}
