@@ -1,10 +1,11 @@
 """Queries of the training-data operators and their SQL."""
 
-from reeltable.llm import cdc, hostrules, licenses, mixing, ogg, packing, sharding, simhash, surrogates
+from reeltable.llm import cdc, hostrules, katz, licenses, mixing, ogg, packing, sharding, simhash, surrogates
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_simhash": simhash.op2_simhash,
+    "op3_katz_scores": katz.op3_katz_scores,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_rake_mix": mixing.op5_rake_mix,
     "op6_ogg_media": ogg.op6_ogg_media,

@@ -33,6 +33,8 @@ TITLES = {
 }
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _TITLE = "|".join(sorted(map(re.escape, _TITLE_GENDER), key=len, reverse=True))
+#: A capital of the scripts that surrogates are made for, then letters.
+_NAME = r"[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪİĶĹĻŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŴŶŸŹŻŽЀ-ЯΆΈ-ΏΑ-Ω][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 #: type, what must be in a text for a search to be worth it (one of these strings, or none), pattern; group e is the entity.
 PATTERNS = (
     ("email", ("@",), re.compile(r"(?P<e>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")),
@@ -43,7 +45,7 @@ PATTERNS = (
     ("ssn", ("-",), re.compile(r"(?<![\d-])(?P<e>\d{3}-\d{2}-\d{4})(?![\d-])")),
     ("phone", (), re.compile(r"(?<![\w.+])(?P<e>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5})(?!\d)")),
     ("iban", (), re.compile(r"(?<![A-Z0-9])(?P<e>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
-    ("person", tuple(_TITLE_GENDER), re.compile(rf"(?<!\w)(?P<t>{_TITLE})\.? (?P<e>[^\W\d_]+(?:[-'’][^\W\d_]+)*(?: [^\W\d_]+(?:[-'’][^\W\d_]+)*){{0,2}})")),
+    ("person", tuple(_TITLE_GENDER), re.compile(rf"(?<!\w)(?P<t>{_TITLE})\.? (?P<e>{_NAME}(?: {_NAME}){{0,2}})(?!\w)")),
 )
 _THREE_DIGITS = re.compile(r"\d{3}|\d\.\d")
 DIGIT_TYPES = {"ip", "card", "ssn", "phone", "iban"}
@@ -65,11 +67,6 @@ def detect(text: str | None) -> list[tuple[str, int, int, str]]:
             a, b, gender = m.start("e"), m.end("e"), ""
             if kind == "person":
                 gender = _TITLE_GENDER[m["t"]]
-                parts = m["e"].split(" ")
-                named = next((i for i, p in enumerate(parts) if not p[0].isupper() or len(p) < 2), len(parts))
-                if not named:
-                    continue
-                b = a + len(" ".join(parts[:named]))
             if kind == "secret" and not any(c.isdigit() for c in m["e"]):
                 continue
             if all(b <= x or a >= y for _, x, y, _ in found):
