@@ -125,9 +125,9 @@ def pipeline_latency_running(s, d):
     return A.pipeline_latency_running(utc(view(s, d, "trace"))).select(*ID, F.round("avg_ms", 5).alias("avg_ms"), "frame_num", F.round("interval_ms", 5).alias("interval_ms"))
 
 
-@query("latency_by_interval", """, t AS (SELECT element, epoch_us(src_ts) / 1000 AS "at", frame_id, latency_ms, row_number() OVER (PARTITION BY element ORDER BY src_ts, frame_id) AS n FROM trace),
-walk AS (SELECT element, n, at, latency_ms, at AS beg, 0 AS no, false AS close FROM t WHERE n = 1
-  UNION ALL SELECT t.element, t.n, t.at, t.latency_ms, CASE WHEN w.close THEN w.at ELSE w.beg END, CASE WHEN w.close THEN w.no + 1 ELSE w.no END, t.at - (CASE WHEN w.close THEN w.at ELSE w.beg END) >= 86400000
+@query("latency_by_interval", """, t AS (SELECT element, epoch_us(src_ts) / 1000 AS tick, frame_id, latency_ms, row_number() OVER (PARTITION BY element ORDER BY src_ts, frame_id) AS n FROM trace),
+walk AS (SELECT element, n, tick, latency_ms, tick AS beg, 0 AS no, false AS close FROM t WHERE n = 1
+  UNION ALL SELECT t.element, t.n, t.tick, t.latency_ms, CASE WHEN w.close THEN w.tick ELSE w.beg END, CASE WHEN w.close THEN w.no + 1 ELSE w.no END, t.tick - (CASE WHEN w.close THEN w.tick ELSE w.beg END) >= 86400000
   FROM walk w JOIN t ON t.element = w.element AND t.n = w.n + 1)
 SELECT element, CAST(no AS BIGINT) AS interval_no, count(*) AS frames, round(avg(latency_ms), 6) AS avg_ms, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms FROM walk GROUP BY ALL""")
 def latency_by_interval(s, d):
