@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from reeltable.llm.common import own_names, table
+from reeltable.llm.common import carried, own_names, table
 
 MIN_BYTES, MAX_BYTES, MIN_WORDS = 16, 128, 18
 CUT_BITS, CUT_SHIFT = 31, 10  # a cut at one byte in 32
@@ -141,7 +141,9 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return b"".join([*kept, raw[at:]]).decode()
 
     spans = repeated_spans(docs, min_words).where("not is_first").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # at most a text's chunks
-    return docs.join(spans, docs["doc_id"] == spans["_id"], "left").withColumn("text", F.udf(cut, StringType(), useArrow=True)("_spans", "text")).select(*docs.columns)
+    rows = carried(docs, "doc_id", "text")
+    joined = rows.join(spans, rows["doc_id"] == spans["_id"], "left").withColumn("_cut", F.udf(cut, StringType(), useArrow=True)("_spans", "text"))
+    return joined.select(*(F.col("_cut").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

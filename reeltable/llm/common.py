@@ -49,6 +49,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(df: DataFrame, *names: str) -> DataFrame:
+    """Each row whole as `_row`, beside these columns (null where missing): what an operator adds can't clash with the row's own columns."""
+    have = set(df.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    return df.select(row, *(F.col(f"`{n}`") if n in have else F.lit(None).cast("string").alias(n) for n in names))
+
+
 def own_names(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns; a missing one is null. Extra columns can't clash with what an operator adds."""
     have = set(df.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reeltable.llm.common import WORD, let, own_names, table, written
+from reeltable.llm.common import WORD, carried, let, own_names, table, written
 
 #: A host goes when its shrunken failure rate is above this.
 MAX_RATE = 0.6
@@ -76,23 +76,35 @@ def host_verdicts(scored: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 
 
 def judge(scored: DataFrame, hosts: DataFrame) -> DataFrame:
-    """scored with `host_rate` and `kept`. The join has no hint: few hosts are broadcast, many are shuffled and hot ones split by AQE."""
+    """scored with `host_rate` and `kept`. The join has no hint: hosts is a written table, whose size Spark
+    knows, so few hosts are broadcast, and many are shuffled and hot ones split by AQE."""
     verdicts = hosts.select("host", "host_rate", "host_kept")
     joined = scored.join(verdicts, scored["source"].eqNullSafe(verdicts["host"]), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_kept"), F.lit(True))).drop("host", "host_kept")
 
 
+def judged(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+    """docs' rows as `_row` with metrics, host_rate and kept. Texts are read once: the scored rows are a written table."""
+    scored = written(score_documents(carried(docs, "doc_id", "text", "source")).drop("doc_id", "text"))
+    return judge(scored, written(host_verdicts(scored, max_rate)))
+
+
 def host_rules(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """docs with metrics, host_rate and kept. Texts are read once: the scored rows are a written table."""
-    scored = written(score_documents(docs))
-    return judge(scored, host_verdicts(scored, max_rate))
+    """docs with metrics, base_failed, host_rate and kept, which take the place of columns of these names."""
+    added = (*METRICS, "base_failed", "host_rate", "kept")
+    return judged(docs, max_rate).select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in added), *added)
+
+
+def keep_good(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+    """docs without those that fail the base rules or whose host is rejected."""
+    return judged(docs, max_rate).where("kept").select("_row.*")
 
 
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = own_names(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     scored = written(score_documents(docs).drop("text"))
-    judged = judge(scored, host_verdicts(scored))
-    return judged.select("doc_id", *METRICS, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
+    found = judge(scored, written(host_verdicts(scored)))
+    return found.select("doc_id", *METRICS, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
 OP10_SQL = r"""

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reeltable.llm.common import WORD, own_names, table, written
+from reeltable.llm.common import WORD, carried, own_names, table, written
 
 DIMS = ("source", "lang", "topic")
 #: Exponents that temper each dimension's shares; 1 keeps a dimension as it is, 0 makes it even.
@@ -101,8 +101,8 @@ def sample_mix(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     fitted = calibrate(rake(cells, {dim: written(targets_of(cells, dim, None)) for dim in DIMS}), keep)
     cell = {"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": topic_of(F.coalesce(F.col("text"), F.lit("")))}
     chances = fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.col("probability").alias("_p"))
-    joined = docs.withColumns(cell).join(chances, [*cell], "left")
-    return joined.where(chance(F.col("doc_id")) < F.coalesce("_p", F.lit(keep))).select(*docs.columns)
+    joined = carried(docs, "doc_id", "text", "source", "lang").withColumns(cell).drop("text", "source", "lang").join(chances, [*cell], "left")
+    return joined.where(chance(F.col("doc_id")) < F.coalesce("_p", F.lit(keep))).select("_row.*")
 
 
 def op5_rake_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

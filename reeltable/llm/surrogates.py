@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from reeltable.llm.common import own_names, table, written
+from reeltable.llm.common import carried, own_names, table, written
 
 KEY = b"reeltable surrogate key"  # a deployment gives its own
 TITLES = {
@@ -232,9 +232,10 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, count: str | None = None) ->
 
     found = written(own_names(docs, "doc_id", "text").select(F.col("doc_id").alias("_id"), F.explode(_entities("text")).alias("e")).select("_id", "e.kind", "e.canon").distinct())
     redrawn = redraws(found.select("kind", "canon").distinct(), key)
-    of_doc = found.join(redrawn, ["kind", "canon"]).groupBy("_id").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_redrawn"))  # a document's own entities
-    joined = docs.join(of_doc, docs["doc_id"].eqNullSafe(of_doc["_id"]), "left").withColumn("_put", put("text", "_redrawn"))
-    columns = [F.col("_put.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count]
+    of_doc = written(found.join(redrawn, ["kind", "canon"]).groupBy("_id").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_redrawn")))  # a document's own entities
+    rows = carried(docs, "doc_id", "text")
+    joined = rows.join(of_doc, rows["doc_id"].eqNullSafe(of_doc["_id"]), "left").withColumn("_put", put("text", "_redrawn"))
+    columns = [F.col("_put.text").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c != count]
     return joined.select(*columns, *([F.col("_put.n").alias(count)] if count else []))
 
 
