@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 
 from reeltable.llm.common import carried, own_names, table
 
-MIN_BYTES, MAX_BYTES, MIN_WORDS = 16, 128, 18
-CUT_BITS, CUT_SHIFT = 31, 10  # a cut at one byte in 32
+MIN_BYTES, MAX_BYTES, MIN_WORDS = 12, 96, 16
+CUT_SHIFT, CUT_BELOW = 8, 10  # a cut where eight bits of the hash are below ten: at one byte in 26
 
 
 def gear_table() -> np.ndarray:
@@ -49,7 +49,7 @@ def cuts_of(raw: bytes) -> list[int]:
     whole = np.ones(len(data), dtype=bool)  # a character starts after this byte
     whole[:-1] = (data[1:] & 0xC0) != 0x80
     ends, last = [], 0
-    for c in (np.flatnonzero(((h >> np.uint32(CUT_SHIFT)) & CUT_BITS == 0) & whole) + 1).tolist() + [len(raw)]:
+    for c in (np.flatnonzero(((h >> np.uint32(CUT_SHIFT)) & np.uint32(255) < CUT_BELOW) & whole) + 1).tolist() + [len(raw)]:
         while c - last > MAX_BYTES:
             cut = last + MAX_BYTES
             while not whole[cut - 1]:

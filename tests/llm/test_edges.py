@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, for each operator and stage."""
 
+import bisect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -111,7 +113,18 @@ def test_pieces_of_long_texts(docs):
     assert packing.pack_documents(docs.limit(0)).collect() == []
 
 
-def test_plans_are_as_short_as_can_be():
+def best_fit_decreasing(histogram):
+    free, bins = [], 0
+    for x in sorted(histogram, reverse=True):
+        for _ in range(histogram[x]):
+            i = bisect.bisect_left(free, x)
+            room = free.pop(i) if i < len(free) else 4096
+            bins += room == 4096
+            bisect.insort(free, room - x)
+    return bins
+
+
+def test_plans_are_whole_and_no_longer_than_best_fit():
     rng = np.random.default_rng(4)
     for _ in range(20):
         h = {int(x): int(n) for x, n in zip(rng.integers(1, 4097, 300), rng.integers(1, 50, 300), strict=True)}
@@ -122,8 +135,12 @@ def test_plans_are_as_short_as_can_be():
             for x in filling:
                 made[x] = made.get(x, 0) + times
         assert made == h
-        bins = sum(t for _, t in plan)
-        assert bins <= 1.02 * max(sum(x * n for x, n in h.items()) / 4096, sum(n for x, n in h.items() if x > 2048)) + 1
+        assert sum(t for _, t in plan) <= best_fit_decreasing(h)
+
+
+def test_plans_find_exact_fillings():
+    # Best fit takes 2000 + 2000, which leaves 96; the search finds 2000 + 1996 + 100.
+    assert sum(t for _, t in packing.plan_packing({2000: 6, 1996: 6, 100: 6})) == 6
 
 
 def test_ogg_faults():
@@ -207,7 +224,7 @@ def test_planted_passages_are_found_and_others_left(spark):
             rows.append((i, prose(150)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"] for r in cdc.repeated_spans(df).collect()}
-    assert got <= planted and len(got) >= 0.95 * len(planted)
+    assert got <= planted and len(got) >= 0.97 * len(planted)
     kept = {r["doc_id"]: r["text"] for r in cdc.drop_repeats(df).collect()}
     assert all(kept[i] == t for i, t in rows if i not in got)
     assert all(len(kept[i + 1]) < len(dict(rows)[i + 1]) for i in got if i % 6 == 0)
