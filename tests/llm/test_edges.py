@@ -186,6 +186,7 @@ def test_surrogates_keep_format():
     assert any("Ѐ" <= c <= "ӿ" for c in new.split("г-жа ")[1])
     card = new.split(", ")[2]
     assert len(card) == 19 and surrogates._luhn(card.replace(" ", "")) == 0
+    assert surrogates.replace("order 4111111111111112, 9807915762804490") == ("order 4111111111111112, 9807915762804490", 0)
     assert surrogates.replace("nothing here, 12.5 % of 2024-01-02") == ("nothing here, 12.5 % of 2024-01-02", 0)
 
 
