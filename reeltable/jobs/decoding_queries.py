@@ -62,7 +62,8 @@ def decode_yolo_v8(s, d):
     return D.decode_yolo_v8(t).select("stream_id", "frame_id", "roi_id", *boxcols(), "label_id")
 
 
-@query("decode_yolo_v7")
+@query("decode_yolo_v7", f"""SELECT stream_id, frame_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY i) - 1 AS INT) AS roi_id, round(m[1] - m[3] / 2 + 1e-9, 6) AS x_min, round(m[2] + m[4] / 2 + 1e-9, 6) AS y_max, round(conf + 1e-9, 6) AS confidence, CAST(list_position(m[6:8], list_max(m[6:8])) - 1 AS INT) AS label_id
+FROM (SELECT *, m[5] * list_max(m[6:8]) AS conf FROM (SELECT CAST(vec_id % 16 AS INT) AS stream_id, vec_id AS frame_id, i, list_transform(v[i * 8 + 1:i * 8 + 8], lambda x: abs(x) * 8) AS m FROM (SELECT vec_id, {VEC} AS v FROM embeddings), range(0, 8) AS t(i))) WHERE m[5] >= 0.3 AND conf >= 0.3""")
 def decode_yolo_v7(s, d):
     t = vectors(s, d).withColumns({"data": F.transform("data", lambda v: F.abs(v) * 8), "dims": F.array(F.lit(8), F.lit(8))})
     return D.decode_yolo_v7(t, 0.3).select("stream_id", "frame_id", "roi_id", *boxcols(), "label_id")
@@ -194,14 +195,11 @@ def kept(s, d):
     return N.nms(wanted(s, d)).withColumns({c: F.round(c, 4) + 1 for c in ("x_min", "y_min", "x_max", "y_max")})
 
 
-@query("frames_json")
+@query("frames_json", nms_sql(", best_ AS (SELECT * REPLACE (round(x_min, 4) + 1 AS x_min, round(y_min, 4) + 1 AS y_min, round(x_max, 4) + 1 AS x_max, round(y_max, 4) + 1 AS y_max) FROM best)" + JSON))
 def frames_json(s, d):
     return S.frames_to_json(view(s, d, "frames"), kept(s, d))
 
 
-nms_sql(", best_ AS (SELECT * REPLACE (round(x_min, 4) + 1 AS x_min, round(y_min, 4) + 1 AS y_min, round(x_max, 4) + 1 AS x_max, round(y_max, 4) + 1 AS y_max) FROM best)" + JSON)("frames_json")
-
-
 @query("explode_objects", """SELECT stream_id, frame_id, roi_id, label, confidence, round(x_max + 1e-9, 6) AS x_max FROM detections""")
 def explode_objects(s, d):
     """Documents made from the detections and read again give the detections."""

@@ -163,46 +163,36 @@ def filter_in_boundary(s, d):
     return N.filter_in_boundary(dets(s, d).withColumns({"width": F.lit(640), "height": F.lit(360)})).select(*KEY)
 
 
-#: Greedy suppression as a recursive query: best box first, a box stays if no kept one overlaps it by more than half.
-NMS_SQL = f"""RECURSIVE_MARK, ranked AS (SELECT *, row_number() OVER (PARTITION BY stream_id, frame_id ORDER BY confidence DESC, roi_id) AS n FROM detections WHERE label IN ('person', 'vehicle') AND confidence >= 0.5),
-over_ AS (SELECT b.stream_id, b.frame_id, b.n AS n, list(a.n) AS better FROM ranked a JOIN ranked b ON a.stream_id = b.stream_id AND a.frame_id = b.frame_id AND a.n < b.n
-  WHERE {PAIR} / (a.w * a.h + b.w * b.h - {PAIR}) > 0.5 GROUP BY ALL),
+def nms_sql(select: str, where: str = "label IN ('person', 'vehicle') AND confidence >= 0.5", over: str = f"{PAIR} / (a.w * a.h + b.w * b.h - {PAIR}) > 0.5") -> str:
+    """Greedy suppression as a recursive query: best box first, a box stays if no kept one is over it."""
+    return f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY stream_id, frame_id ORDER BY confidence DESC, roi_id) AS n FROM detections WHERE {where}),
+over_ AS (SELECT b.stream_id, b.frame_id, b.n AS n, list(a.n) AS better FROM ranked a JOIN ranked b ON a.stream_id = b.stream_id AND a.frame_id = b.frame_id AND a.n < b.n WHERE {over} GROUP BY ALL),
 walk AS (SELECT stream_id, frame_id, CAST(1 AS BIGINT) AS n, [CAST(1 AS BIGINT)] AS kept FROM ranked WHERE n = 1
   UNION ALL SELECT w.stream_id, w.frame_id, w.n + 1, CASE WHEN len(list_intersect(w.kept, coalesce(o.better, []))) = 0 THEN list_append(w.kept, w.n + 1) ELSE w.kept END
   FROM walk w JOIN ranked r ON r.stream_id = w.stream_id AND r.frame_id = w.frame_id AND r.n = w.n + 1 LEFT JOIN over_ o ON o.stream_id = r.stream_id AND o.frame_id = r.frame_id AND o.n = r.n),
 kept AS (SELECT stream_id, frame_id, arg_max(kept, n) AS kept FROM walk GROUP BY ALL),
 best AS (SELECT r.* FROM ranked r JOIN kept k ON r.stream_id = k.stream_id AND r.frame_id = k.frame_id WHERE list_contains(k.kept, r.n))
-"""
-
-
-def nms_sql(select):
-    from reeltable.jobs.registry import ORACLES
-    from reeltable.sources.views import with_views
-
-    def put(f_name):
-        ORACLES[f_name] = with_views(NMS_SQL.replace("RECURSIVE_MARK", "") + select).replace("WITH ", "WITH RECURSIVE ", 1)
-
-    return put
+{select}"""
 
 
 def wanted(s, d):
     return D.filter_object_class(D.filter_confidence(dets(s, d)), ["person", "vehicle"])
 
 
-@query("nms")
+@query("nms", nms_sql("SELECT stream_id, frame_id, roi_id FROM best"))
 def nms(s, d):
     return N.nms(wanted(s, d)).select(*KEY)
 
 
-nms_sql("SELECT stream_id, frame_id, roi_id FROM best")("nms")
-
-
-@query("nms_per_class")
+@query("nms_per_class", nms_sql("SELECT stream_id, frame_id, roi_id, label FROM best", over=f"a.label = b.label AND {PAIR} / (a.w * a.h + b.w * b.h - {PAIR}) > 0.5"))
 def nms_per_class(s, d):
     return N.nms(wanted(s, d), per_class=True).select(*KEY, "label")
 
 
-@query("nms_union_min")
+INCLUSIVE = """greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) + 1) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) + 1)"""
+
+
+@query("nms_union_min", nms_sql("SELECT stream_id, frame_id, roi_id FROM best", "true", f"{INCLUSIVE} / least((a.w + 1) * (a.h + 1), (b.w + 1) * (b.h + 1)) > 0.7"))
 def nms_union_min(s, d):
     return N.nms_union_min(dets(s, d), "min", 0.7).select(*KEY)
 

@@ -83,7 +83,11 @@ def loop_frames(s, d):
     return W.loop_frames(frames(s, d), 10, 35)
 
 
-@query("fps_by_interval")
+@query("fps_by_interval", """, t AS (SELECT pts, count(*) AS frames, list(DISTINCT stream_id) AS streams, row_number() OVER (ORDER BY pts) AS n FROM frames GROUP BY pts),
+walk AS (SELECT n, pts, frames, streams, pts AS beg, 0 AS no, false AS close FROM t WHERE n = 1
+  UNION ALL SELECT t.n, t.pts, t.frames, t.streams, CASE WHEN w.close THEN w.pts ELSE w.beg END, CASE WHEN w.close THEN w.no + 1 ELSE w.no END, t.pts - (CASE WHEN w.close THEN w.pts ELSE w.beg END) >= 1000000000 FROM walk w JOIN t ON t.n = w.n + 1),
+s AS (SELECT CAST(no AS BIGINT) AS interval_no, CAST(sum(frames) AS BIGINT) AS frames, CAST(len(list_distinct(flatten(list(streams)))) AS INT) AS streams, (max(pts) - min(beg)) / 1e9 AS seconds FROM walk GROUP BY no)
+SELECT interval_no, frames, streams, round(seconds, 6) AS seconds, round(frames / seconds, 6) AS fps, round(frames / seconds / streams, 6) AS fps_per_stream FROM s WHERE seconds > 0""")
 def fps_by_interval(s, d):
     return A.fps_by_interval(frames(s, d)).withColumns({c: F.round(c, 6) for c in ("seconds", "fps", "fps_per_stream")})
 
