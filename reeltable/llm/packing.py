@@ -6,7 +6,7 @@ fillings around it depth first (longest first, best fit as the first incumbent,
 lengths must leave), and repeat the best filling as often as its lengths last. Each step uses up at least one length,
 so there are at most `capacity` patterns. The documents then meet their patterns in Spark: each piece gets a number
 among those of its length (counted by salted groups, so that no length is one task's), and a lookup turns length and
-number into sequence and offset. The lookup has at most `capacity` * MAX_LENGTHS rows and is broadcast.
+number into sequence and offset. The lookup has at most `capacity` * MAX_PIECES rows and is broadcast.
 
 Defined results: a null or empty text is a document of its closing id alone (length 1). Repeated rows, also of one
 doc_id, are packed as documents of their own. An empty table gives an empty result. Only doc_id and text are read.
@@ -16,9 +16,13 @@ Full pieces (length = capacity) are patterns of one.
 from __future__ import annotations
 
 import functools
+import os
 import re
+import string
+import struct
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +34,15 @@ from pyspark.sql.window import Window
 from reeltable.llm.common import own_names, table, written
 
 CAPACITY, CLOSING_ID = 4096, 1
-#: A filling takes at most so many different lengths, and a search looks at most at so many fillings; best fit always ends.
-MAX_LENGTHS, MAX_NODES = 24, 400
+#: A search looks at so many fillings at most, each of so many pieces at most; shorter sequences than need be are the only price.
+MAX_PIECES, MAX_NODES = 256, 400
 SALTS = 64
-WORD_CACHE = 1 << 18
+WORD_CACHE = 1 << 20
+BEHIND, PAST_LATIN = string.punctuation.replace("'", ""), "\u0250"  # an apostrophe may begin a token group with letters
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level tokenizers write printable bytes as themselves and the others, in order, as the letters from U+0100 on.
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+ODD_SPACE = re.compile("[\x1c-\x1f]")  # Python splits at these, the tokenizer doesn't
 
 
 def default_tokenizer() -> str:
@@ -42,63 +51,46 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """ids of whole texts. Texts repeat words, and this tokenizer joins nothing across white space, so ids are kept by word.
+class WordEncoder(dict):
+    """ids of whole texts, kept by word: texts repeat words, and this tokenizer joins nothing across white space.
 
-    New words of letters, with or without a comma or full stop, are encoded together and parted at the tokens that end
-    words; other new words one by one. Texts with the tokenizer's special strings, with separators that only Python
-    takes for white space, or not in the tokenizer's normal form go to it whole.
+    New words of Latin letters, with or without punctuation behind, go to the tokenizer's model in its lower case and
+    byte letters; other new words to the whole tokenizer. Texts with the tokenizer's special strings, with separators
+    that only Python takes for white space, or not in the tokenizer's normal form go to it whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
-        self.ends = np.zeros(max(ends) + 3, dtype=bool)
-        self.ends[ends] = True
-        self.ids: dict[str, bytes] = {}
-
-    def direct(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def learn(self, words: list[str]) -> None:
-        ids = self.ids
-        if len(ids) + len(words) > WORD_CACHE:
-            ids.clear()
-        cores: dict[str, bytes] = {}
-        for w in words:
-            core = w[:-1] if w[-1] in ".," else w
-            if core.isalpha():
-                cores[core] = b""
-            else:
-                ids[w] = self.direct(w).tobytes()
-        if not cores:
-            return
-        joined = self.direct(" ".join(cores))
-        cuts = np.flatnonzero(self.ends[joined]) + 1
-        if len(cuts) != len(cores):
-            raise ValueError("the tokenizer doesn't end each word with one token")
-        raw, at = joined.tobytes(), 0
-        for core, cut in zip(cores, cuts.tolist(), strict=True):
-            cores[core] = raw[4 * at : 4 * cut]
-            at = cut
-        marks = {m: self.direct(m).tobytes() for m in ".,"}
-        for w in words:
-            if w not in ids:
-                ids[w] = cores[w] if w in cores else cores[w[:-1]] + marks[w[-1]]
-
-    def encode(self, text: str) -> np.ndarray:
-        if "<|" in text or not unicodedata.is_normalized("NFC", text) or re.search("[\x1c-\x1f]", text):
+        self.pieces = self.tokenizer.model.tokenize
+
+    def direct(self, text: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        core = word.rstrip(BEHIND)
+        if core.isalpha() and (core.isascii() or max(core) < PAST_LATIN and core.lower().isalpha()):
+            low = core.lower()
+            ids = [p.id for p in self.pieces(low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_LETTERS))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(core) < len(word):
+                found += self[word[len(core) :]]  # punctuation is a token group of its own
+        else:
+            found = self.direct(word)
+        self[word] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        """The text's ids, each as four bytes, the lowest first."""
+        if "<|" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text)) or ODD_SPACE.search(text):
             return self.direct(text)
-        words = text.split()
-        known = list(map(self.ids.get, words))
-        if None in known:
-            missing = list(dict.fromkeys(w for w, k in zip(words, known, strict=True) if k is None))
-            for at in range(0, len(missing), WORD_CACHE // 4):
-                self.learn(missing[at : at + WORD_CACHE // 4])
-            known = [self.ids.get(w) or self.direct(w).tobytes() for w in words]
-        return np.frombuffer(b"".join(known), dtype="<u4")
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 @functools.cache
@@ -112,17 +104,18 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     path = tokenizer or default_tokenizer()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, closing = encoder_of(path), np.array([closing_id], dtype="<u4")
+        encoder, closing = encoder_of(path), closing_id.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
             held = 0
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.concatenate([encoder.encode(text.as_py() or ""), closing])
-                for piece, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc_id.as_py(), piece, at, len(part), part.tobytes()))
-                    held += len(part)
-                if held > 1 << 21:
+                ids = encoder.encode(text.as_py() or "") + closing
+                doc = doc_id.as_py()
+                for piece, at in enumerate(range(0, len(ids) // 4, capacity)):
+                    part = ids[4 * at : 4 * (at + capacity)]
+                    rows.append((doc, piece, at, len(part) // 4, part))
+                held += len(ids)
+                if held > 1 << 23:
                     yield _pieces(rows)
                     rows, held = [], 0
             yield _pieces(rows)
@@ -137,68 +130,84 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
 
 
 def complete_bin(counts: dict[int, int], lengths: list[int], capacity: int) -> list[int]:
-    """The filling around the longest length: lengths is sorted, ascending, and has only lengths with counts > 0."""
-    top = lengths[-1]
-    best: list[int] = []
-    best_free = capacity - top + 1
-    nodes = 0
-    smallest = lengths[0]
-
-    def descend(free: int, below: int, filling: list[int], used: dict[int, int]) -> bool:
-        """Adds lengths of at most `below`. True once nothing can be better."""
+    """The filling around the longest length with the least waste that the search finds; lengths is sorted, ascending,
+    and has only lengths with counts > 0. The first filling is the best-fit one, and a branch goes where even all that
+    is left of the lengths it may use wastes as much as the incumbent."""
+    top, smallest = lengths[-1], lengths[0]
+    best, best_free, nodes = [top], capacity - top, 0
+
+    def descend(free: int, below: int, filling: list[int]) -> bool:
+        """Adds lengths of at most `below`. True once nothing can be better or the search has had its turn."""
         nonlocal best, best_free, nodes
         nodes += 1
         if free < best_free:
             best, best_free = list(filling), free
-            if free == 0:
-                return True
-        if free < smallest or len(used) >= MAX_LENGTHS:
+        if best_free == 0 or nodes >= MAX_NODES:
+            return True
+        if free < smallest or len(filling) >= MAX_PIECES:
             return False
         i = bisect_right(lengths, min(below, free)) - 1
-        tried = 0
-        while i >= 0 and nodes < MAX_NODES:
+        while i >= 0:
             length = lengths[i]
-            # All that is left to add is of this length or shorter: what it can't fill is waste that must beat the incumbent.
-            if used.get(length, 0) < counts[length]:
-                if tried and free - length >= smallest and nodes > MAX_NODES // 2:
-                    return False  # a longer one fits in its place, which dominates unless it ends exactly
-                used[length] = used.get(length, 0) + 1
+            left = counts[length] - filling.count(length)
+            if left > 0:
                 filling.append(length)
-                if descend(free - length, length, filling, used):
+                if descend(free - length, length, filling):
                     return True
                 filling.pop()
-                used[length] -= 1
-                if not used[length]:
-                    del used[length]
-                tried += 1
-                if free - length >= best_free and free - length < smallest:
-                    return False  # shorter ones leave more waste
+            if i < 3 and free - sum(x * counts[x] for x in lengths[:i]) >= best_free:
+                return False  # waste bound: all that is left can't fill enough
             i -= 1
         return False
 
-    descend(capacity - top, min(top, capacity - top), [top], {top: 1})
-    return best or [top]
+    descend(capacity - top, min(top, capacity - top), [top])
+    return best
 
 
-def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths of a filling, how often it is made), at most one for each length there is."""
+def completed(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Patterns by bin completion: the filling around the longest open length, as often as its lengths last."""
     counts = {length: n for length, n in histogram.items() if n > 0}
     lengths, patterns = sorted(counts), []
     while lengths:
         filling = complete_bin(counts, lengths, capacity)
-        uses: dict[int, int] = {}
-        for x in filling:
-            uses[x] = uses.get(x, 0) + 1
+        uses = Counter(filling)
         times = min(counts[x] // n for x, n in uses.items())
         patterns.append((filling, times))
         for x, n in uses.items():
             counts[x] -= n * times
             if not counts[x]:
                 lengths.remove(x)
-        # A length that is left with fewer than the filling needs takes another filling next time.
     return patterns
 
 
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Patterns of best-fit decreasing. Bins alike are counted, not listed, so the work is bounded by the lengths too."""
+    open_: list[list] = []  # [free, filling, bins], ascending by free
+    for length in sorted(histogram, reverse=True):
+        n = histogram[length]
+        while n:
+            i = bisect_left(open_, length, key=lambda g: g[0])
+            free, filling, bins = open_.pop(i) if i < len(open_) else (capacity, [], -1)
+            each = free // length
+            whole = n // each if bins < 0 else min(bins, n // each)
+            if whole:
+                insort(open_, [free - each * length, filling + [length] * each, whole], key=lambda g: g[0])
+                n -= whole * each
+            if bins - whole > 0 or bins < 0 and n:
+                if 0 < n < each:  # one bin takes the rest
+                    insort(open_, [free - n * length, filling + [length] * n, 1], key=lambda g: g[0])
+                    n, whole = 0, whole + 1
+                if bins - whole > 0:
+                    insort(open_, [free, filling, bins - whole], key=lambda g: g[0])
+    return [(filling, bins) for _, filling, bins in open_]
+
+
+def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """(lengths of a filling, how often it is made): bin completion's plan, or best fit's where that has fewer sequences."""
+    plans = completed(histogram, capacity), best_fit({x: n for x, n in histogram.items() if n > 0}, capacity)
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
 def slots(patterns: list[tuple[list[int], int]]) -> list[tuple]:
     """(length, from, to, uses, sequence, offset): of a length's pieces, number k in [from, to) goes to sequence + (k - from) // uses, at offset + length * ((k - from) % uses)."""
     found, sequence, taken = [], 0, {}
@@ -219,17 +228,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
     groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    by_group = {(r["length"], r["_salt"]): r["n"] for r in groups.collect()}  # at most capacity * SALTS numbers
-    histogram: dict[int, int] = {}
-    before = []
-    for length, salt in sorted(by_group):
-        before.append((length, salt, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + by_group[length, salt]
-    offsets = spark.createDataFrame(before, "length long, _salt long, _before long")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity numbers
+    earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)  # of at most SALTS rows
+    offsets = groups.select("length", "_salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
     lookup = spark.createDataFrame(slots(plan_packing(histogram, capacity)), "length long, _from long, _to long, _uses long, _sequence long, _offset long")
     own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    numbered = salted.withColumn("_row", F.row_number().over(own) - 1).join(F.broadcast(offsets), ["length", "_salt"]).withColumn("_k", F.col("_before") + F.col("_row"))
-    # Both lookups are bounded by the capacity (and SALTS), not by the documents.
+    numbered = salted.withColumn("_row", F.row_number().over(own) - 1).join(offsets, ["length", "_salt"]).withColumn("_k", F.col("_before") + F.col("_row"))
+    # The lookup is bounded by the capacity, not by the documents.
     placed = numbered.join(F.broadcast(lookup), (numbered["length"] == lookup["length"]) & (F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_to"))).drop(lookup["length"])
     k = F.col("_k") - F.col("_from")
     placed = placed.withColumns({"sequence_id": F.col("_sequence") + F.floor(k / F.col("_uses")), "offset": F.col("_offset") + F.col("length") * F.pmod(k, F.col("_uses"))})

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, for each operator and stage."""
 
 import bisect
+import random
 
 import numpy as np
 import pytest
@@ -113,6 +114,15 @@ def test_pieces_of_long_texts(docs):
     assert packing.pack_documents(docs.limit(0)).collect() == []
 
 
+def test_words_are_encoded_as_whole_texts_are():
+    rng = random.Random(1)
+    encoder = packing.encoder_of(packing.default_tokenizer())
+    letters = "abcXYZéÉßñÑœŒ'.,!-_1٣αΣςЖжİıſ\u212aÅ ́ \u00a0 \u2003\t\x1c#$<|>ªǅŉ日🙂"
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+        assert encoder.encode(text) == encoder.direct(text), text
+
+
 def best_fit_decreasing(histogram):
     free, bins = [], 0
     for x in sorted(histogram, reverse=True):
