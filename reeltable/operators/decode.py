@@ -51,8 +51,8 @@ def decode_boxes(boxes: DataFrame, labels: DataFrame | None = None, scores: Data
     return out.where(F.col("confidence") >= threshold)
 
 
-def _grid(t: DataFrame, decode: Callable[[np.ndarray, Sequence[int]], np.ndarray]) -> DataFrame:
-    """decode(data, dims) gives rows of cx, cy, w, h, confidence, label for each tensor; boxes are numbered in its order."""
+def _grid(t: DataFrame, decode: Callable[[np.ndarray, Sequence[int]], np.ndarray], rotated: bool = False) -> DataFrame:
+    """decode(data, dims) gives rows of cx, cy, w, h, confidence, label (and rotation) for each tensor; boxes are numbered in its order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -60,16 +60,17 @@ def _grid(t: DataFrame, decode: Callable[[np.ndarray, Sequence[int]], np.ndarray
             for r in pdf.itertuples():
                 b = decode(np.asarray(r.data, dtype=float), [int(x) for x in r.dims])
                 if len(b):
-                    cx, cy, w, h, conf, label = b.T
-                    out.append(pd.DataFrame({"stream_id": r.stream_id, "frame_id": r.frame_id, "roi_id": np.arange(len(b)), "x_min": cx - w / 2, "y_min": cy - h / 2, "x_max": cx + w / 2, "y_max": cy + h / 2, "confidence": conf, "label_id": label.astype(int)}))
+                    cx, cy, w, h, conf, label = b.T[:6]
+                    turned = {"rotation": b.T[6]} if rotated else {}
+                    out.append(pd.DataFrame({"stream_id": r.stream_id, "frame_id": r.frame_id, "roi_id": np.arange(len(b)), "x_min": cx - w / 2, "y_min": cy - h / 2, "x_max": cx + w / 2, "y_max": cy + h / 2, "confidence": conf, "label_id": label.astype(int), **turned}))
             if out:
                 yield pd.concat(out)
 
-    return t.select(*FRAME, "dims", "data").mapInPandas(run, BOXES)
+    return t.select(*FRAME, "dims", "data").mapInPandas(run, BOXES + ", rotation double" * rotated)
 
 
 def decode_yolo_v8(t: DataFrame, threshold: float = 0.5, obb: bool = False) -> DataFrame:
-    """[4 + C, N], transposed: centre, size and class scores; the greatest must be above the threshold. obb: one row more, the angle."""
+    """[4 + C, N], transposed: centre, size and class scores; the greatest must be above the threshold. obb: one row more, the angle, given as `rotation`."""
 
     def decode(data, dims):
         m = data.reshape(dims[-2], dims[-1]).T
@@ -77,9 +78,9 @@ def decode_yolo_v8(t: DataFrame, threshold: float = 0.5, obb: bool = False) -> D
         best = scores.argmax(axis=1)
         conf = scores[np.arange(len(m)), best]
         keep = conf > threshold
-        return np.column_stack([m[:, :4], conf, best])[keep]
+        return np.column_stack([m[:, :4], conf, best, *([m[:, -1]] if obb else [])])[keep]
 
-    return _grid(t, decode)
+    return _grid(t, decode, obb)
 
 
 def decode_yolo_v7(t: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -117,6 +117,22 @@ def test_grid_decoders_put_boxes_in_cells(spark):
     assert (r["x_min"], r["y_min"], r["x_max"], r["y_max"]) == pytest.approx((0.625, 0.5, 0.875, 1.0))
 
 
+def test_oriented_boxes_have_their_angle(spark):
+    # Two boxes of two classes: rows are cx, cy, w, h, two scores, angle.
+    data = [4.0, 9.0, 5.0, 9.0, 2.0, 2.0, 4.0, 4.0, 0.2, 0.1, 0.9, 0.3, 1.5, 0.5]
+    t = spark.createDataFrame([(0, 1, [7, 2], data)], "stream_id int, frame_id long, dims array<int>, data array<double>")
+    (r,) = decode.decode_yolo_v8(t, obb=True).collect()
+    assert (r["x_min"], r["y_min"], r["x_max"], r["y_max"], r["confidence"], r["label_id"], r["rotation"]) == (3.0, 3.0, 5.0, 7.0, 0.9, 1, 1.5)
+
+
+@pytest.mark.parametrize(("softmax", "want"), [(False, 0.72), (True, 0.8 / (1 + 2.718281828459045**-0.8))])
+def test_boxes_with_class_scores(spark, softmax, want):
+    boxes = spark.createDataFrame([(0, 1, [0.0, 0.0, 10.0, 20.0, 0.8])], "stream_id int, frame_id long, data array<double>")
+    scores = spark.createDataFrame([(0, 1, [1, 2], [0.1, 0.9])], "stream_id int, frame_id long, dims array<int>, data array<double>")
+    (r,) = decode.decode_boxes(boxes, scores=scores, input_w=20, input_h=40, softmax=softmax).collect()
+    assert (r["x_max"], r["y_max"], r["label_id"], r["confidence"]) == (0.5, 0.5, 1, pytest.approx(want))
+
+
 def test_short_texts_of_ctc_are_blank(spark):
     step = lambda k: [1.0 if i == k else 0.0 for i in range(4)]
     make = lambda ks: (0, len(ks), [len(ks), 4], [v for k in ks for v in step(k)])
