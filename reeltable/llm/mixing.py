@@ -12,10 +12,18 @@ Defined results: null source or language is a value of its own (""); a null or e
 document takes its cell's probability; a cell without tokens has weight 1. Rows that repeat a doc_id are sampled
 alike. An empty table gives an empty result. Only sums by cell are shuffled; a cell is one row, and marginals are
 sums with partial aggregation, so neither a hot source nor a hot language is one task's.
+
+That fixed number of rounds is what op5's SQL demands of its query; it misses the targets where the cap takes much. The
+sample of the pipeline's stage comes from `reached` instead: it rakes under the bound that no probability is over 1
+until every share meets its target, and keeps as many tokens, up to the wanted share, as the targets allow. For that
+the cells, a row each, are fitted on the driver.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +33,8 @@ DIMS = ("source", "lang", "topic")
 #: Exponents that temper each dimension's shares; 1 keeps a dimension as it is, 0 makes it even.
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 ROUNDS, CAP_ROUNDS, KEEP = 6, 3, 0.75
+#: Of `reached`: the largest miss of a share, and rounds in which that must come.
+TOLERANCE, MOST_ROUNDS = 1e-4, 2000
 #: First match wins; a topic is told from the whole text.
 TOPICS = (("legal", "(?i)licen[sc]e|copyright|rights reserved"), ("contact", "@|[+]1 [(]"), ("tabular", "[|]"), ("technical", "[#$%&=<>]"))
 OTHER = "prose"
@@ -79,6 +89,88 @@ def calibrate(fitted: DataFrame, keep: float) -> DataFrame:
     return found.drop("_full")
 
 
+@dataclass
+class Fit:
+    """A probability for each cell (its names in the order of DIMS), the share of tokens kept, and the largest miss of a share."""
+
+    cells: list[tuple]
+    probability: np.ndarray
+    kept: float
+    miss: float
+
+
+def _scaled(tokens: np.ndarray, p: np.ndarray, wanted: float) -> np.ndarray:
+    """min(1, f * p) for the f that makes sum(tokens * min(1, f * p)) what is wanted, or all that p allows."""
+    if wanted >= tokens[p > 0].sum():
+        return (p > 0).astype(float)
+    order = np.argsort(-p)
+    t, q = tokens[order], p[order]
+    full = np.concatenate(([0.0], np.cumsum(t)[:-1]))  # if so many of the largest are at 1
+    rest = np.cumsum((t * q)[::-1])[::-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        f = (wanted - full) / rest
+        k = int(np.argmax((f * q <= 1) & (rest > 0)))
+    return np.minimum(1.0, f[k] * p)
+
+
+def bounded_rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], kept: float) -> tuple[np.ndarray, float]:
+    """Probabilities <= 1 with kept of all tokens in the target shares, and the largest miss of a share, raked until it is under TOLERANCE."""
+    weight, total = np.ones(len(tokens)), tokens.sum() * kept
+    groups = [[np.flatnonzero(c == g) for g in range(len(t))] for c, t in zip(codes, targets, strict=True)]
+    miss = best = np.inf
+    p = np.minimum(1.0, weight)
+    for turn in range(MOST_ROUNDS):
+        # weight stays unbounded, so that a cell that was cut can come back below 1
+        for of, target in zip(groups, targets, strict=True):
+            for rows, share in zip(of, target, strict=True):
+                cut = _scaled(tokens[rows], weight[rows], share * total)
+                lead = int(np.argmin(cut))
+                if cut[lead] < 1 and weight[rows][lead] > 0:
+                    weight[rows] *= cut[lead] / weight[rows][lead]
+                else:
+                    weight[rows] = np.maximum(weight[rows], 1.0)
+        p = np.minimum(1.0, weight)
+        miss = max(np.abs(np.bincount(c, tokens * p, len(t)) / total - t).max() for c, t in zip(codes, targets, strict=True))
+        if miss < TOLERANCE:
+            break
+        if turn % 50 == 49:
+            if miss > 0.9 * best:
+                break  # no kept share this large has such probabilities
+            best = miss
+    return p, float(miss)
+
+
+def reached(cells: list[tuple], tokens: list[int], targets: list[dict[str, float]], keep: float = KEEP) -> Fit:
+    """The fit with the most tokens, up to keep, whose shares meet the targets. Where none does, as names occur together in too
+    few ways, the one of the smallest miss that was met."""
+    if not cells:
+        return Fit([], np.empty(0), 0.0, 0.0)
+    t = np.array(tokens, dtype=float)
+    names = [sorted(x) for x in targets]
+    codes = [np.array([n.index(c[d]) for c in cells]) for d, n in enumerate(names)]
+    shares = [np.array([x[k] for k in n]) for x, n in zip(targets, names, strict=True)]
+    most = min(keep, *((np.bincount(c, t, len(s)) / np.maximum(s, 1e-300)).min() / t.sum() for c, s in zip(codes, shares, strict=True)))
+    p, miss = bounded_rake(t, codes, shares, most)
+    found = Fit(cells, p, most, miss)
+    low, high = 0.0, most
+    while miss >= TOLERANCE and low == 0 and high > most / 1024 or low and high - low > 0.002 * high:
+        at = (low + high) / 2
+        p, now = bounded_rake(t, codes, shares, at)
+        if now < found.miss or now < TOLERANCE:
+            found = Fit(cells, p, at, now)
+        low, high = (at, high) if now < TOLERANCE else (low, at)
+    return found
+
+
+def fit_of(cells: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None) -> Fit:
+    """The fit of cells (DIMS, tokens)."""
+    held = cells.where("tokens > 0").orderBy(*DIMS).collect()
+    if not held:
+        return reached([], [], [], keep)
+    targets = [{r[0]: r[1] for r in targets_of(cells, dim, (given or {}).get(dim)).collect()} for dim in DIMS]
+    return reached([tuple(r[d] for d in DIMS) for r in held], [r["tokens"] for r in held], targets, keep)
+
+
 def chance(doc_id: Column) -> Column:
     """A number in [0, 1) that hangs on doc_id alone."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
@@ -95,14 +187,16 @@ def mix(docs: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]]
 
 
 def sample_mix(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The sampled ones of docs, with their columns. The cells' probabilities are joined back on the cell, not on doc_id."""
+    """The sampled ones of docs, with their columns, in shares that meet the targets. Cells without tokens take the kept share. The cells' probabilities are joined back on the cell, not on doc_id."""
     told = written(described(docs))
     cells = written(told.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
-    fitted = calibrate(rake(cells, {dim: written(targets_of(cells, dim, None)) for dim in DIMS}), keep)
+    fit = fit_of(cells, keep)
+    rows = [(*c, float(p)) for c, p in zip(fit.cells, fit.probability, strict=True)]
+    fitted = docs.sparkSession.createDataFrame(rows, ", ".join(f"{d} string" for d in DIMS) + ", probability double")
     cell = {"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": topic_of(F.coalesce(F.col("text"), F.lit("")))}
     chances = fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.col("probability").alias("_p"))
     joined = carried(docs, "doc_id", "text", "source", "lang").withColumns(cell).drop("text", "source", "lang").join(chances, [*cell], "left")
-    return joined.where(chance(F.col("doc_id")) < F.coalesce("_p", F.lit(keep))).select("_row.*")
+    return joined.where(chance(F.col("doc_id")) < F.coalesce("_p", F.lit(fit.kept))).select("_row.*")
 
 
 def op5_rake_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
