@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of anything but ASCII white space (space, \t, \n, \v, \f, \r).
 WORD = r"[^\x20\x09-\x0D]+"
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -19,6 +20,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def words_of(text: Column, between: str = SPACES) -> Column:
+    """The words of text, which stand between matches of `between`. Splitting is a quarter of the work of extracting."""
+    return F.filter(F.split(text, between), lambda w: w != "")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` over `value`, which is computed once for each row, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
