@@ -1,7 +1,12 @@
 """Quality rules by host: rule failures are summed by source, their rates shrunk with an empirical beta prior, and the host's verdict goes back to its documents.
 
+The prior's mean is the common rate; its weight comes from how much the hosts' rates differ beyond what chance alone makes
+of so many documents (moments weighted by documents, the binomial noise taken out). Hosts that differ no more than by
+chance share the common rate; hosts that differ as much as they can keep their own.
+
 Defined results: a null or empty text has no words (all counts 0, base_failed). A null source is a host of its own.
 An empty table gives an empty result. Each row is judged by itself, so repeated rows stay and extra columns do no harm.
+A very long text is one row's work, linear but for a sort of its windows. Hosts with a rate at the limit are kept.
 Everything is DataFrame functions; a document never leaves its row, and only sums by host are shuffled.
 """
 
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reeltable.llm.common import WORD, carried, let, own_names, table, written
+from reeltable.llm.common import carried, let, own_names, table, words_of, written
 
 #: A host goes when its shrunken failure rate is above this.
 MAX_RATE = 0.6
@@ -46,32 +51,33 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """docs with the metrics, `base_failed` and `rule_failed` (base or one of the softer rules)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = docs.withColumns({
-        "n_words": F.regexp_count(text, F.lit(WORD)).cast("long"),
-        "word_chars": (F.char_length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "_lines": F.struct(F.size(lines).alias("n"), F.size(F.array_distinct(lines)).alias("d")),
-        "n_repeat_words": repeat_words(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long"),
-    })
-    counted = counted.withColumns({"n_dup_lines": (F.col("_lines.n") - F.col("_lines.d")).cast("long"), "_n_lines": F.col("_lines.n")})
+    of_words = let(words_of(text), lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).cast("long").alias("n_repeat_words")))
+    of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
+    counted = docs.withColumns({"_w": of_words, "_lines": of_lines, "n_symbols": (F.size(F.split(text, r"[#*$%&|<>]")) - 1).cast("long")})
+    counted = counted.withColumns({**{c: F.col(f"_w.{c}") for c in ("n_words", "word_chars", "n_repeat_words")}, "n_dup_lines": (F.col("_lines.n") - F.col("_lines.d")).cast("long"), "_n_lines": F.col("_lines.n")})
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     soft = (F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * F.col("n_words")) | (F.col("n_dup_lines") > MAX_DUP_LINE_SHARE * F.col("_n_lines"))
-    return counted.withColumns({"base_failed": base, "rule_failed": base | soft}).drop("_lines", "_n_lines")
+    return counted.withColumns({"base_failed": base, "rule_failed": base | soft}).drop("_w", "_lines", "_n_lines")
 
 
 def host_verdicts(scored: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """One row a host: n, failed, the shrunken rate and `host_kept`.
+    """One row a host: n, failed, the shrunken rate and `host_kept`. Only sums by host meet, so a hot host costs a row a task.
 
-    The beta prior is fitted by moments to the hosts' own rates; where they don't differ (or there is one host), the
-    prior is as heavy as 100 documents at the common rate. Only sums by host meet, so a hot host costs a row a task.
+    With rates r of n documents each, N in all, k hosts and the common rate m, what the hosts share is
+    rho = (sum n (r - m)^2 / (m (1 - m)) - (k - 1)) / (N - sum n^2 / N - (k - 1)), and the prior weighs 1 / rho - 1 documents.
     """
     hosts = scored.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("rule_failed").cast("long")).alias("failed"))
-    rate = F.col("failed") / F.col("n")
-    prior = hosts.agg((F.sum("failed") / F.sum("n")).alias("mean"), F.var_samp(rate).alias("var"))
-    spread = F.col("mean") * (1 - F.col("mean"))
-    weight = F.when(F.col("var").isNull() | (F.col("var") <= 0) | (F.col("var") >= spread), F.lit(100.0)).otherwise(spread / F.col("var") - 1)
-    prior = prior.select(F.struct("mean", F.least(F.greatest(weight, F.lit(1.0)), F.lit(1000.0)).alias("weight")))
-    shrunk = (F.col("failed") + F.col("p.mean") * F.col("p.weight")) / (F.col("n") + F.col("p.weight"))
+    sums = hosts.agg(
+        F.sum("n").cast("double").alias("n"), F.sum("failed").cast("double").alias("f"), F.sum(F.col("n").cast("double") * F.col("n")).alias("n2"),
+        F.sum(F.col("failed").cast("double") * F.col("failed") / F.col("n")).alias("f2"), F.count("*").alias("k"))
+    mean, extra = F.col("f") / F.col("n"), F.col("k") - 1
+    spread = mean * (1 - mean)
+    beyond = F.col("n") - F.col("n2") / F.col("n") - extra
+    rho = F.when((spread > 0) & (beyond > 0), ((F.col("f2") - F.col("f") * mean) / spread - extra) / beyond).otherwise(F.lit(0.0))
+    prior = sums.select(F.struct(mean.alias("mean"), F.least(F.greatest(rho, F.lit(0.0)), F.lit(1.0)).alias("rho")))
+    weight = 1 / F.col("p.rho") - 1
+    shrunk = F.when(F.col("p.rho") > 0, (F.col("failed") + F.col("p.mean") * weight) / (F.col("n") + weight)).otherwise(F.col("p.mean"))
     return hosts.withColumn("p", prior.scalar()).select("host", "n", "failed", shrunk.alias("host_rate"), (shrunk <= max_rate).alias("host_kept"))
 
 
@@ -124,9 +130,10 @@ m AS (SELECT w.doc_id, w.source, CAST(len(ws) AS BIGINT) AS n_words,
 r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 s AS (SELECT *, base_failed OR n_symbols > 0.5 * n_words OR n_dup_lines > 0.5 * n_lines AS rule_failed FROM r),
 h AS (SELECT source, count(*) AS n, sum(CAST(rule_failed AS INT)) AS failed FROM s GROUP BY source),
-p0 AS (SELECT sum(failed) / sum(n) AS mean, var_samp(failed / n) AS var FROM h),
-p AS (SELECT mean, least(greatest(CASE WHEN var IS NULL OR var <= 0 OR var >= mean * (1 - mean) THEN 100.0 ELSE mean * (1 - mean) / var - 1 END, 1.0), 1000.0) AS weight FROM p0),
-v AS (SELECT source, (failed + mean * weight) / (n + weight) AS host_rate FROM h, p)
+p0 AS (SELECT CAST(sum(failed) AS DOUBLE) / sum(n) AS mean, count(*) - 1 AS others, CAST(sum(n) AS DOUBLE) AS total FROM h),
+p1 AS (SELECT sum(n * pow(failed / n - mean, 2)) AS s, sum(CAST(n AS DOUBLE) * n) AS n2 FROM h, p0),
+p2 AS (SELECT mean, CASE WHEN mean > 0 AND mean < 1 AND total - n2 / total - others > 0 THEN least(1, (s / (mean * (1 - mean)) - others) / (total - n2 / total - others)) ELSE 0 END AS rho FROM p0, p1),
+v AS (SELECT source, CASE WHEN rho > 0 THEN (failed + mean * (1 / rho - 1)) / (n + 1 / rho - 1) ELSE mean END AS host_rate FROM h, p2)
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND host_rate <= 0.6 AS kept, round(host_rate, 6) AS host_rate
 FROM s JOIN v ON s.source IS NOT DISTINCT FROM v.source

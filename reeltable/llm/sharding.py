@@ -1,16 +1,20 @@
 """Sharding by vector bin packing: groups of equal texts go to shards so that bytes, tokens and rows balance jointly.
 
 Each group goes where the dot product of its size vector with the shards' residual capacity is highest, largest groups
-first. The groups are dealt by hash to cells of about GROUPS_PER_CELL; each cell fills its own share of every shard,
-so placing is parallel, and its cells grow with the corpus while a cell doesn't. The shards take turns at being first,
-so that cells' small remainders even out. The law that holds is `bytes`: shards' sizes are near equal.
+first. Groups of over 1 / (LARGE * shards) of all bytes or rows are placed first, over the whole corpus: there are at most
+2 * LARGE * shards of them, so they are placed in one go on the driver. All others are dealt by hash to cells of about
+GROUPS_PER_CELL, which are filled in parallel: a cell shares out what the large groups left of the shards' capacity, so
+it makes up for them, and its own remainders are small, as its groups are. The law that holds is `bytes`: shards' sizes
+are near equal.
 
-A group with over 1 / (SPLIT * shards) of all bytes or rows is split into parts by hash of doc_id; there are at most
-2 * SPLIT * shards such groups, so their list is broadcast. Slots number each shard's rows from 0 by counting in
-salted groups, so that a shard is never one task's.
+A group stays whole as long as it fits a shard. One with more bytes than a shard's share can't, and is split by a hash of
+doc_id into as many parts as it takes. Slots number each shard's rows from 0 by counting in salted groups, so that a
+shard is never one task's.
 
 Defined results: a null text has no bytes and is grouped with the empty text; size is bytes + 1. Rows with a null or
-repeated doc_id are rows like others. An empty table gives an empty result. Only doc_id and text are read.
+repeated doc_id are rows like others. Groups of one size are taken in the order of their text's digest. A very long text
+is a row like others; one of more than a shard's share stays whole. An empty table gives an empty result. Only doc_id and
+text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -23,62 +27,77 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reeltable.llm.common import WORD, own_names, table, written
+from reeltable.llm.common import own_names, table, words_of, written
 
-SHARDS, SPLIT, GROUPS_PER_CELL, ROWS_PER_SALT = 8, 8, 4096, 4096
+SHARDS, LARGE, GROUPS_PER_CELL, ROWS_PER_SALT = 8, 64, 4096, 4096
 #: Bytes are the law, so they weigh most where the three pull apart.
-WEIGHTS = (4.0, 1.0, 1.0)
+WEIGHTS = (64.0, 1.0, 1.0)
 
 
-def place(sizes: np.ndarray, shards: int, turn: int = 0) -> np.ndarray:
-    """The shard of each row of sizes (groups x dimensions), by the highest dot product with the residual capacity."""
+def place(sizes: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The shard of each row of sizes (groups x dimensions), largest first, by the highest dot product with the residual capacity
+    of room (shards x dimensions). Of equal ones the first shard; what room has beyond the groups is shared by all."""
     totals = sizes.sum(axis=0)
-    unit = sizes / np.where(totals > 0, totals, 1) * np.sqrt(np.array(WEIGHTS))[: sizes.shape[1]]
-    left = np.tile(unit.sum(axis=0) / shards, (shards, 1))
+    scale = np.sqrt(np.array(WEIGHTS))[: sizes.shape[1]] / np.where(totals > 0, totals, 1)
+    unit, left = sizes * scale, room * scale
     out = np.empty(len(sizes), dtype=np.int32)
     for i in np.argsort(-unit.max(axis=1), kind="stable"):
         best = int(np.argmax(left @ unit[i]))
         out[i] = best
         left[best] -= unit[i]
-    return (out + turn) % shards
+    return out
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, tokens and the text's digest."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = own_names(docs, "doc_id", "text")
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
-
-
-def split_hot(rows: DataFrame, shards: int) -> tuple[DataFrame, int, int]:
-    """rows with `part`, the number of groups and of rows."""
-    spark = rows.sparkSession
-    groups = rows.groupBy("key").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    total = groups.agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.count("*").alias("groups")).first()
-    if not total["groups"]:
-        return rows.withColumn("part", F.lit(0).cast("long")), 0, 0
-    most_b, most_n = total["b"] / (SPLIT * shards), total["n"] / (SPLIT * shards)
-    parts = F.least(F.col("n"), F.ceil(F.greatest(F.col("b") / most_b, F.col("n") / most_n)))
-    hot = groups.where((F.col("n") > 1) & ((F.col("b") > most_b) | (F.col("n") > most_n))).select("key", parts.alias("parts"))
-    found = spark.createDataFrame(hot.collect(), hot.schema)  # at most 2 * SPLIT * shards rows
-    split = rows.join(F.broadcast(found), "key", "left")
-    return split.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("long")).drop("parts"), total["groups"], total["n"]
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.size(words_of(text)).cast("long").alias("tokens"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
+
+
+def large_groups(groups: DataFrame, shards: int) -> tuple[pd.DataFrame, np.ndarray, int, int]:
+    """The large groups, or the parts of those that fit no shard, with their shard; the room they leave; numbers of groups and of rows."""
+    total = groups.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "btn"), F.count("*").alias("groups")).first()
+    share = np.array([total["b"], total["t"], total["n"]], dtype=float) / shards
+    large = groups.where((F.col("b") > float(share[0] / LARGE)) | (F.col("n") > float(share[2] / LARGE))).orderBy("key").toPandas()  # at most 2 * LARGE * shards rows
+    parts = np.minimum(np.ceil(large["b"].to_numpy(dtype=float) / max(share[0], 1.0)), large["n"]).astype(int).clip(lower=1) if len(large) else np.zeros(0, dtype=int)
+    each = large.loc[large.index.repeat(parts)].reset_index(drop=True)
+    each["parts"] = np.repeat(parts, parts)
+    each["part"] = np.concatenate([np.arange(p) for p in parts]) if len(parts) else np.zeros(0, dtype=int)
+    sizes = each[["b", "t", "n"]].to_numpy(dtype=float) / each[["parts"]].to_numpy(dtype=float)
+    room = np.tile(share, (shards, 1))
+    each["shard"] = place(sizes, room.copy()) if len(each) else np.zeros(0, dtype=np.int32)
+    for s, size in zip(each["shard"], sizes, strict=True):
+        room[s] -= size
+    return each, room, int(total["groups"]), int(total["n"])
 
 
 def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """rows (doc_id, size, tokens, key; a written table) with shard and slot."""
-    split, n_groups, n_rows = split_hot(rows, shards)
+    spark = rows.sparkSession
+    groups = written(rows.groupBy("key").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")))
+    large, room, n_groups, n_rows = large_groups(groups, shards)
+    first = [(bytes(r.key), int(r.parts), int(r.part), int(r.shard)) for r in large.itertuples()]
+    first = spark.createDataFrame(first, "key binary, parts long, part long, shard int")
     cells = max(1, math.ceil(n_groups / GROUPS_PER_CELL))
-    units = split.groupBy("key", "part").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
-    units = units.withColumn("cell", F.pmod(F.xxhash64("key", "part"), F.lit(cells)))
+    left = np.maximum(room, 0) / np.maximum(np.maximum(room, 0).sum(axis=0), 1e-9)  # each shard's part of what is left
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "part"], ignore_index=True)  # no result hangs on the order of arrival
-        pdf["shard"] = place(pdf[["b", "t", "n"]].to_numpy(dtype=float), shards, int(pdf["cell"].iloc[0]))
-        return pdf[["key", "part", "shard"]]
-
-    placed = units.groupBy("cell").applyInPandas(fill, "key binary, part long, shard int")
-    put = written(split.join(placed, ["key", "part"]).drop("key", "part", "tokens"))
+        pdf = pdf.sort_values("key", ignore_index=True)  # no result hangs on the order of arrival
+        sizes = pdf[["b", "t", "n"]].to_numpy(dtype=float)
+        turn = int(pdf["cell"].iloc[0]) % shards  # shards take turns at being the first of equal ones
+        order = np.roll(np.arange(shards), -turn)
+        pdf["shard"] = order[place(sizes, (left * sizes.sum(axis=0))[order])].astype(np.int32)
+        return pdf[["key", "shard"]]
+
+    # The large groups' list is bounded by a parameter, so it is broadcast.
+    whole = F.broadcast(first.select("key").distinct())
+    small = groups.join(whole, "key", "left_anti").withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)))
+    placed = small.groupBy("cell").applyInPandas(fill, "key binary, shard int")
+    parts = F.broadcast(first.where("part = 0").select("key", "parts"))
+    put_large = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).join(F.broadcast(first.drop("parts")), ["key", "part"]).drop("parts", "part")
+    put_small = rows.join(whole, "key", "left_anti").join(placed, "key")
+    put = written(put_large.unionByName(put_small).drop("key", "tokens"))
     salts = max(1, math.ceil(n_rows / (shards * ROWS_PER_SALT)))
     salted = put.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(salts)))
     counts = salted.groupBy("shard", "_salt").agg(F.count("*").alias("_n"))

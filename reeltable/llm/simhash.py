@@ -11,7 +11,7 @@ size, links all pairs within 2 bits and no others directly; nothing collects a b
 alternating large-star and small-star steps on written tables.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and is linked like any other. A null
-doc_id takes part, but component_id is the smallest that isn't null. Repeated rows stay. An empty table gives an empty
+doc_id takes part, but component_id is the smallest that isn't null. Repeated rows stay, and ties have one component. An empty table gives an empty
 result. Texts of any length are read whole, in blocks of shingles. Only doc_id and text are used.
 """
 
@@ -108,27 +108,44 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs' doc_id with `fp` (long) and component_id, the smallest doc_id reachable over fingerprints within 2 bits."""
-    printed = written(own_names(docs, "doc_id", "text").select("doc_id", fingerprint_udf("text").alias("fp")))
+    return joined_up(fingerprints(docs)).select("doc_id", "fp", "component_id")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and fp of each of docs; a written table."""
+    return written(own_names(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_udf("text").alias("fp")))
+
+
+def joined_up(printed: DataFrame) -> DataFrame:
+    """printed (doc_id, fp and more) with component_id and `component`, the smallest fingerprint, as components may share a doc_id."""
     prints = written(printed.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(bucket_links(prints.select("fp")))
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_print = rooted.join(of_root, "root").select("fp", "component_id")
-    return printed.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    of_print = rooted.join(of_root, "root").select("fp", "component_id", F.col("root").alias("component"))
+    return printed.join(of_print, "fp")
 
 
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without those that another document of their component stands for: the one with the smallest doc_id stays, of its
-    repeated rows one. Rows without doc_id stay, as nothing tells them apart."""
-    keep = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])
+def first_of_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Of docs one document of each component, by placed (doc_id, text_hash, component): that with the smallest doc_id, then the
+    smallest hash of the text. Documents are told apart by both, so rows that share a doc_id are different documents unless
+    their texts are equal too; of such one row stays. Rows without doc_id stay, as nothing tells them apart."""
+    own = "_text_hash_of_row"
+    keep = placed.where("doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_keep"), F.col("k.text_hash").alias("_hash"))
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    kept = hashed.join(keep, (hashed["doc_id"] == keep["_keep"]) & (hashed[own] == keep["_hash"]), "left_semi").dropDuplicates(["doc_id", own]).drop(own)
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs without those that another document of their component stands for."""
+    return first_of_each(docs, joined_up(fingerprints(docs)))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
