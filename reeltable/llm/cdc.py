@@ -1,15 +1,21 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 Texts are cut where the rolling hash of the last bytes has given bits zero, so chunks follow the content: an insertion
-moves the cuts near it and no others. Chunks are keyed by 128-bit digests. A digest in two or more documents is
-repeated; neighbouring repeated chunks form a run, and runs of MIN_WORDS words or more are reported. Whole chunks
-only are seen, so a passage's edges (up to a chunk each) aren't part of its run; MIN_WORDS is well under the shortest
-passage that must be caught for that. Digests are combined on the map side to a row each with its smallest and largest
-document before the shuffle; the join back is on digests, whose hot ones AQE splits.
-
-Defined results: null and empty texts have no chunks. A null doc_id is a document of its own kind that starts nothing
-(min and max skip it). Rows that repeat a doc_id are one document: what only they share isn't repeated across documents,
-and their equal spans are one. An empty table gives an empty result. Only doc_id and text are read.
+moves the cuts near it and no others. From each chunk on, as many chunks as it takes to hold MIN_WORDS words are keyed by
+one 128-bit digest of their bytes. A digest in two or more documents is a passage that those documents share, bytes in a
+row, so no run is pieced together from chunks that different documents happen to hold. Shared passages that overlap or
+meet are one span. Whole chunks only are seen, so a passage's edges (up to a chunk each) aren't part of its span;
+MIN_WORDS is well under the shortest passage that must be caught for that. Digests are combined on the map side to a row
+each with its smallest and largest document before the shuffle; the join back is on digests, whose hot ones AQE splits.
+
+Documents are told apart by `uid`: the doc_id where one row has it, else, and for ids from 2^62 on, a hash of doc_id and
+text above all of those. So rows that share a doc_id, or have none, are documents of their own text.
+
+Defined results: null and empty texts have no chunks. A null doc_id is kept as such; its documents come after all others
+in the order that tells which is first. Rows that repeat a doc_id with differing texts are different documents, told
+apart and each with spans of its own text; equal rows are one: what only they share isn't repeated across documents, and
+their spans stand once. A very long text is one task's, chunk by chunk. Ties of order don't occur, as equal uids are one
+document. An empty table gives an empty result. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from reeltable.llm.common import carried, own_names, table
+from reeltable.llm.common import carried, own_names, table, written
 
 MIN_BYTES, MAX_BYTES, MIN_WORDS = 12, 96, 16
 CUT_SHIFT, CUT_BELOW = 8, 10  # a cut where eight bits of the hash are below ten: at one byte in 26
@@ -62,74 +68,92 @@ def cuts_of(raw: bytes) -> list[int]:
     return ends
 
 
-def _chunk_columns(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, words that start in each chunk, digests (two signed 64-bit integers each)."""
-    ends = cuts_of(raw)
-    starts = [0, *ends[:-1]]
+def _passages(raw: bytes, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, first word and word behind, digests (two signed 64-bit integers each) of the chunks from each chunk on that hold min_words words."""
+    ends = np.array(cuts_of(raw))
+    starts = np.concatenate(([0], ends[:-1]))
     data = np.frombuffer(raw, dtype=np.uint8)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     begins = ~space
     begins[1:] &= space[:-1]
     counted = np.concatenate(([0], np.cumsum(begins)))
+    last = np.searchsorted(counted[ends], counted[starts] + min_words)  # the first chunk that completes the words
+    starts = starts[last < len(ends)]
+    ends = ends[last[last < len(ends)]]
     d = xxhash.xxh3_128_digest
-    digests = np.frombuffer(b"".join([d(raw[a:b]) for a, b in zip(starts, ends, strict=True)]), dtype=">i8").reshape(-1, 2)
-    return np.array(starts), np.array(ends), counted[ends] - counted[starts], digests
+    digests = np.frombuffer(b"".join([d(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), dtype=">i8").reshape(-1, 2)
+    return starts, ends, counted[starts], counted[ends], digests
 
 
-CHUNKS = "doc_id long, chunk int, start long, end long, n_words int, hi long, lo long"
+BIG = 1 << 62
+PASSAGES = "uid long, start int, end int, word int, word_end int, hi long, lo long"
 
 
-def chunks_of(docs: DataFrame) -> DataFrame:
-    """The chunks of each text: doc_id, chunk, start and end (bytes), n_words, digest (hi, lo)."""
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with `uid`. Repeated ids are a written table, so Spark knows whether it is small enough to broadcast."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_again"))
+    again = written(ids)
+    own = F.col("_again").isNull() & F.col("doc_id").isNotNull() & (F.col("doc_id") < BIG)
+    joined = docs.join(again, docs["doc_id"] == again["_again"], "left")
+    return joined.withColumn("uid", F.when(own, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text").bitwiseAND(F.lit(BIG - 1)) + F.lit(BIG))).drop("_again")
+
+
+def passages_of(known: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """known: uid, text. From each chunk on, the chunks that hold min_words words: uid, start and end (bytes), word and word_end, digest (hi, lo)."""
 
     def rows(found: list) -> pa.RecordBatch:
-        names = [x.split()[0] for x in CHUNKS.split(", ")]
-        kinds = [{"long": pa.int64(), "int": pa.int32()}[x.split()[1]] for x in CHUNKS.split(", ")]
-        n = [len(x[1]) for x in found]
-        ids = pa.array([x[0] for x in found], pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+        names = [x.split()[0] for x in PASSAGES.split(", ")]
+        uids = np.repeat(np.array([x[0] for x in found], dtype=np.int64), [len(x[1]) for x in found])
         cat = lambda k, dtype: np.concatenate([x[k] for x in found]).astype(dtype) if found else np.zeros(0, dtype)
-        digests = np.concatenate([x[4] for x in found]).astype(np.int64) if found else np.zeros((0, 2), np.int64)
-        order = np.concatenate([np.arange(x) for x in n]) if n else np.zeros(0)
-        columns = [order.astype(np.int32), cat(1, np.int64), cat(2, np.int64), cat(3, np.int32), np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])]
-        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True))], names)
+        digests = np.concatenate([x[5] for x in found]).astype(np.int64) if found else np.zeros((0, 2), np.int64)
+        columns = [uids, *(cat(k, np.int32) for k in (1, 2, 3, 4)), np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, held = [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for uid, text in zip(batch.column(0), batch.column(1), strict=True):
                 raw = (text.as_py() or "").encode()
                 if raw:
-                    found.append((doc_id.as_py(), *_chunk_columns(raw)))
+                    found.append((uid.as_py(), *_passages(raw, min_words)))
                     held += len(raw)
                 if held > 1 << 23:
                     yield rows(found)
                     found, held = [], 0
             yield rows(found)
 
-    chosen = own_names(docs, "doc_id", "text")
-    return chosen.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, CHUNKS)
+    return known.select("uid", F.col("text").cast("string")).mapInArrow(cut, PASSAGES)
+
+
+def spans_of(known: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """known: uid, text. uid, start, end, n_words, first, is_first: what other documents hold too, first being the smallest uid of those that hold a part of it."""
+    passages = passages_of(known, min_words)
+    digests = passages.groupBy("hi", "lo").agg(F.min("uid").alias("first"), F.max("uid").alias("_last"))
+    shared = digests.where("first <> _last").drop("_last")
+    place = ("uid", "start", "end", "word", "word_end")
+    repeated = passages.join(shared, ["hi", "lo"]).groupBy(*place).agg(F.min("first").alias("first")).withColumn("is_first", F.col("first") == F.col("uid"))
+    of_doc = Window.partitionBy("uid", "is_first").orderBy("start")
+    runs = repeated.withColumn("_new", (F.coalesce(F.lag("end").over(of_doc), F.lit(-1)) < F.col("start")).cast("int")).withColumn("_run", F.sum("_new").over(of_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("uid", "is_first", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word_end") - F.min("word")).alias("n_words"), F.min("first").alias("first"))
+    return spans.select("uid", "start", "end", "n_words", "first", "is_first")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end, n_words, first_doc_id, is_first: the runs of chunks that other documents hold too.
-
-    is_first: the run's chunks are in no document with a smaller doc_id; a corpus without repeats keeps those runs.
-    """
-    chunks = chunks_of(docs)
-    digests = chunks.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"))
-    shared = digests.where("first_doc_id <> _last").drop("_last")
-    repeated = chunks.join(shared, ["hi", "lo"]).select("doc_id", "chunk", "start", "end", "n_words", "first_doc_id")
-    repeated = repeated.groupBy("doc_id", "chunk", "start", "end", "n_words").agg(F.min("first_doc_id").alias("first_doc_id")).where("doc_id is not null")
-    of_doc = Window.partitionBy("doc_id").orderBy("start", "end")
-    runs = repeated.withColumn("_new", (F.coalesce(F.lag("end").over(of_doc), F.lit(-1)) != F.col("start")).cast("int")).withColumn("_run", F.sum("_new").over(of_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.withColumn("_words", F.sum("n_words").over(Window.partitionBy("doc_id", "_run"))).where(F.col("_words") >= min_words)
-    runs = runs.withColumn("is_first", F.col("first_doc_id") == F.col("doc_id"))
-    spans = runs.groupBy("doc_id", "_run", "is_first").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"))
+    """doc_id, start, end, n_words, first_doc_id, is_first: the passages that other documents hold too.
+
+    is_first: no document that comes before holds it; a corpus without repeats keeps those spans."""
+    known = identified(own_names(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    spans = spans_of(known, min_words)
+    # Only uids from 2^62 on stand for another doc_id; those rows' ids are looked up.
+    ids = written(known.where(F.col("uid") >= BIG).select("uid", "doc_id").distinct())
+    for uid, name in (("uid", "doc_id"), ("first", "first_doc_id")):
+        found = ids.select(F.col("uid").alias("_uid"), F.col("doc_id").alias("_id"))
+        spans = spans.join(found, spans[uid] == found["_uid"], "left").withColumn(name, F.when(F.col(uid) < BIG, F.col(uid)).otherwise(F.col("_id"))).drop("_uid", "_id")
     return spans.select("doc_id", "start", "end", "n_words", "first_doc_id", "is_first")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs, their texts without the spans that a document with a smaller doc_id holds."""
+    """docs, their texts without the spans that a document before them holds."""
 
     def cut(spans, text):
         if text is None or spans is None:
@@ -140,9 +164,9 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             at = max(at, b)
         return b"".join([*kept, raw[at:]]).decode()
 
-    spans = repeated_spans(docs, min_words).where("not is_first").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # at most a text's chunks
-    rows = carried(docs, "doc_id", "text")
-    joined = rows.join(spans, rows["doc_id"] == spans["_id"], "left").withColumn("_cut", F.udf(cut, StringType(), useArrow=True)("_spans", "text"))
+    rows = identified(carried(docs, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}))
+    spans = spans_of(rows.select("uid", "text"), min_words).where("not is_first").groupBy(F.col("uid").alias("_uid")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # at most a text's chunks
+    joined = rows.join(spans, rows["uid"] == spans["_uid"], "left").withColumn("_cut", F.udf(cut, StringType(), useArrow=True)("_spans", "text"))
     return joined.select(*(F.col("_cut").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
 
 

@@ -60,7 +60,7 @@ def large_groups(groups: DataFrame, shards: int) -> tuple[pd.DataFrame, np.ndarr
     total = groups.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "btn"), F.count("*").alias("groups")).first()
     share = np.array([total["b"], total["t"], total["n"]], dtype=float) / shards
     large = groups.where((F.col("b") > float(share[0] / LARGE)) | (F.col("n") > float(share[2] / LARGE))).orderBy("key").toPandas()  # at most 2 * LARGE * shards rows
-    parts = np.minimum(np.ceil(large["b"].to_numpy(dtype=float) / max(share[0], 1.0)), large["n"]).astype(int).clip(lower=1) if len(large) else np.zeros(0, dtype=int)
+    parts = np.minimum(np.ceil(large["b"].to_numpy(dtype=float) / max(share[0], 1.0)), large["n"].to_numpy(dtype=float)).astype(int).clip(min=1) if len(large) else np.zeros(0, dtype=int)
     each = large.loc[large.index.repeat(parts)].reset_index(drop=True)
     each["parts"] = np.repeat(parts, parts)
     each["part"] = np.concatenate([np.arange(p) for p in parts]) if len(parts) else np.zeros(0, dtype=int)

@@ -2,12 +2,13 @@
 
 import bisect
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reeltable.llm import cdc, hostrules, katz, licenses, mixing, ogg, packing, sharding, simhash, surrogates
+from reeltable.llm import cdc, hostrules, katz, licenses, minhash, mixing, ogg, packing, sharding, simhash, surrogates
 
 LONG = " ".join(f"w{i % 997}x{i % 89}" for i in range(60_000))
 ROWS = [
@@ -60,18 +61,31 @@ def test_phrases(spark, text):
 
 
 def test_every_block_at_the_threshold_is_found(spark):
+    """Against all windows of each template's span, counted out."""
+    import re
+
     rng = np.random.default_rng(2)
     sets = licenses.template_sets()
-    vocab = sorted({w for _, ws, _ in sets for w in ws}) + [f"z{i}" for i in range(30)]
+    vocab = sorted({w for s in sets for w in s[1]}) + [f"z{i}" for i in range(30)]
     rows = []
     for i in range(300):
-        _, words, _ = sets[i % len(sets)]
-        some = [w for w in words if rng.random() < 0.82] + list(rng.choice(vocab, 4))
-        rng.shuffle(some)
-        rows.append((i, " ".join(some)))
-    got = {(r["doc_id"], r["template"]): r["containment"] for r in licenses.matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = {(i, t): len(set(text.split()) & set(ws)) / len(ws) for i, text in rows for t, (_, ws, need) in enumerate(sets) if len(set(text.split()) & set(ws)) >= need}
-    assert got == pytest.approx(want)
+        words = sets[i % len(sets)][1]
+        some = [w for w in words if rng.random() < 0.85]
+        if i % 3:
+            rng.shuffle(some)
+        rows.append((i, " ".join([*rng.choice(vocab, 12), *some[: len(some) // 2], *rng.choice(vocab, int(rng.integers(0, 6))), *some[len(some) // 2 :], *rng.choice(vocab, 9)])))
+    known = licenses.known_words(spark.createDataFrame(rows, "doc_id long, text string"), sets)
+    got = {(r["doc_id"], r["template"]): (r["start"], r["containment"]) for r in licenses.matches(known, sets).collect()}
+    want = {}
+    for i, text in rows:
+        ws = re.findall(licenses.LICENSE_WORD, text)
+        for t, (_, words, need, span, telling) in enumerate(sets):
+            for a in range(len(ws)):
+                held = set(ws[a : a + span]) & set(words)
+                if ws[a] in words and len(held) >= need and held >= set(telling) and len(held) / len(words) > want.get((i, t), (0, 0))[1]:
+                    want[i, t] = (a, len(held) / len(words))
+    assert len(want) > 50
+    assert got == want
 
 
 def test_simhash_masks_cover():
@@ -247,6 +261,48 @@ def test_cdc_edges(docs):
     assert cdc.drop_repeats(docs).count() == docs.count()
 
 
+def test_documents_that_share_an_id(spark):
+    """Rows of one doc_id, or of none, are told apart by their texts."""
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, int(rng.integers(2, 9))))) for _ in range(n))
+    passage, other = words(90), "".join(map(chr, rng.integers(0x3041, 0x3090, 600)))
+    schema = "doc_id long, text string"
+    rows = [(7, f"{words(40)} {passage} {words(40)}"), (7, other), (1, f"{words(30)} {passage}"), (8, words(100))]
+    kept = sorted((r["doc_id"], r["text"]) for r in cdc.drop_repeats(spark.createDataFrame(rows, schema)).collect())
+    assert (7, other) in kept and (1, rows[2][1]) in kept and len(min(t for i, t in kept if i == 7)) < len(rows[0][1]) - 300
+    found = cdc.repeated_spans(spark.createDataFrame([(1, f"{words(30)} {passage}"), (None, f"{passage} {words(20)}"), (None, words(200))], schema)).collect()
+    assert sorted((r["doc_id"] is None, r["first_doc_id"], r["is_first"]) for r in found) == [(False, 1, True), (True, 1, False)]
+    left = simhash.drop_near_duplicates(spark.createDataFrame([(3, passage), (5, passage), (5, other), (5, other)], schema)).collect()
+    assert sorted(map(tuple, left)) == [(3, passage), (5, other)]
+    left = minhash.drop_near_duplicates(spark.createDataFrame([(3, passage), (5, passage + " more"), (5, other), (5, other)], schema)).collect()
+    assert sorted(map(tuple, left)) == [(3, passage), (5, other)]
+    labels = licenses.scan_licenses(spark.createDataFrame([(1, "all rights reserved"), (1, "plain words only"), (None, "no"), (None, "MIT license")], schema)).collect()
+    assert sorted((r["doc_id"] or 0, r["labels"], r["score"]) for r in labels) == [(0, "", 0.0), (0, "mit", 1.0), (1, "", 0.0), (1, "reserved", 1.0)]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the\nfollowing conditions are met", "bsd"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files", "mit"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0", "mpl-2.0"), ("Licensed under CC BY 4.0", "cc-by"), ("Released under the Apache License", "apache"),
+])
+def test_notices_over_lines(spark, text, want):
+    """Wrapped notices are found, and short templates' neighbours aren't."""
+    assert licenses.scan_licenses(spark.createDataFrame([(1, f"{'word ' * 50}{text} {'word ' * 50}")], "doc_id long, text string")).first()["labels"] == want
+
+
+def test_sharding_keeps_groups_whole(spark):
+    rows = [(i, f"copy {i % 12} " * 200 if i < 240 else f"text {i} " * (i % 40)) for i in range(2000)]
+    got = sharding.shard(sharding.written(sharding.sized(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))).collect()
+    of = defaultdict(set)
+    for r in got:
+        of[dict(rows)[r["doc_id"]]].add(r["shard"])
+    assert {len(x) for x in of.values()} == {1}
+    sums = Counter()
+    for r in got:
+        sums[r["shard"]] += r["size"]
+    assert max(sums.values()) - min(sums.values()) < 0.05 * sum(sums.values()) / 8
+
+
 def test_sharding_splits_a_hot_group(spark):
     rows = [(i, "the same text " * 20 if i % 3 == 0 else f"text {i} " * (i % 40)) for i in range(900)]
     got = sharding.shard(sharding.written(sharding.sized(spark.createDataFrame(rows, "doc_id long, text string")))).groupBy("shard").agg(F.sum("size").alias("b")).collect()

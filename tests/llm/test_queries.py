@@ -145,36 +145,60 @@ def test_sharding(spark, docs):
         assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
 
 
+def plain_cuts(raw):
+    """Chunk ends by a loop over bytes, from the rules alone."""
+    gear = []
+    for i in range(256):
+        x = (i + 1) * 0x9E3779B97F4A7C15 % 2**64
+        gear.append((((x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64) >> 32) % 2**32)
+    ends, last, h = [], 0, 0
+    whole = lambda at: at == len(raw) or raw[at] & 0xC0 != 0x80
+    for i in range(len(raw)):
+        h = sum(gear[raw[i - k]] << k for k in range(min(16, i + 1))) % 2**32
+        at = i + 1
+        wanted = (h >> 8) % 256 < 10 and whole(at) or at == len(raw)
+        while wanted and at - last > 96:
+            last += 96
+            while not whole(last):
+                last -= 1
+            ends.append(last)
+        if wanted and (at - last >= 12 or at == len(raw) and at > last):
+            ends.append(at)
+            last = at
+    return ends
+
+
+def plain_spans(docs):
+    """(doc, start, end, words, first, is_first) from (doc, text) by brute force, docs being told apart by the whole of doc."""
+    held, found, out = defaultdict(set), defaultdict(list), set()
+    for i, t in docs:
+        raw = (t or "").encode()
+        ends = plain_cuts(raw)
+        starts = [0, *ends[:-1]]
+        begins = [k for k in range(len(raw)) if raw[k : k + 1].strip() and not raw[max(0, k - 1) : k].strip()]
+        for k, a in enumerate(starts):
+            for b in ends[k:]:
+                words = sum(a <= x < b for x in begins)
+                if words >= 16:
+                    held[raw[a:b]].add(i)
+                    found[i].append((a, b, raw))
+                    break
+    for i, places in found.items():
+        for first_here in (True, False):
+            run = []
+            for a, b, raw in [*sorted(set(places)), (10**9, 0, b"")]:
+                others = held.get(raw[a:b], ())
+                if run and (a > run[-1][1] or a == 10**9):
+                    lo, hi = run[0][0], max(x[1] for x in run)
+                    text = run[0][2]
+                    n = sum(1 for k in range(lo, hi) if text[k : k + 1].strip() and not text[max(0, k - 1) : k].strip())
+                    out.add((i, lo, hi, n, min(min(held[text[x:y]]) for x, y, _ in run), first_here))
+                    run = []
+                if len(others) > 1 and (min(others) == i) == first_here:
+                    run.append((a, b, raw))
+    return out
+
+
 def test_chunk_dedup(spark, docs):
-    from reeltable.llm import cdc
-
-    texts = {i: (t or "").encode() for i, t in docs}
-    held = defaultdict(set)
-    chunks = {}
-    for i, raw in texts.items():
-        at, chunks[i] = 0, []
-        for end in cdc.cuts_of(raw) if raw else []:
-            chunks[i].append((at, end))
-            held[raw[at:end]].add(i)
-            at = end
-        assert at == len(raw)
-    want = set()
-    for i, spans in chunks.items():
-        run = []
-        for a, b in [*spans, (-1, -1)]:
-            again = a >= 0 and len(held[texts[i][a:b]]) > 1
-            if run and (not again or a != run[-1][1]):
-                raw = texts[i]
-                words = sum(len(raw[x:y].split()) - (x > 0 and raw[x - 1 : x].strip() != b"" and raw[x : x + 1].strip() != b"") for x, y in run)
-                if words >= cdc.MIN_WORDS:
-                    for x, y in run:
-                        want.add((i, x, min(held[raw[x:y]]) == i))
-                run = []
-            if again:
-                run.append((a, b))
-    got = set()
-    for r in registry.QUERIES["op9_chunk_dedup"](spark, DATA).collect():
-        inside = [a for a, b in chunks[r["doc_id"]] if r["start"] <= a and b <= r["end"]]
-        assert inside
-        got |= {(r["doc_id"], a, r["is_first"]) for a in inside if (min(held[texts[r["doc_id"]][a : dict(chunks[r["doc_id"]])[a]]]) == r["doc_id"]) == r["is_first"]}
-    assert got == want
+    got = {tuple(r) for r in registry.QUERIES["op9_chunk_dedup"](spark, DATA).collect()}
+    assert got == plain_spans(docs)
