@@ -8,7 +8,7 @@ it makes up for them, and its own remainders are small, as its groups are. The l
 are near equal.
 
 A group stays whole as long as it fits a shard. One with more bytes than a shard's share can't, and is split by a hash of
-doc_id into as many parts as it takes. Slots number each shard's rows from 0 by counting in salted groups, so that a
+doc_id into parts of a quarter of that share. Slots number each shard's rows from 0 by counting in salted groups, so that a
 shard is never one task's.
 
 Defined results: a null text has no bytes and is grouped with the empty text; size is bytes + 1. Rows with a null or
@@ -55,30 +55,26 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.size(words_of(text)).cast("long").alias("tokens"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
 
 
-def large_groups(groups: DataFrame, shards: int) -> tuple[pd.DataFrame, np.ndarray, int, int]:
-    """The large groups, or the parts of those that fit no shard, with their shard; the room they leave; numbers of groups and of rows."""
-    total = groups.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "btn"), F.count("*").alias("groups")).first()
-    share = np.array([total["b"], total["t"], total["n"]], dtype=float) / shards
-    large = groups.where((F.col("b") > float(share[0] / LARGE)) | (F.col("n") > float(share[2] / LARGE))).orderBy("key").toPandas()  # at most 2 * LARGE * shards rows
-    parts = np.minimum(np.ceil(large["b"].to_numpy(dtype=float) / max(share[0], 1.0)), large["n"].to_numpy(dtype=float)).astype(int).clip(min=1) if len(large) else np.zeros(0, dtype=int)
-    each = large.loc[large.index.repeat(parts)].reset_index(drop=True)
-    each["parts"] = np.repeat(parts, parts)
-    each["part"] = np.concatenate([np.arange(p) for p in parts]) if len(parts) else np.zeros(0, dtype=int)
-    sizes = each[["b", "t", "n"]].to_numpy(dtype=float) / each[["parts"]].to_numpy(dtype=float)
-    room = np.tile(share, (shards, 1))
-    each["shard"] = place(sizes, room.copy()) if len(each) else np.zeros(0, dtype=np.int32)
-    for s, size in zip(each["shard"], sizes, strict=True):
-        room[s] -= size
-    return each, room, int(total["groups"]), int(total["n"])
+def large_groups(rows: DataFrame, groups: DataFrame, share: np.ndarray, shards: int) -> DataFrame:
+    """key, part, b, t, n of the large groups; those that fit no shard in parts of at most a quarter of a shard's share. At most 10 * LARGE * shards rows."""
+    large = groups.where((F.col("b") > float(share[0] / LARGE)) | (F.col("n") > float(share[2] / LARGE)))
+    parts = F.when(F.col("b") > float(share[0]), F.least(F.col("n"), F.ceil(F.col("b") * 4 / float(max(share[0], 1.0))))).otherwise(F.lit(1)).cast("long")
+    split = large.where(F.col("b") > float(share[0])).select("key", parts.alias("parts"))  # at most `shards` groups
+    split_parts = rows.join(F.broadcast(split), "key").groupBy("key", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")).agg(F.first("parts").alias("parts"), F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    return large.where(F.col("b") <= float(share[0])).select("key", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts"), "b", "t", "n").unionByName(split_parts)
 
 
 def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """rows (doc_id, size, tokens, key; a written table) with shard and slot."""
     spark = rows.sparkSession
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")))
-    large, room, n_groups, n_rows = large_groups(groups, shards)
-    first = [(bytes(r.key), int(r.parts), int(r.part), int(r.shard)) for r in large.itertuples()]
-    first = spark.createDataFrame(first, "key binary, parts long, part long, shard int")
+    total = groups.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "btn"), F.count("*").alias("groups")).first()
+    n_groups, n_rows, share = total["groups"], total["n"], np.array([total["b"], total["t"], total["n"]], dtype=float) / shards
+    large = large_groups(rows, groups, share, shards).orderBy("key", "part").collect()  # bounded by parameters
+    sizes, room = np.array([[r["b"], r["t"], r["n"]] for r in large], dtype=float).reshape(-1, 3), np.tile(share, (shards, 1))
+    at = place(sizes, room)
+    np.subtract.at(room, at, sizes)
+    first = spark.createDataFrame([(bytes(r["key"]), r["parts"], r["part"], int(s)) for r, s in zip(large, at, strict=True)], "key binary, parts long, part long, shard int")
     cells = max(1, math.ceil(n_groups / GROUPS_PER_CELL))
     left = np.maximum(room, 0) / np.maximum(np.maximum(room, 0).sum(axis=0), 1e-9)  # each shard's part of what is left
 
@@ -94,7 +90,7 @@ def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     whole = F.broadcast(first.select("key").distinct())
     small = groups.join(whole, "key", "left_anti").withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)))
     placed = small.groupBy("cell").applyInPandas(fill, "key binary, shard int")
-    parts = F.broadcast(first.where("part = 0").select("key", "parts"))
+    parts = F.broadcast(first.select("key", "parts").distinct())
     put_large = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).join(F.broadcast(first.drop("parts")), ["key", "part"]).drop("parts", "part")
     put_small = rows.join(whole, "key", "left_anti").join(placed, "key")
     put = written(put_large.unionByName(put_small).drop("key", "tokens"))
