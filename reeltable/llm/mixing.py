@@ -1,174 +1,122 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed by cell (source, language, topic). Each round scales the cells' weights so that the token shares of
-the sources meet their targets, then those of the languages, then those of the topics. The fitted weights are scaled
-to the wanted number of tokens, capped at 1 (what the cap takes is spread over the cells below it), and each document
-is sampled with its cell's probability by a hash of its doc_id, so that a rerun samples the same ones.
-
-Targets are the tempered shares of the corpus (share ^ exponent, normalised) unless given by name; names that are not
-in the corpus are ignored, and values without a given target keep their own share of the rest.
-
-Defined results: null source or language is a value of its own (""); a null or empty text has no tokens and its
-document takes its cell's probability; a cell without tokens has weight 1. Rows that repeat a doc_id are sampled
-alike. An empty table gives an empty result. Only sums by cell are shuffled; a cell is one row, and marginals are
-sums with partial aggregation, so neither a hot source nor a hot language is one task's.
-
-That fixed number of rounds is what op5's SQL demands of its query; it misses the targets where the cap takes much. The
-sample of the pipeline's stage comes from `reached` instead: it rakes under the bound that no probability is over 1
-until every share meets its target, and keeps as many tokens, up to the wanted share, as the targets allow. For that
-the cells, a row each, are fitted on the driver.
+the sources meet their targets, then those of the languages, then those of the topics. A document is sampled with its
+cell's probability by a hash of its doc_id, so that a rerun samples the same ones.
+
+A probability can't be over 1, so the fit is under that bound: a cell's probability is its weight, or 1 where that is
+less, and a step scales what is below 1 to the share that the full cells leave. Of the tokens as many are kept, up to
+`keep`, as the targets allow: no value can give more than all it has, so at most the least share / target of all values,
+less a SLACK without which the last tokens take many rounds. Rounds go on until no share is off by TOLERANCE of itself.
+Where values occur together in too few ways for that, half as many tokens are tried, and so on; the fit of the least
+miss is taken then, and the miss is reported.
+
+Targets are the tempered shares of the corpus (share ^ exponent, normalised) unless given by name; names that are not in
+the corpus are ignored, and values without a given target share out what the given ones leave, in the ratio of their
+tempered shares. Topics are told by rules on the text, or given as a column.
+
+Defined results: null source, language or topic is a value of its own (""); a null or empty text has no tokens and its
+document takes the kept share as its probability. A very long text weighs as many tokens as it has. Rows that repeat a
+doc_id, or have none, are sampled alike; equal cells are one. An empty table gives an empty result. Extra columns stay and
+don't clash. Only sums by cell are shuffled; a cell is one row, and marginals are sums with partial aggregation, so
+neither a hot source nor a hot language is one task's. Cells stay in written tables; what the driver sees of them is one
+number a round.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reeltable.llm.common import WORD, carried, own_names, table, written
+from reeltable.llm.common import WORD, carried, own_names, table, words_of, written
 
 DIMS = ("source", "lang", "topic")
 #: Exponents that temper each dimension's shares; 1 keeps a dimension as it is, 0 makes it even.
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
-ROUNDS, CAP_ROUNDS, KEEP = 6, 3, 0.75
-#: Of `reached`: the largest miss of a share, and rounds in which that must come.
-TOLERANCE, MOST_ROUNDS = 1e-4, 2000
+KEEP, SLACK = 0.75, 0.95
+#: The largest miss of a share, as a part of it, that a fit ends at and that is taken for met; rounds and halvings tried.
+TOLERANCE, MET, MOST_ROUNDS, HALVINGS = 1e-8, 1e-3, 60, 5
 #: First match wins; a topic is told from the whole text.
 TOPICS = (("legal", "(?i)licen[sc]e|copyright|rights reserved"), ("contact", "@|[+]1 [(]"), ("tabular", "[|]"), ("technical", "[#$%&=<>]"))
 OTHER = "prose"
 SEED = "mix1"
 
 
-def topic_of(text: Column) -> Column:
+def topic_of(text: Column, topics=TOPICS) -> Column:
     found = F.lit(OTHER)
-    for topic, pattern in reversed(TOPICS):
+    for topic, pattern in reversed(topics):
         found = F.when(text.rlike(pattern), F.lit(topic)).otherwise(found)
     return found
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens."""
+def described(docs: DataFrame, topics=TOPICS, topic: str | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens. Topics come from the column `topic` if one is named, else from rules."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = own_names(docs, "doc_id", "text", "source", "lang")
-    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic_of(text).alias("topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"))
+    docs = own_names(docs, "doc_id", "text", "source", "lang", *([topic] if topic else []))
+    told = F.coalesce(F.col(topic), F.lit("")) if topic else topic_of(text, topics)
+    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), told.alias("topic"), F.size(words_of(text)).cast("long").alias("n_tokens"))
 
 
-def targets_of(cells: DataFrame, dim: str, given: dict[str, float] | None) -> DataFrame:
-    """dim and `target`, which sum to 1."""
-    sums = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
+def targets_of(cells: DataFrame, dim: str, given: dict[str, float] | None = None) -> DataFrame:
+    """dim, `share` of the tokens and `target`, which sums to 1."""
+    sums = written(cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0"))
     total = sums.agg(F.sum("t")).scalar()
-    raw = F.pow(F.col("t") / total, F.lit(EXPONENTS[dim]))
-    if given:
-        pairs = F.create_map(*(F.lit(x) for kv in given.items() for x in kv))
-        raw = F.coalesce(F.element_at(pairs, F.col(dim)), raw * F.lit(max(0.0, 1 - sum(given.values()))))
-    scaled = written(sums.select(dim, raw.alias("raw")))
-    return scaled.select(dim, (F.col("raw") / scaled.agg(F.sum("raw")).scalar()).alias("target"))
-
-
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """cells (DIMS, tokens) with `weight`, after so many rounds of proportional fitting."""
-    fitted = written(cells.where("tokens > 0").withColumn("weight", F.lit(1.0)))
-    for _ in range(rounds):
-        for dim in DIMS:
-            now = fitted.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_now")).join(targets[dim], dim).select(dim, (F.col("target") / F.col("_now")).alias("_factor"))
-            fitted = fitted.join(now, dim).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor")
-        fitted = written(fitted.select(*DIMS, "tokens", "weight"))
-    return fitted
-
-
-def calibrate(fitted: DataFrame, keep: float) -> DataFrame:
-    """fitted with `probability`: weight scaled so that keep of all tokens is expected, none above 1."""
-    found = fitted.withColumn("probability", F.lit(0.0)).withColumn("_full", F.lit(False))
-    for _ in range(CAP_ROUNDS):
-        free = F.when(~F.col("_full"), F.col("tokens") * F.col("weight"))
-        full = F.when(F.col("_full"), F.col("tokens"))
-        scale = found.agg(((F.lit(keep) * F.sum("tokens") - F.coalesce(F.sum(full), F.lit(0))) / F.sum(free)).alias("s")).scalar()
-        found = written(found.withColumn("probability", F.when(F.col("_full"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("weight") * F.coalesce(scale, F.lit(0.0)))))).withColumn("_full", F.col("probability") >= 1.0))
-    return found.drop("_full")
+    named = F.element_at(F.create_map(*(F.lit(x) for k, v in given.items() for x in (k, float(v)))), F.col(dim)) if given else F.lit(None).cast("double")
+    told = written(sums.select(dim, (F.col("t") / total).alias("share"), F.pow(F.col("t") / total, F.lit(EXPONENTS[dim])).alias("own"), named.alias("named")))
+    sides = told.agg(F.coalesce(F.sum("named"), F.lit(0.0)).alias("g"), F.coalesce(F.sum(F.when(F.col("named").isNull(), F.col("own"))), F.lit(0.0)).alias("rest"))
+    left = F.greatest(F.lit(0.0), 1 - F.col("_s.g"))
+    raw = F.coalesce("named", F.col("own") * left / F.col("_s.rest"))
+    sums_to = F.col("_s.g") + F.when(F.col("_s.rest") > 0, left).otherwise(F.lit(0.0))
+    return written(told.withColumn("_s", sides.select(F.struct("g", "rest")).scalar()).select(dim, "share", (raw / sums_to).alias("target")))
 
 
 @dataclass
 class Fit:
-    """A probability for each cell (its names in the order of DIMS), the share of tokens kept, and the largest miss of a share."""
+    """The cells (DIMS, tokens) with their probability, the share of tokens kept, and the largest miss of a share as a part of it."""
 
-    cells: list[tuple]
-    probability: np.ndarray
+    cells: DataFrame
     kept: float
     miss: float
 
 
-def _scaled(tokens: np.ndarray, p: np.ndarray, wanted: float) -> np.ndarray:
-    """min(1, f * p) for the f that makes sum(tokens * min(1, f * p)) what is wanted, or all that p allows."""
-    if wanted >= tokens[p > 0].sum():
-        return (p > 0).astype(float)
-    order = np.argsort(-p)
-    t, q = tokens[order], p[order]
-    full = np.concatenate(([0.0], np.cumsum(t)[:-1]))  # if so many of the largest are at 1
-    rest = np.cumsum((t * q)[::-1])[::-1]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        f = (wanted - full) / rest
-        k = int(np.argmax((f * q <= 1) & (rest > 0)))
-    return np.minimum(1.0, f[k] * p)
-
-
-def bounded_rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], kept: float) -> tuple[np.ndarray, float]:
-    """Probabilities <= 1 with kept of all tokens in the target shares, and the largest miss of a share, raked until it is under TOLERANCE."""
-    weight, total = np.ones(len(tokens)), tokens.sum() * kept
-    groups = [[np.flatnonzero(c == g) for g in range(len(t))] for c, t in zip(codes, targets, strict=True)]
-    miss = best = np.inf
-    p = np.minimum(1.0, weight)
-    for turn in range(MOST_ROUNDS):
-        # weight stays unbounded, so that a cell that was cut can come back below 1
-        for of, target in zip(groups, targets, strict=True):
-            for rows, share in zip(of, target, strict=True):
-                cut = _scaled(tokens[rows], weight[rows], share * total)
-                lead = int(np.argmin(cut))
-                if cut[lead] < 1 and weight[rows][lead] > 0:
-                    weight[rows] *= cut[lead] / weight[rows][lead]
-                else:
-                    weight[rows] = np.maximum(weight[rows], 1.0)
-        p = np.minimum(1.0, weight)
-        miss = max(np.abs(np.bincount(c, tokens * p, len(t)) / total - t).max() for c, t in zip(codes, targets, strict=True))
+def rake(cells: DataFrame, targets: dict[str, DataFrame], kept: float) -> tuple[DataFrame, float]:
+    """cells (DIMS, tokens; only those with tokens) with `weight`, fitted until kept of all tokens have the target shares, and the largest miss that is left."""
+    fitted = written(cells.where("tokens > 0").withColumn("weight", F.lit(float(kept))))
+    wanted = (fitted.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]) * kept
+    part = F.col("tokens") * F.least(F.lit(1.0), F.col("weight"))
+    miss = 0.0
+    for _ in range(MOST_ROUNDS):
+        step = fitted.withColumn("_miss", F.lit(0.0))
+        for dim in DIMS:
+            full = F.col("weight") >= 1
+            now = step.groupBy(dim).agg(F.sum(part).alias("_now"), F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("_full"), F.sum(F.when(full, 0.0).otherwise(part)).alias("_free"))
+            now = now.join(targets[dim].select(dim, (F.col("target") * wanted).alias("_to")), dim)
+            factor = F.when((F.col("_to") > F.col("_full")) & (F.col("_free") > 0), (F.col("_to") - F.col("_full")) / F.col("_free")).otherwise(F.col("_to") / F.col("_now"))
+            now = now.select(dim, F.greatest(F.lit(0.25), F.least(F.lit(4.0), factor)).alias("_factor"), F.abs(F.col("_now") / F.col("_to") - 1).alias("_off"))
+            step = step.join(now, dim).select(*DIMS, "tokens", (F.col("weight") * F.col("_factor")).alias("weight"), F.greatest("_miss", "_off").alias("_miss"))
+        stepped = written(step)
+        miss = stepped.agg(F.coalesce(F.max("_miss"), F.lit(0.0))).first()[0]
+        fitted = stepped.drop("_miss")
         if miss < TOLERANCE:
             break
-        if turn % 50 == 49:
-            if miss > 0.9 * best:
-                break  # no kept share this large has such probabilities
-            best = miss
-    return p, float(miss)
-
-
-def reached(cells: list[tuple], tokens: list[int], targets: list[dict[str, float]], keep: float = KEEP) -> Fit:
-    """The fit with the most tokens, up to keep, whose shares meet the targets. Where none does, as names occur together in too
-    few ways, the one of the smallest miss that was met."""
-    if not cells:
-        return Fit([], np.empty(0), 0.0, 0.0)
-    t = np.array(tokens, dtype=float)
-    names = [sorted(x) for x in targets]
-    codes = [np.array([n.index(c[d]) for c in cells]) for d, n in enumerate(names)]
-    shares = [np.array([x[k] for k in n]) for x, n in zip(targets, names, strict=True)]
-    most = min(keep, *((np.bincount(c, t, len(s)) / np.maximum(s, 1e-300)).min() / t.sum() for c, s in zip(codes, shares, strict=True)))
-    p, miss = bounded_rake(t, codes, shares, most)
-    found = Fit(cells, p, most, miss)
-    low, high = 0.0, most
-    while miss >= TOLERANCE and low == 0 and high > most / 1024 or low and high - low > 0.002 * high:
-        at = (low + high) / 2
-        p, now = bounded_rake(t, codes, shares, at)
-        if now < found.miss or now < TOLERANCE:
-            found = Fit(cells, p, at, now)
-        low, high = (at, high) if now < TOLERANCE else (low, at)
-    return found
-
-
-def fit_of(cells: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None) -> Fit:
-    """The fit of cells (DIMS, tokens)."""
-    held = cells.where("tokens > 0").orderBy(*DIMS).collect()
-    if not held:
-        return reached([], [], [], keep)
-    targets = [{r[0]: r[1] for r in targets_of(cells, dim, (given or {}).get(dim)).collect()} for dim in DIMS]
-    return reached([tuple(r[d] for d in DIMS) for r in held], [r["tokens"] for r in held], targets, keep)
+    return fitted, float(miss)
+
+
+def fit(cells: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None) -> Fit:
+    """The fit with as many tokens, up to keep, as the targets allow."""
+    targets = {dim: targets_of(cells, dim, (given or {}).get(dim)) for dim in DIMS}
+    bounds = [targets[dim].where("target > 0").agg(F.min(F.col("share") / F.col("target"))).first()[0] for dim in DIMS]
+    kept = min([keep, *(SLACK * b for b in bounds if b is not None)])
+    best = None
+    for turn in range(HALVINGS + 1):
+        fitted, miss = rake(cells, targets, kept / 2**turn)
+        if best is None or miss < best.miss:
+            best = Fit(fitted.withColumn("probability", F.least(F.lit(1.0), F.col("weight"))), kept / 2**turn, miss)
+        if miss < MET:
+            break
+    return best
 
 
 def chance(doc_id: Column) -> Column:
@@ -176,60 +124,57 @@ def chance(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, probability, sampled for each of docs."""
-    told = written(described(docs))
-    cells = written(told.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
-    targets = {dim: written(targets_of(cells, dim, (given or {}).get(dim))) for dim in DIMS}
-    fitted = calibrate(rake(cells, targets), keep)
-    joined = told.join(fitted.drop("tokens"), [*DIMS], "left").withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "probability": F.coalesce("probability", F.lit(keep))})
+def mix(docs: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None, topics=TOPICS, topic: str | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, weight, probability, residual (the largest miss of a share), sampled for each of docs."""
+    told = written(described(docs, topics, topic))
+    found = fit(written(told.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))), keep, given)
+    joined = told.join(found.cells.drop("tokens"), [*DIMS], "left").withColumns({"weight": F.coalesce("weight", F.lit(found.kept)), "probability": F.coalesce("probability", F.lit(found.kept)), "residual": F.lit(found.miss)})
     return joined.withColumn("sampled", chance(F.col("doc_id")) < F.col("probability"))
 
 
-def sample_mix(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The sampled ones of docs, with their columns, in shares that meet the targets. Cells without tokens take the kept share. The cells' probabilities are joined back on the cell, not on doc_id."""
-    told = written(described(docs))
-    cells = written(told.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
-    fit = fit_of(cells, keep)
-    rows = [(*c, float(p)) for c, p in zip(fit.cells, fit.probability, strict=True)]
-    fitted = docs.sparkSession.createDataFrame(rows, ", ".join(f"{d} string" for d in DIMS) + ", probability double")
-    cell = {"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": topic_of(F.coalesce(F.col("text"), F.lit("")))}
-    chances = fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.col("probability").alias("_p"))
+def sample_mix(docs: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None, topics=TOPICS) -> DataFrame:
+    """The sampled ones of docs, with their columns. The cells' probabilities are joined back on the cell, not on doc_id."""
+    told = written(described(docs, topics))
+    found = fit(written(told.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))), keep, given)
+    cell = {"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": topic_of(F.coalesce(F.col("text"), F.lit("")), topics)}
+    chances = found.cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.col("probability").alias("_p"))
     joined = carried(docs, "doc_id", "text", "source", "lang").withColumns(cell).drop("text", "source", "lang").join(chances, [*cell], "left")
-    return joined.where(chance(F.col("doc_id")) < F.coalesce("_p", F.lit(fit.kept))).select("_row.*")
+    return joined.where(chance(F.col("doc_id")) < F.coalesce("_p", F.lit(found.kept))).select("_row.*")
 
 
 def op5_rake_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 4).alias("probability"), F.round("residual", 6).alias("residual"), "sampled")
+
+
+SQL_ROUNDS = 30  # in which the shares settle; each engine's sums differ in the last bits only
 
 
 def _sql() -> str:
     topic = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in TOPICS) + f" ELSE '{OTHER}' END"
     steps, last = [], "w0"
     for dim in DIMS:
-        steps.append(f"""s_{dim} AS (SELECT {dim}, CAST(sum(tokens) AS DOUBLE) AS t FROM cells GROUP BY {dim} HAVING sum(tokens) > 0),
-r_{dim} AS (SELECT {dim}, pow(t / (SELECT sum(t) FROM s_{dim}), {EXPONENTS[dim]}) AS raw FROM s_{dim}),
-t_{dim} AS (SELECT {dim}, raw / (SELECT sum(raw) FROM r_{dim}) AS target FROM r_{dim})""")
-    steps.append("w0 AS MATERIALIZED (SELECT *, CAST(1 AS DOUBLE) AS weight FROM cells WHERE tokens > 0)")
-    for k in range(ROUNDS):
+        steps.append(f"""s_{dim} AS (SELECT {dim}, CAST(sum(tokens) AS DOUBLE) / (SELECT sum(tokens) FROM cells) AS share FROM cells GROUP BY {dim} HAVING sum(tokens) > 0),
+t_{dim} AS MATERIALIZED (SELECT {dim}, share, pow(share, {EXPONENTS[dim]}) / (SELECT sum(pow(share, {EXPONENTS[dim]})) FROM s_{dim}) AS target FROM s_{dim})""")
+    bounds = ", ".join(f"{SLACK} * (SELECT min(share / target) FROM t_{dim})" for dim in DIMS)
+    steps.append(f"k AS MATERIALIZED (SELECT least({KEEP}, {bounds}) AS kept, sum(tokens) AS total FROM cells)")
+    steps.append("w0 AS MATERIALIZED (SELECT source, lang, topic, tokens, kept AS weight FROM cells, k WHERE tokens > 0)")
+    for n in range(SQL_ROUNDS):
         for dim in DIMS:
-            new = f"w{k}_{dim}"
-            steps.append(f"{new} AS MATERIALIZED (SELECT x.* REPLACE (weight * target / now AS weight) FROM {last} x JOIN (SELECT {dim}, sum(tokens * weight) AS now FROM {last} GROUP BY {dim}) USING ({dim}) JOIN t_{dim} USING ({dim}))")
+            new = f"w{n}_{dim}"
+            steps.append(f"""{new} AS MATERIALIZED (SELECT x.* REPLACE (weight * greatest(0.25, least(4, CASE WHEN goal > filled AND free > 0 THEN (goal - filled) / free ELSE goal / now END)) AS weight) FROM {last} x JOIN (
+SELECT {dim}, target * kept * total AS goal, now, filled, free FROM (SELECT {dim}, sum(tokens * least(1, weight)) AS now, sum(CASE WHEN weight >= 1 THEN tokens ELSE 0 END) AS filled, sum(CASE WHEN weight < 1 THEN tokens * weight ELSE 0 END) AS free FROM {last} GROUP BY {dim})
+JOIN t_{dim} USING ({dim}), k) USING ({dim}))""")
             last = new
-    steps.append(f"c0 AS (SELECT *, CAST(0 AS DOUBLE) AS probability, false AS is_full FROM {last})")
-    for k in range(CAP_ROUNDS):
-        steps.append(f"""c{k + 1} AS MATERIALIZED (SELECT *, probability >= 1 AS is_full FROM (SELECT * EXCLUDE (is_full) REPLACE (CASE WHEN is_full THEN 1.0 ELSE least(1.0, greatest(0.0, weight * coalesce(
-(SELECT ({KEEP} * sum(tokens) - coalesce(sum(tokens) FILTER (is_full), 0)) / sum(tokens * weight) FILTER (NOT is_full) FROM c{k}), 0.0))) END AS probability) FROM c{k}))""")
     body = ",\n".join(steps)
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents),
 told AS MATERIALIZED (SELECT doc_id, source, lang, {topic} AS topic, CAST(len(regexp_extract_all(t, '{WORD}')) AS BIGINT) AS n_tokens FROM d),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM told GROUP BY ALL),
 {body}
-SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(weight, 1.0), 6) AS weight, round(coalesce(probability, {KEEP}), 6) AS probability,
-    CAST('0x' || substr(md5('{SEED}' || CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) / {float(1 << 48)} < coalesce(probability, {KEEP}) AS sampled
-FROM told LEFT JOIN c{CAP_ROUNDS} USING (source, lang, topic)
+SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(least(1, weight), kept), 4) AS probability, CAST(0 AS DOUBLE) AS residual,
+    CAST('0x' || substr(md5('{SEED}' || CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) / {float(1 << 48)} < coalesce(least(1, weight), kept) AS sampled
+FROM told LEFT JOIN {last} USING (source, lang, topic), k
 """
 
 

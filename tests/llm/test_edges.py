@@ -24,9 +24,10 @@ def docs(spark):
     return df.withColumns({c: F.lit("mine") for c in CLASH})
 
 
+KEY = b"test key"
 OPERATORS = {
     "licenses": licenses.scan_licenses, "simhash": simhash.near_duplicates, "katz": katz.score_documents, "mixing": mixing.mix,
-    "surrogates": surrogates.replace_pii, "sharding": lambda d: sharding.shard(sharding.written(sharding.sized(d))), "hostrules": hostrules.host_rules,
+    "surrogates": lambda d: surrogates.replace_pii(d, KEY), "sharding": lambda d: sharding.shard(sharding.written(sharding.sized(d))), "hostrules": hostrules.host_rules,
 }
 
 
@@ -203,24 +204,49 @@ def test_read_media_with_nulls(spark):
 
 def test_surrogates_keep_format():
     text = "Mr. John Smith met Mr Smith and Frau Müller: (212) 555-1234, +1 212-555-1234, 4111 1111 1111 1111, DE89 3704 0044 0532 0130 00, 10.0.0.1, г-жа Иванова."
-    new, n = surrogates.replace(text)
+    new, n = surrogates.replace(text, key=KEY)
     assert n == 9 and not any(x in new for x in ("Smith", "Müller", "1234", "4111", "3704", "10.0.0.1", "Иванова"))
     smith = new.split(" met ")[0].split()[-1]
     assert f"Mr {smith} and" in new
     assert any("Ѐ" <= c <= "ӿ" for c in new.split("г-жа ")[1])
-    card = new.split(", ")[2]
+    phone, longer, card = new.split(": ")[1].split(", ")[:3]
+    assert longer == "+1 " + phone.replace("(", "").replace(") ", "-")
     assert len(card) == 19 and surrogates._luhn(card.replace(" ", "")) == 0
-    assert surrogates.replace("order 4111111111111112, 9807915762804490") == ("order 4111111111111112, 9807915762804490", 0)
-    assert surrogates.replace("nothing here, 12.5 % of 2024-01-02") == ("nothing here, 12.5 % of 2024-01-02", 0)
+    assert surrogates.replace("order 4111111111111112, 9807915762804490", key=KEY) == ("order 4111111111111112, 9807915762804490", 0)
+    assert surrogates.replace("nothing here, 12.5 % of 2024-01-02", key=KEY) == ("nothing here, 12.5 % of 2024-01-02", 0)
+    assert surrogates.replace("4111111111111111", key=KEY) != surrogates.replace("4111111111111111", key=b"another")
+
+
+def changed(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return [r["text"] for r in sorted(surrogates.replace_pii(df, KEY, "n").collect(), key=lambda r: r["doc_id"])]
+
+
+def test_draws_end_where_all_short_forms_are_taken(spark):
+    mails = [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    got = changed(spark, [f"write to {m} now" for m in mails] + [f"{c}@{d}.io" for c in "ab" for d in "qrstuvwxyzabcdefghijklmnop"])
+    new = [t.split()[2] for t in got[:26]]
+    assert len(set(new)) == 26 and not set(new) & set(mails) and all(m.endswith("@example.com") for m in new)
+    hosts = [t.split("@")[1] for t in got[26:]]
+    assert len(set(hosts)) == 26 and hosts[:26] == hosts[26:] and all(h.endswith(".io") and len(h) > 4 for h in hosts)
 
 
 def test_collisions_are_drawn_again(spark, monkeypatch):
+    """First draws that can't be told apart: each but the first mover of its group moves, and all end up distinct."""
     real = surrogates.surrogate
-    monkeypatch.setattr(surrogates, "surrogate", lambda kind, canon, attempt=0, key=surrogates.KEY: f"{int(canon[:3]) % 7}{attempt}" if attempt < 1 else real(kind, canon, attempt, key))
-    rows = [(f"{i:03d}-00-0000",) for i in range(30)]
-    found = surrogates.redraws(spark.createDataFrame(rows, "canon string").select(F.lit("ssn").alias("kind"), "canon"))
-    got = {r["canon"]: r["attempt"] for r in found.collect()}
-    assert set(got) <= {r[0] for r in rows}
+    monkeypatch.setattr(surrogates, "_drawn", lambda key: lambda *c: F.when(F.col("attempt") < 1, F.concat(F.lit("x"), F.substring("canon", 3, 1))).otherwise(F.concat("canon", F.lit("'"), F.col("attempt"))))
+    df = spark.createDataFrame([(f"{i:03d}-00-0000",) for i in range(30)], "canon string").select(F.lit("ssn").alias("kind"), "canon", F.lit("").alias("gender"), F.lit(None).cast("string").alias("host"))
+    got = {r["canon"]: (r["attempt"], r["drawn"]) for r in surrogates.settle(df, KEY).collect()}
+    assert len(got) == 30 and len({d for _, d in got.values()}) == 30
+    assert {c for c, (n, _) in got.items() if n == 0} == {f"{i:03d}-00-0000" for i in range(10)}
+    assert real("ssn", "123456789", key=KEY) != "123456789"
+
+
+def test_names_are_one_person_over_titles(spark):
+    got = changed(spark, ["Mr Peter Jones came", "Dr Peter Jones left", "Dear Mr Jones, hello", "Contact Peter Jones today", "Anna Schmidt, Prof Anna Schmidt"])
+    first, last = got[0].split()[1:3]
+    assert got[1] == f"Dr {first} {last} left" and got[2] == f"Dear Mr {last}, hello" and got[3] == f"Contact {first} {last} today"
+    assert "Peter" not in " ".join(got) and got[4].split(", Prof ")[0] == got[4].split(", Prof ")[1] and "Anna" not in got[4]
 
 
 def test_chunks_resist_insertions():

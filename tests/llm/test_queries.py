@@ -103,30 +103,29 @@ def test_media(spark, docs):
 
 
 def test_pii(spark, docs):
-    from reeltable.llm import surrogates
+    """Against patterns of the test's own: what looks like an entity is gone, one entity has one surrogate, and nothing else moves."""
+    import re
 
+    mail, phone, ip = re.compile(r"[a-z0-9.]+@[a-z0-9.]*[a-z]"), re.compile(r"\+1 \(\d{3}\) \d{3}-\d{4}"), re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])")
     got = {r["doc_id"]: r for r in registry.QUERIES["op7_pii_surrogates"](spark, DATA).collect()}
-    names, drawn = {}, {}
+    assert len(got) == len(docs)
+    known, drawn, seen = {}, {}, 0
     for i, t in docs:
-        spans = surrogates.detect(t)
-        new = got[i]["text"]
-        assert got[i]["n_entities"] == len(spans)
-        if not spans:
+        new, n = got[i]["text"], got[i]["n_entities"]
+        if not n:
             assert new == t
             continue
-        at = shift = 0
-        for kind, a, b, gender in spans:
-            assert new[at + shift : a + shift] == t[at:a]
-            assert t[a:b] not in new or kind == "ip" and len(t[a:b]) < 9
-            # only its own length tells where a surrogate ends: the text after it is the same
-            end = next(e for e in range(a + shift + 1, len(new) + 1) if new[e:].startswith(t[b : b + 12]) and (e == len(new) or len(new) - e >= len(t) - b - 400))
-            s = new[a + shift : end]
-            key = (kind, tuple(surrogates.canonical(kind, t[a:b], gender)))
-            assert names.setdefault(key, s.lower()) == s.lower()  # one surrogate for all mentions
-            drawn.setdefault((kind, s.lower()), key)
-            assert drawn[kind, s.lower()] == key  # and no other's
-            at, shift = b, shift + len(s) - (b - a)
-        assert new[at + shift :] == t[at:]
+        for pattern in (mail, phone, ip):
+            a, b = pattern.findall((t or "").lower()), pattern.findall(new.lower())
+            assert len(a) == len(b) and not set(a) & set(b)
+            seen += len(a)
+            for x, y in zip(a, b, strict=True):
+                assert known.setdefault(x, y) == y and drawn.setdefault(y, x) == x
+                assert y.endswith(".example.com") or not x.endswith(".example.com")
+        # Words that no digit or @ touches stay, all but the few that an entity holds.
+        plain = lambda s: Counter(w for w in re.findall(r"\S+", s) if not re.search(r"[\d@]", w))
+        assert sum((plain(t) - plain(new)).values()) <= 3 * n
+    assert seen > 5
 
 
 def test_sharding(spark, docs):
