@@ -1,22 +1,35 @@
 """Best-fit packing of tokenised documents into sequences of at most `capacity` tokens, by bin completion.
 
 What a packing needs of a corpus is how many pieces have each length: at most `capacity` numbers, however many
-documents there are. Bin completion runs on that histogram: take the longest open length, enumerate the undominated
-fillings around it depth first (longest first, best fit as the first incumbent, pruned by the waste that the remaining
-lengths must leave), and repeat the best filling as often as its lengths last. Each step uses up at least one length,
-so there are at most `capacity` patterns. The documents then meet their patterns in Spark: each piece gets a number
-among those of its length (counted by salted groups, so that no length is one task's), and a lookup turns length and
-number into sequence and offset. The lookup has at most `capacity` * MAX_PIECES rows and is broadcast.
+documents there are. Best-fit decreasing on that histogram is the first incumbent. A plan is proven where it has as many
+sequences as the tokens need at least, or as the pieces of over half a sequence do (`lower_bound`). Otherwise bin
+completion looks for a shorter one: it takes the longest open length and enumerates the fillings around it, those with
+the least waste first. A filling is dominated, and left out, where one open length fits in place of one or two of its
+own and wastes less or is one piece instead of two. A branch ends where its waste is over what so many sequences can
+waste in all, and the search goes back over the sequences before. Then sequences that waste most are taken apart with
+some others and completed anew, again and again: the incumbent gives way where that takes fewer sequences.
+
+A histogram of many pieces is cut down first: fillings found in the same way are made as often as their lengths last,
+until TAIL pieces are left, and those are searched. The search has NODES nodes (sequences filled), a parameter: with more
+it finds shorter plans; the plan is whole whatever it is.
+
+The documents then meet their patterns in Spark: each piece gets a number among those of its length (counted by salted
+groups, so that no length is one task's), and a lookup turns length and number into sequence and offset. The lookup has
+at most a row a length and pattern and is broadcast.
 
 Defined results: a null or empty text is a document of its closing id alone (length 1). Repeated rows, also of one
-doc_id, are packed as documents of their own. An empty table gives an empty result. Only doc_id and text are read.
-Full pieces (length = capacity) are patterns of one.
+doc_id, and rows without one are packed as documents of their own; which of two pieces of one length takes which place is
+told by doc_id, piece and digest, and between equal ones it doesn't matter. A very long text is cut into full pieces,
+which are patterns of one. An empty table gives an empty result. Only doc_id and text are read, so other columns can't
+clash.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import os
+import random
 import re
 import string
 import struct
@@ -34,9 +47,9 @@ from pyspark.sql.window import Window
 from reeltable.llm.common import own_names, table, written
 
 CAPACITY, CLOSING_ID = 4096, 1
-#: A search looks at so many fillings at most, each of so many pieces at most; shorter sequences than need be are the only price.
-MAX_PIECES, MAX_NODES = 256, 400
-SALTS = 64
+#: Nodes of a search, and those until it starts over in another order; fillings looked at in a node, and steps for them; pieces searched at once.
+NODES, TURN, WIDTH, STEPS, TAIL = 30_000, 2_000, 8, 4_000, 1_500
+ROWS_PER_SALT = 4_096
 WORD_CACHE = 1 << 20
 BEHIND, PAST_LATIN = string.punctuation.replace("'", ""), "\u0250"  # an apostrophe may begin a token group with letters
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -129,55 +142,217 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     return chosen.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def complete_bin(counts: dict[int, int], lengths: list[int], capacity: int) -> list[int]:
-    """The filling around the longest length with the least waste that the search finds; lengths is sorted, ascending,
-    and has only lengths with counts > 0. The first filling is the best-fit one, and a branch goes where even all that
-    is left of the lengths it may use wastes as much as the incumbent."""
-    top, smallest = lengths[-1], lengths[0]
-    best, best_free, nodes = [top], capacity - top, 0
-
-    def descend(free: int, below: int, filling: list[int]) -> bool:
-        """Adds lengths of at most `below`. True once nothing can be better or the search has had its turn."""
-        nonlocal best, best_free, nodes
-        nodes += 1
-        if free < best_free:
-            best, best_free = list(filling), free
-        if best_free == 0 or nodes >= MAX_NODES:
-            return True
-        if free < smallest or len(filling) >= MAX_PIECES:
-            return False
-        i = bisect_right(lengths, min(below, free)) - 1
-        while i >= 0:
-            length = lengths[i]
-            left = counts[length] - filling.count(length)
-            if left > 0:
-                filling.append(length)
-                if descend(free - length, length, filling):
+class Open:
+    """The pieces that are still to be packed: how many of each length, and the lengths that there are, ascending."""
+
+    def __init__(self, histogram: dict[int, int]):
+        self.counts = {x: n for x, n in histogram.items() if n > 0}
+        self.lengths = sorted(self.counts)
+        self.pieces, self.tokens = sum(self.counts.values()), sum(x * n for x, n in self.counts.items())
+
+    def take(self, filling: list[int], times: int = 1) -> None:
+        for x in filling:
+            self.counts[x] -= times
+            if not self.counts[x]:
+                del self.counts[x], self.lengths[bisect_left(self.lengths, x)]
+        self.pieces -= len(filling) * times
+        self.tokens -= sum(filling) * times
+
+    def put_back(self, filling: list[int]) -> None:
+        for x in filling:
+            if x not in self.counts:
+                self.counts[x] = 0
+                insort(self.lengths, x)
+            self.counts[x] += 1
+        self.pieces += len(filling)
+        self.tokens += sum(filling)
+
+    def between(self, low: int, high: int) -> bool:
+        """Whether there is a length in [low, high]."""
+        i = bisect_left(self.lengths, low)
+        return i < len(self.lengths) and self.lengths[i] <= high
+
+    def fillings(self, gap: int, waste: int, start: float = 1.0) -> Iterator[list[int]]:
+        """Descending lists of lengths that fill gap but for waste at most, and that nothing more fits into; in STEPS steps at most.
+        They begin with the length at `start` of those that fit, go down, and then come to those above."""
+        lengths, counts, smallest = self.lengths, self.counts, self.lengths[0] if self.lengths else 0
+        steps = STEPS
+
+        def rest_of(gap: int, i: int, low: int, chosen: list[int]) -> Iterator[list[int]]:
+            nonlocal steps
+            any_fits = False
+            while i >= low and steps > 0:
+                steps -= 1
+                x = lengths[i]
+                if chosen.count(x) < counts[x]:
+                    any_fits, left = True, gap - x
+                    if left == 0 or left < smallest and left <= waste:
+                        yield [*chosen, x]
+                    elif left >= smallest:
+                        yield from rest_of(left, min(i, bisect_right(lengths, left) - 1), 0, [*chosen, x])
+                    else:  # neither full nor room for more: on to what leaves room
+                        i = min(i, bisect_right(lengths, gap - smallest))
+                i -= 1
+            if not any_fits and low == 0 and gap <= waste:
+                yield chosen
+
+        top = bisect_right(lengths, gap) - 1
+        if top < 0:
+            if gap <= waste:
+                yield []
+            return
+        first = int(top * start)
+        yield from rest_of(gap, first, 0, [])
+        if first < top:
+            yield from rest_of(gap, top, first + 1, [])
+
+    def dominated(self, filling: list[int], waste: int) -> bool:
+        """Whether an open length can stand for one of the filling's with less waste, or for two of them."""
+        for i, x in enumerate(filling):
+            if waste and self.between(x + 1, x + waste):
+                return True
+            for y in filling[i + 1 :]:
+                if self.between(x + y, x + y + waste):
                     return True
-                filling.pop()
-            if i < 3 and free - sum(x * counts[x] for x in lengths[:i]) >= best_free:
-                return False  # waste bound: all that is left can't fill enough
-            i -= 1
         return False
 
-    descend(capacity - top, min(top, capacity - top), [top])
-    return best
+    def candidates(self, gap: int, waste: int, width: int, start: float = 1.0) -> list[list[int]]:
+        """The first undominated fillings of gap, least waste first."""
+        found: list[tuple[int, list[int]]] = []
+        for filling in self.fillings(gap, waste, start):
+            left = gap - sum(filling)
+            if not self.dominated(filling, left):
+                found.append((left, filling))
+                if len(found) >= 4 * width or left == 0 and len(found) >= width:
+                    break
+        return [f for _, f in sorted(found, key=lambda f: f[0])[:width]]
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that are needed at least: by the tokens, and by pieces of which no two share a sequence together with what can't stand beside them."""
+    total = sum(x * n for x, n in histogram.items())
+    bound = -(-total // capacity)
+    for small in [1, *sorted(x for x in histogram if x <= capacity // 2)]:
+        alone = sum(n for x, n in histogram.items() if x > capacity - small)
+        big = {x: n for x, n in histogram.items() if capacity // 2 < x <= capacity - small}
+        rest = sum(x * n for x, n in histogram.items() if small <= x <= capacity // 2)
+        room = sum((capacity - x) * n for x, n in big.items())
+        bound = max(bound, alone + sum(big.values()) + max(0, -(-(rest - room) // capacity)))
+    return bound
+
+
+def search(histogram: dict[int, int], capacity: int, bins: int, nodes: int) -> list[list[int]] | None:
+    """Fillings that pack the histogram into so many sequences, if the search finds them in its nodes."""
+    spare = bins * capacity - sum(x * n for x, n in histogram.items())
+    if spare < 0:
+        return None
+    for turn in range(-(-nodes // TURN)):
+        open_, order = Open(histogram), random.Random(turn)
+        path: list[list[int]] = []
+        todo: list[Iterator[list[int]]] = []
+        left = [spare]
+        for _ in range(TURN):
+            if not open_.pieces:
+                return path
+            if len(path) < bins:
+                longest = open_.lengths[-1]
+                open_.take([longest])
+                # From a length drawn anew each time: always from the longest would use up the lengths in the middle.
+                found = open_.candidates(capacity - longest, left[-1], WIDTH, order.random())
+                open_.put_back([longest])
+                todo.append(iter([[longest, *f] for f in found]))
+            else:
+                todo.append(iter(()))
+            while todo and (step := next(todo[-1], None)) is None:  # back over the sequences before
+                todo.pop()
+                if path:
+                    open_.put_back(path.pop())
+                    left.pop()
+            if not todo:
+                return None  # all there is has been seen
+            open_.take(step)
+            path.append(step)
+            left.append(left[-1] - (capacity - sum(step)))
+    return None
+
+
+def refilled(histogram: dict[int, int], capacity: int, order: random.Random) -> list[list[int]]:
+    """The histogram packed by one filling after another around the longest length, each with the least waste of those looked at, from a length drawn anew each time."""
+    open_, found = Open(histogram), []
+    while open_.pieces:
+        longest = open_.lengths[-1]
+        open_.take([longest])
+        gap = capacity - longest
+        best = open_.candidates(gap, 0, 1, order.random()) or open_.candidates(gap, capacity, 2, order.random())
+        found.append([longest, *(best[0] if best else [])])
+        open_.take(found[-1][1:])
+    return found
 
 
-def completed(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """Patterns by bin completion: the filling around the longest open length, as often as its lengths last."""
-    counts = {length: n for length, n in histogram.items() if n > 0}
-    lengths, patterns = sorted(counts), []
-    while lengths:
-        filling = complete_bin(counts, lengths, capacity)
+def improved(fillings: list[list[int]], capacity: int, least: int, nodes: int) -> list[list[int]]:
+    """The sequences, some that waste most and some others taken apart and filled anew again and again. A round is kept if it takes
+    fewer sequences, or as many whose waste lies together better; where one sequence less could do, it is searched for with backtracking first."""
+    order, now = random.Random(1), [list(f) for f in fillings]
+    worth = lambda some: sum(sum(f) ** 2 for f in some)
+    spent = 0
+    while len(now) > least and spent < nodes:
+        now.sort(key=sum)
+        loose = sum(sum(f) < capacity for f in now)
+        few = min(loose, order.randint(2, 14))
+        others = order.sample(range(few, len(now)), min(len(now) - few, order.randint(2, 14)))
+        chosen = [*range(few), *others]
+        taken = [now[i] for i in chosen]
+        pieces = Counter(x for f in taken for x in f)
+        made = search(pieces, capacity, len(taken) - 1, len(taken)) if len(taken) < 12 else None
+        made = made or refilled(pieces, capacity, order)
+        spent += len(taken)
+        if (len(made), -worth(made)) <= (len(taken), -worth(taken)):
+            gone = set(chosen)
+            now = [f for i, f in enumerate(now) if i not in gone] + made
+    return now
+
+
+def tallied(fillings: list[list[int]]) -> list[tuple[list[int], int]]:
+    return [(list(f), n) for f, n in Counter(tuple(sorted(f, reverse=True)) for f in fillings).items()]
+
+
+def completed(histogram: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[list[int], int]]:
+    """Patterns by bin completion: in bulk while there are many pieces, then one by one with the search behind it."""
+    open_, patterns = Open(histogram), []
+    while open_.pieces > TAIL:
+        longest = open_.lengths[-1]
+        open_.take([longest])
+        found = open_.candidates(capacity - longest, capacity, WIDTH)
+        open_.put_back([longest])
+        filling = [longest, *(found[0] if found else [])]
         uses = Counter(filling)
-        times = min(counts[x] // n for x, n in uses.items())
+        times = max(1, min(min(open_.counts[x] // n for x, n in uses.items()), (open_.pieces - TAIL) // len(filling)))
+        open_.take(filling, times)
         patterns.append((filling, times))
-        for x, n in uses.items():
-            counts[x] -= n * times
-            if not counts[x]:
-                lengths.remove(x)
-    return patterns
+    return patterns + tallied(shortest(dict(open_.counts), capacity, nodes))
+
+
+def shortest(histogram: dict[int, int], capacity: int, nodes: int) -> list[list[int]]:
+    """The fewest sequences found for a histogram of at most about TAIL pieces; best fit's are the first incumbent."""
+    least = lower_bound(histogram, capacity)
+    best = [f for f, n in best_fit(histogram, capacity) for _ in range(n)]
+    if len(best) > least:
+        best = min(best, search(histogram, capacity, least, TURN) or best, refilled(histogram, capacity, random.Random(0)), key=len)
+        best = improved(best, capacity, least, nodes)
+    return best
+
+
+def repacked(patterns: list[tuple[list[int], int]], capacity: int, nodes: int = NODES) -> list[tuple[list[int], int]]:
+    """patterns, those sequences that waste most and some others taken apart and searched anew."""
+    taken, kept, pieces = Counter(), [], 0
+    for filling, times in sorted(patterns, key=lambda p: sum(p[0])):
+        n = min(times, max(0, (TAIL - pieces) // len(filling)))
+        pieces += n * len(filling)
+        if n:
+            taken.update({x: c * n for x, c in Counter(filling).items()})
+        if times > n:
+            kept.append((filling, times - n))
+    return kept + tallied(shortest(dict(taken), capacity, nodes))
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -202,10 +377,15 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[int],
     return [(filling, bins) for _, filling, bins in open_]
 
 
-def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths of a filling, how often it is made): bin completion's plan, or best fit's where that has fewer sequences."""
-    plans = completed(histogram, capacity), best_fit({x: n for x, n in histogram.items() if n > 0}, capacity)
-    return min(plans, key=lambda plan: sum(times for _, times in plan))
+def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[list[int], int]]:
+    """(lengths of a filling, how often it is made)."""
+    histogram = {x: n for x, n in histogram.items() if n > 0}
+    size = lambda plan: sum(times for _, times in plan)
+    best, least = best_fit(histogram, capacity), lower_bound(histogram, capacity)
+    for better in (lambda: completed(histogram, capacity, nodes), lambda: repacked(best, capacity, nodes)):
+        if size(best) > least:
+            best = min(best, better(), key=size)
+    return best
 
 
 def slots(patterns: list[tuple[list[int], int]]) -> list[tuple]:
@@ -224,15 +404,16 @@ def slots(patterns: list[tuple[list[int], int]]) -> list[tuple]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (doc_id, piece, length and more; a written table, as it is read twice) with sequence_id and offset."""
+    """pieces (doc_id, piece, length, ids_crc32 and more; a written table, as it is read twice) with sequence_id and offset."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity numbers
-    earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)  # of at most SALTS rows
+    salts = max(1, math.ceil(max(histogram.values(), default=0) / ROWS_PER_SALT))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)  # a row a salt
     offsets = groups.select("length", "_salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
     lookup = spark.createDataFrame(slots(plan_packing(histogram, capacity)), "length long, _from long, _to long, _uses long, _sequence long, _offset long")
-    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     numbered = salted.withColumn("_row", F.row_number().over(own) - 1).join(offsets, ["length", "_salt"]).withColumn("_k", F.col("_before") + F.col("_row"))
     # The lookup is bounded by the capacity, not by the documents.
     placed = numbered.join(F.broadcast(lookup), (numbered["length"] == lookup["length"]) & (F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_to"))).drop(lookup["length"])

@@ -163,6 +163,42 @@ def test_plans_are_whole_and_no_longer_than_best_fit():
         assert sum(t for _, t in plan) <= best_fit_decreasing(h)
 
 
+def fewest(lengths, capacity):
+    """By trying all."""
+    best = len(lengths)
+
+    def put(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(lengths):
+            best = len(room)
+            return
+        for k, free in enumerate(room):
+            if lengths[i] <= free and free not in room[:k]:
+                put(i + 1, [*room[:k], free - lengths[i], *room[k + 1 :]])
+        put(i + 1, [*room, capacity - lengths[i]])
+
+    put(0, [])
+    return best
+
+
+def test_plans_are_the_fewest_on_small_instances():
+    rng = random.Random(7)
+    for _ in range(60):
+        lengths = sorted((rng.randint(8, 60) for _ in range(rng.randint(4, 10))), reverse=True)
+        plan = packing.plan_packing(Counter(lengths), 100, 2_000)
+        assert sum(t for _, t in plan) == fewest(lengths, 100), lengths
+
+
+def test_exact_triples_come_near_the_fewest():
+    rng, lengths = random.Random(3), []
+    while len(lengths) < 300:
+        a, b = rng.randint(1100, 1700), rng.randint(1100, 1700)
+        lengths += [a, b, 4096 - a - b] if 1100 <= 4096 - a - b <= 1700 else []
+    assert sum(t for _, t in packing.plan_packing(Counter(lengths), 4096, 10_000)) <= 102
+
+
 def test_plans_find_exact_fillings():
     # Best fit takes 2000 + 2000, which leaves 96; the search finds 2000 + 1996 + 100.
     assert sum(t for _, t in packing.plan_packing({2000: 6, 1996: 6, 100: 6})) == 6
