@@ -5,18 +5,24 @@ words keep their discounted share, and what the discount frees goes to one class
 a(v) = (1 - sum of seen P(. | v)) / (1 - sum of P over the same words), so each context's probabilities sum to 1; a
 context whose counts are all above the discounted range gives up 1 / (c(v) + 1) of its mass.
 
-Documents are cut into batches of about TOKENS tokens, each one row of a written table with its own vocabulary. Twice
-a batch asks and gets answers, in key order: its words' counts and numbers from word buckets, then its bigrams' counts
-and contexts' sums from bigram buckets. So what is shuffled is each batch's distinct keys, as arrays of numbers, and not
-a row for each token. The tables of answers are the model's partitions. The number of buckets follows the input, so a
-bucket stays within a task's memory; contexts that hold a large share of the corpus (at most 4 a bucket) are spread over
-all buckets and only their sums, a row each, are put together again. Nothing but counts of counts and those sums
-reaches the driver.
-
-Words are told apart by 64-bit hashes.
+Documents are cut into batches of about TOKENS tokens, each one row of a written table with its own vocabulary. Counts
+are summed a batch first, then by key in buckets, which store the model as partitioned tables: words with their counts,
+and bigrams with theirs (`word_table` and `bigram_table` read them). Twice a batch asks and gets answers, in key order:
+its words' counts and numbers from word buckets, then its bigrams' counts and contexts' sums from bigram buckets; a token
+is then scored by its bigram, or by its word and the context's backoff weight. So what is shuffled is each batch's
+distinct keys, as arrays of numbers, and not a row for each token: a row for each bucket that a batch has keys of, so
+never more rows than distinct keys of batches, however many batches and buckets there are. The number of buckets, and
+with it that of the exchanges' partitions, follows the input, so a task's share stays as it is when the input grows.
+Contexts that hold a large share of the corpus (at most 4 a bucket) are spread over all buckets and only their sums, a
+row each, are put together again. Counts of counts and those sums alone reach the driver: K + 2 numbers a spread context.
+
+The order is two: a third one would shuffle each batch's trigrams with the probabilities below them, which takes more disk
+than four times the input (see the README). Words are told apart by 64-bit hashes.
 
 Defined results: a null or empty text is its end token alone. A null doc_id counts as the text "" for the split. Rows
-that repeat a doc_id are documents of their own. An empty table gives an empty result. Only doc_id and text are read.
+that repeat a doc_id are documents of their own. A very long text makes a batch of its own. Words of equal counts are
+numbered in the order of their hashes. An empty table gives an empty result. Only doc_id and text are read, so other
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -118,13 +124,16 @@ def batches_of(docs: DataFrame, per_batch: int = TOKENS) -> DataFrame:
     return chosen.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(gather, BATCHES)
 
 
-def by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places) for each bucket that has some, places in order."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in range(n):
-        if cuts[b] < cuts[b + 1]:
-            yield b, order[cuts[b] : cuts[b + 1]]
+    if len(bucket):
+        order = np.argsort(bucket, kind="stable")
+        starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+            yield int(bucket[order[a]]), order[a:b]
+
+
+MODEL = -1  # in place of a batch: the row is a bucket's part of the model
 
 
 ANSWERS = "batch long, level int, bucket int, a binary, b binary, c binary, stats array<long>, hot array<double>"
@@ -138,7 +147,7 @@ def answer_words(batches: DataFrame, buckets: int) -> DataFrame:
         for pdf in rows:
             for r in pdf.itertuples():
                 vocab, counts = unpacked(r.vocab), unpacked(r.counts)
-                asked = [(b, r.batch, packed(vocab[at]), packed(counts[at])) for b, at in by_bucket(mixed(vocab, buckets), buckets)]
+                asked = [(b, r.batch, packed(vocab[at]), packed(counts[at])) for b, at in by_bucket(mixed(vocab, buckets))]
                 yield pd.DataFrame(asked, columns=["bucket", "batch", "keys", "counts"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -150,15 +159,15 @@ def answer_words(batches: DataFrame, buckets: int) -> DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
         numbers = (1 + bucket + buckets * rank).astype(np.uint64)
         stats = [int(counts.sum()), int((counts > 0).sum()), *(int((counts == k).sum()) for k in range(1, K + 2))]
-        out, at = [], 0
+        out, at = [(MODEL, 1, bucket, packed(vocab), packed(small(numbers)), packed(small(counts)), stats, None)], 0
         for batch, k in zip(pdf["batch"], keys, strict=True):
             p = place[at : at + len(k)]
             at += len(k)
-            out.append((batch, 1, bucket, packed(small(numbers[p])), packed(small(counts[p])), None, stats if not out else None, None))
+            out.append((batch, 1, bucket, packed(small(numbers[p])), packed(small(counts[p])), None, None, None))
         return pd.DataFrame(out, columns=[x.split()[0] for x in ANSWERS.split(", ")])
 
     asked = batches.select("batch", "vocab", "counts").mapInPandas(ask, "bucket int, batch long, keys binary, counts binary")
-    return asked.groupBy("bucket").applyInPandas(answer, ANSWERS)
+    return asked.repartition(2 * buckets, "bucket").groupBy("bucket").applyInPandas(answer, ANSWERS)
 
 
 def discounts(counted: list[int]) -> np.ndarray:
@@ -197,7 +206,7 @@ def _numbered(vocab: np.ndarray, answers: pd.DataFrame, buckets: int) -> tuple[n
     """Numbers and counts of a batch's words, from its answers."""
     numbers, counts = np.zeros(len(vocab), np.uint64), np.zeros(len(vocab), np.int64)
     by = {int(b): (x, y) for b, x, y in zip(answers["bucket"], answers["a"], answers["b"], strict=True)}
-    for b, at in by_bucket(mixed(vocab, buckets), buckets):
+    for b, at in by_bucket(mixed(vocab, buckets)):
         numbers[at], counts[at] = unpacked(by[b][0]), unpacked(by[b][1])
     return numbers, counts
 
@@ -216,7 +225,12 @@ def _bucketed(contexts: np.ndarray, words: np.ndarray, hot: np.ndarray, buckets:
     return mixed(np.where(spread, contexts * MIX + words, contexts), buckets)
 
 
-def answer_bigrams(batches: DataFrame, words: DataFrame, level: Words, word_buckets: int, buckets: int, hot: list[int]) -> DataFrame:
+def by_batch(batches: DataFrame, answers: DataFrame, n: int):
+    """Each batch with its answers, in partitions of about half a batch."""
+    return batches.repartition(2 * n, "batch").groupBy("batch").cogroup(answers.where(F.col("batch") != MODEL).repartition(2 * n, "batch").groupBy("batch"))
+
+
+def answer_bigrams(batches: DataFrame, words: DataFrame, level: Words, word_buckets: int, buckets: int, hot: list[int], n_batches: int) -> DataFrame:
     """For each batch and bucket: a, the bigrams' counts; b, the contexts' sums, in the order of the batch's bigrams.
 
     A context's sums: its bigrams counted 1 to K times, the sum of larger counts, and sum P(w) over its seen words (c).
@@ -232,7 +246,7 @@ def answer_bigrams(batches: DataFrame, words: DataFrame, level: Words, word_buck
             trains = np.repeat(np.array([not held_out(i) for i in r.doc_ids]), sizes)
             seen = np.bincount(place[trains], minlength=len(v))
             gv, gw = np.append(numbers, np.uint64(0))[v], numbers[w]
-            for b, at in by_bucket(_bucketed(gv, gw, hot_a, buckets), buckets):
+            for b, at in by_bucket(_bucketed(gv, gw, hot_a, buckets)):
                 out.append((b, r.batch, packed(small(gv[at])), packed(small(gw[at])), packed(small(seen[at])), packed(small(counts[w[at]]))))
         return pd.DataFrame(out, columns=["bucket", "batch", "v", "w", "seen", "counts"])
 
@@ -259,23 +273,26 @@ def answer_bigrams(batches: DataFrame, words: DataFrame, level: Words, word_buck
         stats = [int((counts == k).sum()) for k in range(1, K + 2)]
         spread = np.flatnonzero(np.isin(contexts, hot_a))
         parts = np.column_stack([contexts[spread].astype(float), sums[:, spread].T, mass[spread]]).ravel().tolist()
-        bucket, out, at = int(pdf["bucket"].iloc[0]), [], 0
+        bucket, at, key_w = int(pdf["bucket"].iloc[0]), 0, np.zeros(len(keys), np.uint64)
+        key_w[place] = w
+        known = counts > 0
+        out = [(MODEL, 2, bucket, packed(small(key_v[known])), packed(small(key_w[known])), packed(small(counts[known])), stats, parts)]
         for batch, x in zip(pdf["batch"], vs, strict=True):
             own = place[at : at + len(x)]
             at += len(x)
             first = np.flatnonzero(np.diff(x, prepend=x[:1] + np.uint64(1)) != 0)  # each context's first bigram
             c = of[own[first]]
-            out.append((batch, 2, bucket, packed(small(counts[own])), packed(small(sums[:, c].ravel())), packed(mass[c]), stats if not out else None, parts if not out else None))
+            out.append((batch, 2, bucket, packed(small(counts[own])), packed(small(sums[:, c].ravel())), packed(mass[c]), None, None))
         return pd.DataFrame(out, columns=[x.split()[0] for x in ANSWERS.split(", ")])
 
-    asked = batches.groupBy("batch").cogroup(words.groupBy("batch")).applyInPandas(ask, "bucket int, batch long, v binary, w binary, seen binary, counts binary")
-    return asked.groupBy("bucket").applyInPandas(answer, ANSWERS)
+    asked = by_batch(batches, words, n_batches).applyInPandas(ask, "bucket int, batch long, v binary, w binary, seen binary, counts binary")
+    return asked.repartition(2 * buckets, "bucket").groupBy("bucket").applyInPandas(answer, ANSWERS)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores_of(batches: DataFrame, answers: DataFrame, level: Words, bigram_stats: list[int], word_buckets: int, buckets: int, hot: dict[int, list[float]]) -> DataFrame:
+def scores_of(batches: DataFrame, answers: DataFrame, level: Words, bigram_stats: list[int], word_buckets: int, buckets: int, hot: dict[int, list[float]], n_batches: int) -> DataFrame:
     d = discounts(bigram_stats)
     hot_a = np.array(sorted(hot), dtype=np.uint64)
 
@@ -299,7 +316,7 @@ def scores_of(batches: DataFrame, answers: DataFrame, level: Words, bigram_stats
             gv = np.append(numbers, np.uint64(0))[v]
             of = {int(b): (x, y, z) for lv, b, x, y, z in zip(got["level"], got["bucket"], got["a"], got["b"], got["c"], strict=True) if lv == 2}
             seen, under, alpha = np.zeros(len(v), np.int64), np.zeros(len(v)), np.zeros(len(v))
-            for b, at in by_bucket(_bucketed(gv, numbers[w], hot_a, buckets), buckets):
+            for b, at in by_bucket(_bucketed(gv, numbers[w], hot_a, buckets)):
                 x = gv[at]
                 new = np.diff(x, prepend=x[:1] + np.uint64(1)) != 0
                 mass = unpacked(of[b][2])
@@ -322,7 +339,7 @@ def scores_of(batches: DataFrame, answers: DataFrame, level: Words, bigram_stats
                 "base_score": total(base[tokens]), "score": total(logs[place])}))
         return pd.concat(out) if out else pd.DataFrame(columns=[x.split()[0] for x in SCORES.split(", ")])
 
-    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, SCORES)
+    return by_batch(batches, answers, n_batches).applyInPandas(score, SCORES)
 
 
 def _summed(answers: DataFrame, n: int) -> list[int]:
@@ -333,14 +350,37 @@ def _summed(answers: DataFrame, n: int) -> list[int]:
 def score_documents(docs: DataFrame, per_batch: int = TOKENS, keys_per_bucket: int = KEYS_PER_BUCKET) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each of docs."""
     batches = written(batches_of(docs, per_batch))
-    size = batches.agg(F.coalesce(F.sum("n_vocab"), F.lit(0)).alias("v"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
+    size = batches.agg(F.coalesce(F.sum("n_vocab"), F.lit(0)).alias("v"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
+    n = max(1, size["n"])
     word_buckets = max(1, math.ceil(size["v"] / keys_per_bucket))
     buckets = max(1, math.ceil(size["t"] / keys_per_bucket))
     words = written(answer_words(batches, word_buckets))
     level = Words(_summed(words, K + 3))
     hot = hot_contexts(words, level.n, buckets)
-    bigrams = written(answer_bigrams(batches, words, level, word_buckets, buckets, hot))
-    return scores_of(batches, words.unionByName(bigrams), level, _summed(bigrams, K + 1), word_buckets, buckets, spread_sums(bigrams) if hot else {})
+    bigrams = written(answer_bigrams(batches, words, level, word_buckets, buckets, hot, n))
+    return scores_of(batches, words.unionByName(bigrams), level, _summed(bigrams, K + 1), word_buckets, buckets, spread_sums(bigrams) if hot else {}, n)
+
+
+def word_table(words: DataFrame) -> DataFrame:
+    """The stored words: hash, number, and count in training."""
+
+    def read(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for a, b, c in zip(pdf["a"], pdf["b"], pdf["c"], strict=True):
+                yield pd.DataFrame({"word": unpacked(a).view(np.int64), "number": unpacked(b).astype(np.int64), "count": unpacked(c).astype(np.int64)})
+
+    return words.where(F.col("batch") == MODEL).select("a", "b", "c").mapInPandas(read, "word long, number long, count long")
+
+
+def bigram_table(bigrams: DataFrame) -> DataFrame:
+    """The stored bigrams: numbers of context (0: a text's start) and word, and count in training."""
+
+    def read(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for a, b, c in zip(pdf["a"], pdf["b"], pdf["c"], strict=True):
+                yield pd.DataFrame({"context": unpacked(a).astype(np.int64), "word": unpacked(b).astype(np.int64), "count": unpacked(c).astype(np.int64)})
+
+    return bigrams.where(F.col("batch") == MODEL).select("a", "b", "c").mapInPandas(read, "context long, word long, count long")
 
 
 def spread_sums(bigrams: DataFrame) -> dict[int, list[float]]:
@@ -362,7 +402,8 @@ def hot_contexts(words: DataFrame, n: int, buckets: int) -> list[int]:
                 counts = unpacked(b)
                 yield pd.DataFrame({"number": unpacked(a)[counts > least].astype(np.int64)})
 
-    return [r[0] for r in words.select("a", "b").mapInPandas(over, "number long").distinct().collect()]
+    model = words.where(F.col("batch") == MODEL)
+    return [r[0] for r in model.select(F.col("b").alias("a"), F.col("c").alias("b")).mapInPandas(over, "number long").distinct().collect()]
 
 
 def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Media columns in Ogg: a payload becomes two multiplexed logical streams and is read back from its stored bytes.
 
 Reading verifies each page's checksum and sequence number, parts the logical streams by serial number, reassembles
-packets from lacing values across pages, and derives times from granule positions. The sample stream holds 8-bit
-samples, so the payload is kept byte for byte; the index stream holds the CRC-32 of every sample packet.
+packets from lacing values across pages, and derives each packet's time from granule positions: a page's granule is the
+end of the last packet that ends on it, and packets before it end earlier by the samples of those behind. The sample
+stream holds 8-bit samples, so the payload is kept byte for byte; the index stream holds the CRC-32 of every sample packet.
 
 Defined results: a null text is an empty one, an empty payload is 64 zero bytes. Equal texts give equal bytes (serials
-come from the payload). Broken media give a null payload and a feature that names the fault; null media give nulls.
-Repeated rows, empty tables and extra columns pass through, as each row is coded by itself.
+come from the payload), so ties and repeated rows have equal values. Broken media give a null payload and a feature that
+names the fault; null media give nulls. Very long texts become many pages of one row, read whole. Empty tables and extra
+columns pass through, as each row is coded by itself; columns named payload and feature are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from reeltable.llm.common import own_names, table
 
@@ -122,28 +124,46 @@ def demux(media: bytes) -> dict[int, list[tuple[bytes, int | None]]]:
     return streams
 
 
-def read_back(media: bytes) -> tuple[bytes, str]:
-    """The payload and the features: pages, packets, logical streams, duration, granule positions."""
+def timed(packets: list[tuple[bytes, int | None]]) -> list[tuple[int, int]]:
+    """Start and end of each packet of a sample stream (without its header), in samples, from the granule positions."""
+    found, end = [], None
+    for data, granule in reversed(packets):
+        if granule is not None:
+            if end is not None and granule != end:
+                raise ValueError("a granule position is wrong")
+            end = granule
+        if end is None:
+            raise ValueError("the last granule position is missing")
+        found.append((end - len(data), end))
+        end -= len(data)
+    if end:
+        raise ValueError("a granule position is wrong")
+    return found[::-1]
+
+
+def opened(media: bytes) -> tuple[int, int, list[tuple[bytes, int | None]], int, int]:
+    """Rate, samples that the header tells, sample packets with their granule positions, numbers of streams and packets; verified against the index."""
     streams = demux(media)
     samples = next((s for s in streams.values() if s and s[0][0][:8] == SAMPLES), None)
     index = next((s for s in streams.values() if s and s[0][0] == INDEX), None)
     if samples is None or index is None:
         raise ValueError("a stream is missing")
     rate, size = struct.unpack("<IQ", samples[0][0][8:])
-    parts = [p for p, _ in samples[1:]]
     crcs = index[1][0] if len(index) > 1 else b""
-    if [*struct.unpack(f"<{len(crcs) // 4}I", crcs)] != [zlib.crc32(p) for p in parts]:
+    if [*struct.unpack(f"<{len(crcs) // 4}I", crcs)] != [zlib.crc32(p) for p, _ in samples[1:]]:
         raise ValueError("a packet differs from the index")
-    end, marks = 0, 0
-    for n, (_, granule) in enumerate(samples[1:]):
-        end += len(parts[n])
-        if granule is not None:
-            marks += 1
-            if granule != end:
-                raise ValueError("a granule position is wrong")
-    if end != size:
+    return rate, size, samples[1:], len(streams), sum(map(len, streams.values()))
+
+
+def read_back(media: bytes) -> tuple[bytes, str]:
+    """The payload and the features: logical streams, packets, granule positions, and the times of the end and of the last packet's start."""
+    rate, size, packets, streams, n = opened(media)
+    times = timed(packets)
+    if (times[-1][1] if times else 0) != size:
         raise ValueError("samples are missing")
-    return b"".join(parts), f"streams={len(streams)};packets={sum(map(len, streams.values()))};marks={marks};ms={size * 1000 // rate}"
+    marks = sum(g is not None for _, g in packets)
+    last, end = (t * 1000 // rate for t in times[-1]) if times else (0, 0)
+    return b"".join(p for p, _ in packets), f"streams={streams};packets={n};marks={marks};last_ms={last};ms={end}"
 
 
 def padded(text: str | None) -> bytes:
@@ -184,6 +204,30 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in df.columns if n in names), _decode(F.col(media)).alias("_read")).select("*", "_read.*").drop("_read")
 
 
+PACKETS = ArrayType(StructType([StructField("start_ms", LongType()), StructField("end_ms", LongType()), StructField("data", BinaryType())]))
+
+
+@pandas_udf(PACKETS)
+def _packets(media: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def one(m):
+        if m is None:
+            return None
+        try:
+            rate, _, packets, _, _ = opened(bytes(m))
+            return [{"start_ms": a * 1000 // rate, "end_ms": b * 1000 // rate, "data": p} for (p, _), (a, b) in zip(packets, timed(packets), strict=True)]
+        except (ValueError, struct.error):
+            return None
+
+    for s in media:
+        yield s.map(one)
+
+
+def explode_packets(df: DataFrame, media: str = "media") -> DataFrame:
+    """A row for each sample packet of df's media, with its number, times and bytes; null and broken media have none."""
+    rest = [F.col(f"`{n}`") for n in df.columns if n not in (media, "packet", "start_ms", "end_ms", "data")]
+    return df.select(*rest, F.posexplode(_packets(F.col(media))).alias("packet", "_p")).select("*", "_p.*").drop("_p")
+
+
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = own_names(table(spark, sf_dir, "documents"), "doc_id", "text")
     stored = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), text_to_media(F.coalesce("text", F.lit(""))).alias("media"))

@@ -219,6 +219,61 @@ def test_ogg_round_trip(size):
     assert ogg.read_back(ogg.mux(payload))[0] == payload
 
 
+def plain_ogg(media):
+    """{serial: (packets, granule of each or None)} by a reader of the test's own, with a checksum bit by bit."""
+    out, at, open_ = {}, 0, {}
+    while at < len(media):
+        assert media[at : at + 5] == b"OggS\0"
+        flags, granule = media[at + 5], int.from_bytes(media[at + 6 : at + 14], "little", signed=True)
+        serial, number, told, n = (int.from_bytes(media[at + i : at + i + w], "little") for i, w in ((14, 4), (18, 4), (22, 4), (26, 1)))
+        lacing = media[at + 27 : at + 27 + n]
+        end = at + 27 + n + sum(lacing)
+        crc = 0
+        for x in media[at : at + 22] + bytes(4) + media[at + 26 : end]:
+            crc ^= x << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ 0x04C11DB7 if crc >> 31 else crc << 1) & 0xFFFFFFFF
+        assert crc == told
+        pages = out.setdefault(serial, [[], [], 0, False])
+        assert bool(flags & 2) == (number == 0) and number == pages[2] and bool(flags & 1) == bool(open_.get(serial)) and not pages[3]
+        pages[2], pages[3] = number + 1, bool(flags & 4)
+        body, part, ended = at + 27 + n, open_.pop(serial, b""), 0
+        for value in lacing:
+            part += media[body : body + value]
+            body += value
+            if value < 255:
+                pages[0].append(part)
+                pages[1].append(None)
+                part, ended = b"", ended + 1
+        if part:
+            open_[serial] = part
+        if ended:
+            pages[1][-1] = granule
+        at = end
+    assert all(p[3] for p in out.values()) and not open_
+    return {k: (p[0], p[1]) for k, p in out.items()}
+
+
+@pytest.mark.parametrize("size", [64, 10_000, 25_024])
+def test_another_reader_reads_the_media(spark, size):
+    payload = bytes((i * 31 + i // 7) % 256 for i in range(size))
+    media = ogg.mux(payload)
+    (packets, granules), (index, _) = plain_ogg(media).values()
+    assert b"".join(packets[1:]) == payload and index[0] == b"CRCINDEX" and granules[-1] == size
+    ends = [sum(map(len, packets[1 : k + 2])) for k in range(len(packets) - 1)]
+    rows = ogg.explode_packets(spark.createDataFrame([(1, bytearray(media)), (2, None), (3, bytearray(b"junk"))], "doc_id long, media binary")).collect()
+    assert [(r["doc_id"], r["packet"], r["end_ms"], bytes(r["data"])) for r in rows] == [(1, k, e * 1000 // 8000, p) for k, (e, p) in enumerate(zip(ends, packets[1:], strict=True))]
+    assert all(g in (None, e) for g, e in zip(granules[1:], ends, strict=True))
+
+
+def test_media_query_on_odd_rows(spark, tmp_path, docs):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = ogg.op6_ogg_media(spark, str(tmp_path)).collect()
+    assert sorted(r["payload_bytes"] for r in got)[:2] == [64, 64] and len(got) == len(ROWS) and all(r["payload_bytes"] >= r["n_bytes"] and "fault" not in r["feature"] for r in got)
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert ogg.op6_ogg_media(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_ogg_crc_is_the_plain_one():
     def plain(data):
         crc = 0
@@ -377,13 +432,24 @@ def test_raking_meets_its_targets(spark):
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 80))) + ("|" if i % 5 == 0 else ""), "en" if rng.random() < 0.6 else "de", f"s{int(rng.integers(0, 4))}") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = mixing.mix(df, keep=0.4, given={"lang": {"en": 0.3, "de": 0.7}}).toPandas()
-    got["e"] = got["n_tokens"] * got["weight"]
+    got["e"] = got["n_tokens"] * got["probability"]
     share = got.groupby("lang")["e"].sum() / got["e"].sum()
-    assert share["en"] == pytest.approx(0.3, abs=0.01)
-    assert (got["n_tokens"] * got["probability"]).sum() == pytest.approx(0.4 * got["n_tokens"].sum(), rel=0.02)
+    assert share["en"] == pytest.approx(0.3, abs=1e-4) and got["residual"].max() < 1e-3
+    assert got["e"].sum() == pytest.approx(0.4 * got["n_tokens"].sum(), rel=1e-3)
     assert got["sampled"].mean() == pytest.approx(got["probability"].mean(), abs=0.04)
 
 
+def test_the_prior_is_free_of_noise(spark):
+    """Hosts that differ by chance alone get the common rate; hosts that differ get theirs."""
+    rng = np.random.default_rng(5)
+    alike = [(f"h{i}", bool(rng.random() < 0.3)) for i in range(400) for _ in range(10)]
+    apart = [(f"h{i}", i % 2 == 0) for i in range(40) for _ in range(50)]
+    for rows, spread in ((alike, 0.1), (apart, 0.9)):
+        hosts = hostrules.host_verdicts(spark.createDataFrame(rows, "source string, rule_failed boolean")).collect()
+        rates = [r["host_rate"] for r in hosts]
+        assert (max(rates) - min(rates) < spread) if spread < 0.5 else (max(rates) - min(rates) > spread)
+
+
 def test_a_bad_host_is_rejected(spark):
     good, bad = " ".join(f"w{i}" for i in range(80)), "spam spam spam " * 40
     rows = [(i, bad if i % 2 and i % 40 != 1 else good, "bad" if i % 2 else f"good{i % 8}") for i in range(800)]

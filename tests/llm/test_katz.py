@@ -56,7 +56,14 @@ def brute(docs):
         scale = 1.0 if kept < total * (1 - 1e-12) else total / (total + 1)
         if b in f:
             return d2(f[b]) * f[b] / total * scale
-        return (1 - kept / total * scale) / (1 - sum(map(p1, f))) * p1(b)
+        return alpha(a, kept, total, scale) * p1(b)
+
+    alphas = {}
+
+    def alpha(a, kept, total, scale):
+        if a not in alphas:
+            alphas[a] = (1 - kept / total * scale) / (1 - sum(map(p1, followers[a])))
+        return alphas[a]
 
     for a in list(followers)[:20]:  # exactly normalised: all words and the unknown class sum to 1
         assert sum(p2(a, b) for b in [*uni, "never seen"]) == pytest.approx(1)
@@ -77,6 +84,30 @@ def test_scores_equal_brute_force(spark, per_batch, keys):
         assert got[i] == pytest.approx(want[i], abs=1e-6), i
 
 
+def test_query_equals_brute_force(spark):
+    """The registered query over its whole table."""
+    from reeltable.llm import registry
+    from tests.compare import DATA, connect
+
+    want = brute(connect().sql("SELECT doc_id, text FROM documents").fetchall())
+    got = {r["doc_id"]: tuple(r)[1:] for r in registry.QUERIES["op3_katz_scores"](spark, DATA).collect()}
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-6), i
+
+
+def test_tables_hold_the_counts(spark):
+    docs = texts(160)
+    batches = katz.written(katz.batches_of(spark.createDataFrame(docs, "doc_id long, text string"), 300))
+    words = katz.written(katz.answer_words(batches, 3))
+    level = katz.Words(katz._summed(words, katz.K + 3))
+    bigrams = katz.written(katz.answer_bigrams(batches, words, level, 3, 2, katz.hot_contexts(words, level.n, 2), batches.count()))
+    train = [[w.lower() for w in (t or "").split()] + ["<end>"] for i, t in docs if not katz.held_out(i)]
+    uni, bi = Counter(w for ws in train for w in ws), Counter(p for ws in train for p in zip(["<s>", *ws], ws))
+    assert Counter(r["count"] for r in katz.word_table(words).collect() if r["count"]) == Counter(uni.values())
+    assert Counter(r["count"] for r in katz.bigram_table(bigrams).collect()) == Counter(bi.values())
+
+
 def test_spread_contexts_are_used(spark):
     df = spark.createDataFrame(texts(160), "doc_id long, text string")
     batches = katz.batches_of(df, 300)
