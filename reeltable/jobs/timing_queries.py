@@ -70,10 +70,12 @@ def needs_reclassify(s, d):
     return W.needs_reclassify(objects(s, d), 400).select(*ID, "classify")
 
 
-@query("fill_classifications", """, k AS (SELECT *, max(CASE WHEN attr_value IS NOT NULL THEN frame_num END) OVER (PARTITION BY stream_id, object_id ORDER BY frame_num) AS at FROM objects)
-SELECT k.stream_id, k.frame_id, o.attr_value, k.frame_num - k.at AS frames_ago FROM k LEFT JOIN objects o ON o.stream_id = k.stream_id AND o.frame_num = k.at""")
+@query("fill_classifications", """, k AS (SELECT *, max(CASE WHEN attr_value IS NOT NULL THEN frame_num END) OVER (PARTITION BY stream_id, object_id, label ORDER BY frame_num) AS at_ FROM objects WHERE object_id <> 0)
+SELECT k.stream_id, k.frame_id, coalesce(k.attr_value, o.attr_value) AS attr_value, CASE WHEN k.attr_value IS NULL THEN k.frame_num - k.at_ END AS frames_ago
+FROM k LEFT JOIN objects o ON o.stream_id = k.stream_id AND o.frame_num = k.at_
+UNION ALL SELECT stream_id, frame_id, attr_value, NULL FROM objects WHERE object_id = 0 OR object_id IS NULL""")
 def fill_classifications(s, d):
-    return W.fill_classifications(objects(s, d)).select(*ID, "attr_value", "frames_ago")
+    return W.fill_classifications(objects(s, d), layer="label").select(*ID, "attr_value", "frames_ago")
 
 
 @query("loop_frames", """, h AS (SELECT stream_id, frame_id, frame_num, pts FROM frames WHERE frame_num < 10), full_ AS (SELECT stream_id FROM h GROUP BY 1 HAVING count(*) = 10)
@@ -158,8 +160,16 @@ def count_objects(s, d):
     return A.count_objects(view(s, d, "detections"), ("stream_id", "label"), cube=True, tracks="frame_id")
 
 
-@query("color_histogram")
+PIXELS = """, hx AS (SELECT stream_id, frame_id, md5(CAST(frame_id AS VARCHAR) || 'a') || md5(CAST(frame_id AS VARCHAR) || 'b') || md5(CAST(frame_id AS VARCHAR) || 'c') AS h FROM frames),
+px AS (SELECT stream_id, frame_id, i % 4 AS x, i // 4 AS y, list_transform([0, 2, 4], lambda k: CAST('0x' || substr(h, i * 6 + k + 1, 2) AS INT) // 128) AS c FROM hx, range(0, 16) AS t(i)),
+wt AS (SELECT stream_id, frame_id, CAST(y // 2 * 2 + x // 2 AS INT) AS slice, 2 * (2 * c[1] + c[2]) + c[3] AS bin, exp(-0.5 * (pow(1 - x % 2, 2) + pow(1 - y % 2, 2))) AS w FROM px)
+SELECT stream_id, frame_id, slice, CAST(bin AS INT) AS bin, round(sum(w), 6) AS weight FROM wt GROUP BY ALL"""
+
+
+@query("color_histogram", PIXELS)
 def color_histogram(s, d):
-    pixels = F.to_binary(F.sha2(F.col("frame_id").cast("string"), 384), F.lit("hex"))
+    """4 x 4 pixels that the frame's number gives, in 2 x 2 slices; bins that have any."""
+    pixels = F.unhex(F.concat(*(F.md5(F.concat(F.col("frame_id").cast("string"), F.lit(c))) for c in "abc")))
     images = frames(s, d).select("stream_id", "frame_id", F.lit(4).alias("height"), F.lit(4).alias("width"), pixels.alias("pixels"))
-    return A.color_histogram(images, 2, 2).select("stream_id", "frame_id", "slice", F.round(F.array_max("histogram"), 6).alias("most"), F.round(F.aggregate("histogram", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    bins = A.color_histogram(images, 2, 2, 2).select("stream_id", "frame_id", "slice", F.posexplode("histogram").alias("bin", "weight"))
+    return bins.where("weight > 0").withColumn("weight", F.round("weight", 6))

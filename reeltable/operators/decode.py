@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reeltable.functions.columns import let
 from reeltable.operators.detections import FRAME
 
 BOXES = "stream_id int, frame_id long, roi_id int, x_min double, y_min double, x_max double, y_max double, confidence double, label_id int"
@@ -51,8 +52,9 @@ def decode_boxes(boxes: DataFrame, labels: DataFrame | None = None, scores: Data
     return out.where(F.col("confidence") >= threshold)
 
 
-def _grid(t: DataFrame, decode: Callable[[np.ndarray, Sequence[int]], np.ndarray], rotated: bool = False) -> DataFrame:
-    """decode(data, dims) gives rows of cx, cy, w, h, confidence, label (and rotation) for each tensor; boxes are numbered in its order."""
+def _grid(t: DataFrame, decode: Callable[[np.ndarray, Sequence[int]], np.ndarray], rotated: bool = False, input_w: float = 1.0, input_h: float = 1.0) -> DataFrame:
+    """decode(data, dims) gives rows of cx, cy, w, h, confidence, label (and rotation) for each tensor; boxes are numbered in its
+    order, and their corners are shares of the model's input."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -62,15 +64,15 @@ def _grid(t: DataFrame, decode: Callable[[np.ndarray, Sequence[int]], np.ndarray
                 if len(b):
                     cx, cy, w, h, conf, label = b.T[:6]
                     turned = {"rotation": b.T[6]} if rotated else {}
-                    out.append(pd.DataFrame({"stream_id": r.stream_id, "frame_id": r.frame_id, "roi_id": np.arange(len(b)), "x_min": cx - w / 2, "y_min": cy - h / 2, "x_max": cx + w / 2, "y_max": cy + h / 2, "confidence": conf, "label_id": label.astype(int), **turned}))
+                    out.append(pd.DataFrame({"stream_id": r.stream_id, "frame_id": r.frame_id, "roi_id": np.arange(len(b)), "x_min": (cx - w / 2) / input_w, "y_min": (cy - h / 2) / input_h, "x_max": (cx + w / 2) / input_w, "y_max": (cy + h / 2) / input_h, "confidence": conf, "label_id": label.astype(int), **turned}))
             if out:
                 yield pd.concat(out)
 
     return t.select(*FRAME, "dims", "data").mapInPandas(run, BOXES + ", rotation double" * rotated)
 
 
-def decode_yolo_v8(t: DataFrame, threshold: float = 0.5, obb: bool = False) -> DataFrame:
-    """[4 + C, N], transposed: centre, size and class scores; the greatest must be above the threshold. obb: one row more, the angle, given as `rotation`."""
+def decode_yolo_v8(t: DataFrame, threshold: float = 0.5, obb: bool = False, input_w: float = 1.0, input_h: float = 1.0) -> DataFrame:
+    """[4 + C, N], transposed: centre and size in pixels of the input and class scores; the greatest must be above the threshold. obb: one row more, the angle, given as `rotation`."""
 
     def decode(data, dims):
         m = data.reshape(dims[-2], dims[-1]).T
@@ -80,17 +82,17 @@ def decode_yolo_v8(t: DataFrame, threshold: float = 0.5, obb: bool = False) -> D
         keep = conf > threshold
         return np.column_stack([m[:, :4], conf, best, *([m[:, -1]] if obb else [])])[keep]
 
-    return _grid(t, decode, obb)
+    return _grid(t, decode, obb, input_w, input_h)
 
 
-def decode_yolo_v7(t: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """[N, 5 + C]: objectness, and times the greatest class score, at or above the threshold."""
+def decode_yolo_v7(t: DataFrame, threshold: float = 0.5, input_w: float = 1.0, input_h: float = 1.0) -> DataFrame:
+    """[N, 5 + C], boxes in pixels of the input: objectness, and times the greatest class score, at or above the threshold."""
 
     def decode(data, dims):
         m = data.reshape(-1, dims[-1])
         return _scored(m[:, :4], m, threshold)
 
-    return _grid(t, decode)
+    return _grid(t, decode, input_w=input_w, input_h=input_h)
 
 
 def _scored(boxes: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
@@ -101,7 +103,7 @@ def _scored(boxes: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def decode_yolo_x(t: DataFrame, input_w: int, input_h: int, threshold: float = 0.5, strides: Sequence[int] = (8, 16, 32)) -> DataFrame:
-    """[N, 5 + C] over the cells of each stride: centre = (value + cell) * stride, size = exp(value) * stride."""
+    """[N, 5 + C] over the cells of each stride: centre = (value + cell) * stride, size = exp(value) * stride, as shares of the input."""
     cells = np.concatenate([np.stack([*np.meshgrid(np.arange(input_w // s), np.arange(input_h // s)), np.full((input_h // s, input_w // s), s)], axis=-1).reshape(-1, 3) for s in strides])
 
     def decode(data, dims):
@@ -109,7 +111,7 @@ def decode_yolo_x(t: DataFrame, input_w: int, input_h: int, threshold: float = 0
         g = cells[: len(m)]
         return _scored(np.column_stack([(m[:, :2] + g[:, :2]) * g[:, 2:], np.exp(m[:, 2:4]) * g[:, 2:]]), m, threshold)
 
-    return _grid(t, decode)
+    return _grid(t, decode, input_w=input_w, input_h=input_h)
 
 
 def decode_yolo_grid(t: DataFrame, anchors: Sequence[float], classes: int, input_w: int, input_h: int, masks: Sequence[int] | None = None, threshold: float = 0.5, sigmoid: bool = True, softmax: bool = False) -> DataFrame:
@@ -132,10 +134,10 @@ def decode_yolo_grid(t: DataFrame, anchors: Sequence[float], classes: int, input
     return _grid(t, decode)
 
 
-def decode_yolo_v10(t: DataFrame, classes: int, threshold: float = 0.5) -> DataFrame:
-    """Rows of corners, confidence (above the threshold) and label modulo the number of classes."""
+def decode_yolo_v10(t: DataFrame, classes: int, threshold: float = 0.5, input_w: float = 1.0, input_h: float = 1.0) -> DataFrame:
+    """Rows of corners in pixels of the input, confidence (above the threshold) and label modulo the number of classes."""
     each = t.where(F.size("data") >= 6).select(*FRAME, F.posexplode(rows_of(F.col("data"), 6)).alias("roi_id", "r"))
-    return each.where(F.col("r")[4] > threshold).select(*FRAME, "roi_id", *(F.col("r")[i].alias(c) for i, c in enumerate(("x_min", "y_min", "x_max", "y_max", "confidence"))), (F.col("r")[5].cast("int") % classes).alias("label_id"))
+    return each.where(F.col("r")[4] > threshold).select(*FRAME, "roi_id", *((F.col("r")[i] / (input_w, input_h, input_w, input_h, 1.0)[i]).alias(c) for i, c in enumerate(("x_min", "y_min", "x_max", "y_max", "confidence"))), (F.col("r")[5].cast("int") % classes).alias("label_id"))
 
 
 def regress_boxes(rois: DataFrame, regression: DataFrame, probability: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -148,9 +150,10 @@ def regress_boxes(rois: DataFrame, regression: DataFrame, probability: DataFrame
 
 
 def softmaxed(data: Column) -> Column:
-    shifted = F.transform(data, lambda v: F.exp(v - F.array_max(data)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return F.transform(shifted, lambda v: v / total)
+    """Each part is computed once a row, so the work is linear in the number of classes."""
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    shifted = let(F.array_max(data), lambda most: F.transform(data, lambda v: F.exp(v - most)))
+    return let(shifted, lambda e: let(total(e), lambda t: F.transform(e, lambda v: v / t)))
 
 
 def _spaced(words: Column) -> Column:
@@ -190,10 +193,31 @@ def tensor_to_text(t: DataFrame, scale: float = 1.0, precision: int = 2) -> Data
     return t.withColumn("text", F.array_join(F.transform(F.col("data"), lambda v: F.format_string(f"%.{precision}f", v.cast("double") * F.lit(float(scale)))), ", "))
 
 
+def _best_classes(t: DataFrame) -> DataFrame:
+    """t with `_best`, the class of the greatest value of each step; dims [steps, classes]."""
+    steps = F.transform(F.sequence(F.lit(0), F.element_at("dims", -2) - 1), lambda i: F.slice("data", i * F.element_at("dims", -1) + 1, F.element_at("dims", -1)))
+    return t.withColumn("_best", F.transform(steps, lambda r: F.array_position(r, F.array_max(r)).cast("int") - 1))
+
+
+def decode_text_steps(t: DataFrame, charset: Sequence[str], min_length: int = 3, max_length: int = 32) -> DataFrame:
+    """dims [steps, classes]: the best class k of each step as charset[k], none where charset ends before k; repeats stay. At most
+    max_length characters; texts of min_length or fewer are blank."""
+    chars = F.array(*map(F.lit, charset))
+    text = F.substring(F.array_join(F.transform("_best", lambda k: F.coalesce(F.get(chars, k), F.lit(""))), ""), 1, max_length)
+    return _best_classes(t).withColumn("text", F.when(F.length(text) > min_length, text).otherwise("")).drop("_best")
+
+
+def most_common_text(t: DataFrame, n: int, keys: Sequence[str] = ("stream_id", "object_id"), order: Sequence[str] = ("pts",), text: str = "text") -> DataFrame:
+    """Each row's text becomes the most common of the last n readings of its key; of equally common ones the first in the alphabet."""
+    last = F.collect_list(text).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), 0))  # at most n
+    counted = let(last, lambda texts: F.array_sort(F.transform(F.array_distinct(texts), lambda x: F.struct((-F.size(F.filter(texts, lambda y: y == x))).alias("n"), x.alias("text")))))
+    return t.withColumn(text, F.get(counted, F.lit(0))["text"])
+
+
 def decode_text_ctc(t: DataFrame, charset: Sequence[str], min_length: int = 3) -> DataFrame:
     """dims [steps, classes]: the best class of each step, without class 0 and without repeats of the step before; texts
     under min_length are blank. Class k is charset[k - 1]."""
-    rows = t.withColumn("_best", F.transform(F.transform(F.sequence(F.lit(0), F.element_at("dims", -2) - 1), lambda i: F.slice("data", i * F.element_at("dims", -1) + 1, F.element_at("dims", -1))), lambda r: F.array_position(r, F.array_max(r)).cast("int") - 1))
+    rows = _best_classes(t)
     kept = F.filter("_best", lambda k, i: (k != 0) & ((i == 0) | (k != F.get("_best", i - 1))))
     text = F.array_join(F.transform(kept, lambda k: F.coalesce(F.get(F.array(*map(F.lit, charset)), k - 1), F.lit(""))), "")
     return rows.withColumn("text", F.when(F.length(text) >= min_length, text).otherwise("")).drop("_best")

@@ -70,10 +70,10 @@ def to_absolute(df: DataFrame) -> DataFrame:
 
 def undo_preprocess(df: DataFrame, transforms: DataFrame, keys: Sequence[str] = ("stream_id",)) -> DataFrame:
     """Corners back from the model's input to the region's own shares: times input size, less padding, plus crop, by
-    scale, by region size. transforms has in_w, in_h, pad_x, pad_y, crop_x, crop_y, scale_x, scale_y, roi_w, roi_h by keys."""
+    scale, by region size. Rows whose keys have no transform stay as they are. transforms has in_w, in_h, pad_x, pad_y, crop_x, crop_y, scale_x, scale_y, roi_w, roi_h by keys."""
     joined = df.join(transforms, [*keys], "left")
     back = lambda c, a, s: ((F.col(c) * F.col(f"in_{s}") - F.col(f"pad_{a}") + F.col(f"crop_{a}")) / F.col(f"scale_{a}")) / F.col(f"roi_{s}")
-    out = joined.withColumns({c: back(c, *(("x", "w") if c[0] == "x" else ("y", "h"))) for c in CORNERS})
+    out = joined.withColumns({c: F.when(F.col("in_w").isNull(), F.col(c)).otherwise(back(c, *(("x", "w") if c[0] == "x" else ("y", "h")))) for c in CORNERS})
     return out.select(*df.columns)
 
 

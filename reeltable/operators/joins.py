@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reeltable.functions.columns import let
 from reeltable.operators.detections import FRAME, rescale_rois
 
 SECOND = 1_000_000_000
@@ -26,25 +27,32 @@ def attach_rois_in_order(frames: DataFrame, entries: DataFrame, loop: bool = Fal
     return frames.withColumn("entry", place).join(entries, "entry", "left")
 
 
+def with_last(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, bucket: int, into: str = "last") -> DataFrame:
+    """left with the last row of right at or before it in `into` (a struct of right's columns but keys; null where there is none).
+
+    A key is sorted in time buckets, so its sort is many tasks'. A row before its bucket's first right row takes the last one of
+    the buckets before; of those, one row each is sorted by key. `at` is a number; of right rows at one time the greatest counts."""
+    keys = list(keys)
+    value = F.struct(F.col(at), *(F.col(c) for c in right.columns if c not in (*keys, at)))
+    slot = F.floor(F.col(at) / bucket)
+    r = right.select(*keys, at, value.alias(into), slot.alias("_b"), F.lit(0).alias("_side"))
+    both = left.withColumns({"_b": slot, "_side": F.lit(1)}).unionByName(r, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_b").orderBy(at, "_side", into).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn(into, F.last(into, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
+    early = near.where(F.col(into).isNull()).drop(into)
+    marks = r.groupBy(*keys, "_b").agg(F.max(into).alias(into)).unionByName(early.select(*keys, "_b").distinct(), allowMissingColumns=True).groupBy(*keys, "_b").agg(F.max(into).alias(into))  # a row a bucket
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select(*keys, "_b", F.last(into, ignorenulls=True).over(before).alias(into))
+    return near.where(F.col(into).isNotNull()).unionByName(early.join(carried, [*keys, "_b"], "left")).drop("_b")
+
+
 def merge_meta_asof(frames: DataFrame, metas: DataFrame, bucket_ns: int = 60 * SECOND) -> DataFrame:
-    """Each metadata row goes to the first frame of its stream at or after its pts; gap rows go nowhere.
-
-    A stream is sorted in time buckets, so its sort is many tasks'. A row after its bucket's last frame takes the first
-    frame of the next bucket that has one; buckets, one row each, are few."""
-    bucket = lambda c: F.floor(F.col(c) / bucket_ns)
-    f = frames.select("stream_id", "pts", F.col("frame_id").alias("_frame"), F.lit(1).alias("_side"), bucket("pts").alias("_b"))
-    m = metas.where(~F.coalesce("is_gap", F.lit(False)))
-    both = m.withColumns({"_side": F.lit(0), "_b": bucket("pts")}).unionByName(f, allowMissingColumns=True)
-    w = Window.partitionBy("stream_id", "_b").orderBy("pts", "_side").rowsBetween(0, Window.unboundedFollowing)
-    ahead = both.withColumn("_to", F.first(F.when(F.col("_side") == 1, F.struct(F.col("_frame").alias("id"), F.col("pts"))), ignorenulls=True).over(w)).where("_side = 0")
-    firsts = f.groupBy("stream_id", "_b").agg(F.min(F.struct("pts", "_frame")).alias("_f"))
-    late = ahead.where("_to is null").drop("_to")
-    marks = firsts.unionByName(late.select("stream_id", "_b").distinct(), allowMissingColumns=True).groupBy("stream_id", "_b").agg(F.max("_f").alias("_f"))  # a row a bucket
-    after = Window.partitionBy("stream_id").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    nxt = marks.select("stream_id", "_b", F.first("_f", ignorenulls=True).over(after).alias("_n")).where("_n is not null")
-    late = late.join(nxt, ["stream_id", "_b"]).withColumn("_to", F.struct(F.col("_n._frame").alias("id"), F.col("_n.pts").alias("pts"))).drop("_n")
-    out = ahead.where("_to is not null").unionByName(late)
-    return out.withColumns({"frame_id": F.col("_to.id"), "frame_pts": F.col("_to.pts")}).drop("_to", "_side", "_b", "_frame")
+    """Each metadata row goes to the first frame of its stream at or after its pts; gap rows go nowhere, and rows after the last
+    frame are left out. Counted backwards from the end, that frame is the last one at or before the row."""
+    f = frames.select("stream_id", (-F.col("pts")).alias("_back"), F.col("pts"), F.col("frame_id").alias("id"))
+    m = metas.where(~F.coalesce("is_gap", F.lit(False))).withColumn("_back", -F.col("pts"))
+    out = with_last(m, f, ["stream_id"], "_back", bucket_ns, "_to").where("_to is not null")
+    return out.withColumns({"frame_id": F.col("_to.id"), "frame_pts": F.col("_to.pts")}).drop("_to", "_back")
 
 
 def attach_tensors_to_rois(dets: DataFrame, tensors: DataFrame) -> DataFrame:
@@ -54,17 +62,24 @@ def attach_tensors_to_rois(dets: DataFrame, tensors: DataFrame) -> DataFrame:
 
 
 def merge_branches_interval(frames: DataFrame, metas: DataFrame, out_w: int | None = None, out_h: int | None = None, bucket_ns: int = SECOND) -> DataFrame:
-    """Metadata whose interval meets a frame's: end >= start of the frame and start < its end. Rows without an end hold
-    until the next of their stream and branch starts. Intervals are put into time buckets, so the join is on equal keys."""
-    nxt = F.min("start").over(Window.partitionBy("stream_id", "branch").orderBy("start").rangeBetween(1, Window.unboundedFollowing))
-    closed = metas.withColumn("_end", F.coalesce("end", nxt - 1, F.lit((1 << 62) - 1)))
-    last = frames.groupBy("stream_id").agg(F.max(F.col("pts") + F.col("duration")).alias("_max"))
-    spread = closed.join(last, "stream_id").withColumn("_end", F.least("_end", "_max")).where("start <= _end").withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket_ns), F.floor(F.col("_end") / bucket_ns)))).drop("_max")
-    f = frames.withColumn("_f_end", F.col("pts") + F.col("duration"))
-    f = f.select("stream_id", "frame_id", "pts", "_f_end", F.explode(F.sequence(F.floor(F.col("pts") / bucket_ns), F.floor(F.col("_f_end") / bucket_ns))).alias("_b"))
-    met = spread.join(f, ["stream_id", "_b"]).where((F.col("_end") >= F.col("pts")) & (F.col("start") < F.col("_f_end")))
-    once = met.where(F.col("_b") == F.greatest(F.floor(F.greatest(F.col("start"), F.col("pts")) / bucket_ns), F.floor(F.col("pts") / bucket_ns)))  # the bucket where both begin
-    out = once.drop("_b", "_f_end", "_end")
+    """Metadata whose interval meets a frame's: end >= start of the frame and start < its end. Rows without an end hold until
+    the next row of their stream and branch starts, so a frame has those of the last start at or before it, and those that
+    start in it. Only rows with an end are put into the time buckets they cover; held ones are found by the last start,
+    however long they hold. All joins are on equal keys."""
+    slots = lambda a, b: F.explode(F.sequence(F.floor(a / bucket_ns), F.floor(b / bucket_ns)))
+    f = frames.select("stream_id", "frame_id", "pts", (F.col("pts") + F.col("duration")).alias("_f_end"))
+    in_slots = f.withColumn("_b", slots(F.col("pts"), F.col("_f_end")))
+    closed = metas.where(F.col("end").isNotNull() & (F.col("start") <= F.col("end"))).withColumn("_b", slots(F.col("start"), F.col("end")))
+    met = closed.join(in_slots, ["stream_id", "_b"]).where((F.col("end") >= F.col("pts")) & (F.col("start") < F.col("_f_end")))
+    met = met.where(F.col("_b") == F.floor(F.greatest(F.col("start"), F.col("pts")) / bucket_ns)).drop("_b", "_f_end")  # the bucket where both have begun
+    held = metas.where(F.col("end").isNull())
+    starts = metas.select("stream_id", "branch", "start").distinct()
+    begun = starts.withColumn("_b", F.floor(F.col("start") / bucket_ns)).join(in_slots, ["stream_id", "_b"]).where((F.col("start") > F.col("pts")) & (F.col("start") < F.col("_f_end"))).select("stream_id", "branch", "start", "frame_id", "pts")
+    branches = held.select("stream_id", "branch").distinct()  # few of a stream
+    asked = f.join(branches, "stream_id").select("stream_id", "branch", "frame_id", F.col("pts").alias("at"), "pts")
+    last = with_last(asked, starts.withColumn("at", F.col("start")), ["stream_id", "branch"], "at", 60 * bucket_ns, "_l").where("_l is not null")
+    shown = last.select("stream_id", "branch", F.col("_l.start").alias("start"), "frame_id", "pts").unionByName(begun)
+    out = met.unionByName(held.join(shown, ["stream_id", "branch", "start"]))
     return rescale_rois(out, out_w, out_h) if out_w and out_h else out
 
 
@@ -85,29 +100,36 @@ def dot(a, b):
 
 
 def feature_distance(a, b, metric: str = "cosine"):
-    """Cosine distance of vectors (1 where lengths differ), or Bhattacharyya's of histograms."""
+    """Cosine distance of vectors (1 where lengths differ), or Bhattacharyya's of histograms: one less the coefficient, 1 where
+    one is empty."""
     if metric == "cosine":
         d = 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
     else:
         total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
         mixed = F.aggregate(F.zip_with(a, b, lambda x, y: F.sqrt(x.cast("double") * y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-        d = F.sqrt(F.greatest(F.lit(0.0), 1 - mixed / F.sqrt(total(a) * total(b))))
+        d = F.when((total(a) > 1e-4) & (total(b) > 1e-4), 1 - mixed / F.sqrt(total(a) * total(b))).otherwise(F.lit(1.0))
     return F.when(F.size(a) == F.size(b), d).otherwise(F.lit(1.0))
 
 
 def match_features(query: DataFrame, gallery: DataFrame, block: Sequence[str] = ("class_id",), metric: str = "cosine", max_distance: float = 0.2) -> DataFrame:
     """The nearest gallery feature of each query row, within its block (class, stream), and at most max_distance away.
 
-    The join is on the block, never of all with all; equal distances go to the smallest gallery_id."""
+    The join is on the block, never of all with all; equal distances go to the smallest gallery_id. Vectors are brought to
+    length one once a row, not once a pair."""
     g = gallery.select(*block, F.col("roi_id").alias("gallery_id"), F.col("feature").alias("_g"))
-    pairs = query.join(g, [*block]).withColumn("distance", feature_distance(F.col("feature"), F.col("_g"), metric))
-    best = pairs.groupBy(*block, "roi_id").agg(F.min(F.struct("distance", "gallery_id")).alias("_m"))
+    q = query
+    if metric == "cosine":
+        unit = lambda c: let(F.sqrt(dot(F.col(c), F.col(c))), lambda n: F.transform(F.col(c), lambda x: x.cast("double") / n))
+        g, q = g.withColumn("_g", unit("_g")), q.withColumn("feature", unit("feature"))
+        distance = F.when(F.size("feature") == F.size("_g"), 1 - dot(F.col("feature"), F.col("_g"))).otherwise(F.lit(1.0))
+    else:
+        distance = feature_distance(F.col("feature"), F.col("_g"), metric)
+    pairs = q.join(g, [*block]).select(*block, "roi_id", F.struct(distance.alias("distance"), "gallery_id").alias("_m"))
+    best = pairs.groupBy(*block, "roi_id").agg(F.min("_m").alias("_m"))
     return best.select(*block, "roi_id", F.col("_m.gallery_id").alias("gallery_id"), F.col("_m.distance").alias("distance")).where(F.col("distance") <= max_distance)
 
 
-def gate_by_trigger(controlled: DataFrame, triggers: DataFrame, label: str, order: str = "pts") -> DataFrame:
+def gate_by_trigger(controlled: DataFrame, triggers: DataFrame, label: str, order: str = "pts", bucket: int = 60 * SECOND) -> DataFrame:
     """Controlled frames pass while the last object seen before has the label; of a trigger frame's objects the last decides."""
-    t = triggers.groupBy("stream_id", order).agg(F.max_by("label", "roi_id").alias("_label")).withColumn("_side", F.lit(0))
-    both = controlled.withColumn("_side", F.lit(1)).unionByName(t, allowMissingColumns=True)
-    w = Window.partitionBy("stream_id").orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_open", F.last("_label", ignorenulls=True).over(w) == label).where("_side = 1 AND _open").drop("_side", "_open", "_label")
+    t = triggers.groupBy("stream_id", order).agg(F.max_by("label", "roi_id").alias("label"))
+    return with_last(controlled, t, ["stream_id"], order, bucket, "_l").where(F.col("_l.label") == label).drop("_l")

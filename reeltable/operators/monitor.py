@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,18 +63,45 @@ def mean_frame_latency(df: DataFrame, observed: str = "observed", timecode: str
     return df.rollup("stream_id").agg(F.avg(F.col(observed) - F.col(timecode)).alias("latency"))
 
 
-def latency_running(trace: DataFrame, keys: Sequence[str] = ("element",), order: Sequence[str] = ("src_ts", "frame_id")) -> DataFrame:
-    """Each element's latency with its mean, least and most so far, and the number of frames."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], at: Column, bucket: int, parts: dict[str, tuple[str, Column]]) -> DataFrame:
+    """df with each of parts (name: sum, min, max or count, of a column) over its key's rows so far.
+
+    A key is sorted in buckets of `at` (a whole number that grows with the order), so its sort is many tasks'; a row a bucket
+    brings what the buckets before add up to."""
+    keys, combine = list(keys), {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+    make = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+    join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + b, "count": lambda a, b: F.coalesce(a, F.lit(0)) + b, "min": F.least, "max": F.greatest}
+    rows = df.withColumn("_b", F.floor(at / bucket))
+    here = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_b").agg(*(make[how](c).alias(f"_{n}") for n, (how, c) in parts.items()))
+    sums = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_kb"), *(combine[how](f"_{n}").over(before).alias(f"_{n}") for n, (how, _) in parts.items()))
+    near = rows.withColumns({n: make[how](c).over(here) for n, (how, c) in parts.items()})
+    same = F.col("_b") == F.col("_kb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    both = near.join(sums, same, "left").withColumns({n: join[how](F.col(f"_{n}"), F.col(n)) for n, (how, _) in parts.items()})
+    return both.drop("_b", "_kb", *(f"_k{i}" for i in range(len(keys))), *(f"_{n}" for n in parts))
+
+
+HOUR = 3_600
+
+
+def latency_running(trace: DataFrame, keys: Sequence[str] = ("element",), order: Sequence[str] = ("src_ts", "frame_id"), bucket_s: int = HOUR) -> DataFrame:
+    """Each element's latency with its mean, least and most so far, and the number of frames; order begins with a timestamp."""
     v = F.col("latency_ms")
-    return trace.withColumns({"avg_ms": F.avg(v).over(w), "min_ms": F.min(v).over(w), "max_ms": F.max(v).over(w), "frame_num": F.count("*").over(w)})
+    out = running(trace, keys, order, F.unix_seconds(F.col(order[0]).cast("timestamp")), bucket_s, {"_sum": ("sum", v), "_n": ("count", v), "min_ms": ("min", v), "max_ms": ("max", v), "frame_num": ("count", F.lit(1))})
+    return out.withColumn("avg_ms", F.col("_sum") / F.col("_n")).drop("_sum", "_n")
 
 
-def pipeline_latency_running(trace: DataFrame, keys: Sequence[str] = ("stream_id",), order: Sequence[str] = ("src_ts", "frame_id")) -> DataFrame:
+def pipeline_latency_running(trace: DataFrame, keys: Sequence[str] = ("stream_id",), order: Sequence[str] = ("src_ts", "frame_id"), bucket_s: int = HOUR) -> DataFrame:
     """latency_running, with the mean time between outputs so far and the frames a second that it gives."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    since = (F.unix_micros("src_ts") - F.min(F.unix_micros("src_ts")).over(w)) / 1000
-    out = latency_running(trace, keys, order).withColumn("interval_ms", since / F.col("frame_num"))
+    first = trace.groupBy(*(F.col(k).alias(f"_f{i}") for i, k in enumerate(keys))).agg(F.min(F.unix_micros("src_ts")).alias("_first"))  # a row a key
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_f{i}"))
+    out = latency_running(trace, keys, order, bucket_s).join(first, same)
+    out = out.withColumn("interval_ms", (F.unix_micros("src_ts") - F.col("_first")) / 1000 / F.col("frame_num")).drop("_first", *(f"_f{i}" for i in range(len(keys))))
     return out.withColumn("fps", F.when(F.col("interval_ms") > 0, 1000 / F.col("interval_ms")))
 
 
@@ -92,12 +119,15 @@ def element_hops(trace: DataFrame, keys: Sequence[str] = ("stream_id", "frame_id
     return trace.withColumn("hop_ms", (F.unix_micros("src_ts") - F.unix_micros(before)) / 1000)
 
 
-def buffer_occupancy(events: DataFrame) -> DataFrame:
-    """Of +1 and -1 events (element, ts, delta, buffer_id): buffers in flight, their mean over time, distinct ones in and out."""
-    w = Window.partitionBy("element").orderBy("ts", "buffer_id", "delta")
-    held = events.withColumns({"n": F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)), "dt": (F.unix_micros(F.lead("ts").over(w)) - F.unix_micros("ts")) / 1e6})
-    return held.groupBy("element").agg(
-        F.sum("delta").alias("in_flight"), (F.sum(F.col("n") * F.col("dt")) / F.sum("dt")).alias("mean_in_flight"),
+def buffer_occupancy(events: DataFrame, bucket_s: int = HOUR) -> DataFrame:
+    """Of +1 and -1 events (element, ts, delta, buffer_id): buffers in flight, their mean over time, distinct ones in and out.
+
+    The time integral of what is in flight is a sum over events: each delta counts until the element's last event."""
+    t = F.unix_micros("ts").cast("double") / 1e6
+    ends = events.groupBy(F.col("element").alias("_e")).agg(F.min(t).alias("_first"), F.max(t).alias("_last"))  # a row an element
+    timed = events.join(ends, F.col("element").eqNullSafe(F.col("_e")))
+    return timed.groupBy("element").agg(
+        F.sum("delta").alias("in_flight"), (F.sum(F.col("delta") * (F.col("_last") - t)) / F.first(F.col("_last") - F.col("_first"))).alias("mean_in_flight"),
         F.countDistinct(F.when(F.col("delta") > 0, F.col("buffer_id"))).alias("buffers_in"), F.countDistinct(F.when(F.col("delta") < 0, F.col("buffer_id"))).alias("buffers_out"))
 
 
@@ -108,22 +138,23 @@ def count_objects(dets: DataFrame, by: Sequence[str] = ("label",), cube: bool =
     return grouped.agg(F.count("*").alias("objects"), *distinct)
 
 
-def color_histogram(images: DataFrame, bins: int = 8, slices: int = 1) -> DataFrame:
-    """RGB histogram of each horizontal slice, Gaussian-weighted about its centre; bin B*(B*r + g) + b. images: frame key,
-    height, width, pixels (binary, RGB interleaved)."""
+def color_histogram(images: DataFrame, bins: int = 8, slices_x: int = 1, slices_y: int = 1) -> DataFrame:
+    """RGB histogram of each slice of a grid, row by row, each pixel weighted by a Gaussian about the slice's centre; bin
+    B*(B*r + g) + b of channel values by 256 // B. images: frame key, height, width, pixels (binary, RGB interleaved)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                img = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3).astype(np.int64) * bins // 256
+                img = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3).astype(np.int64) // (256 // bins)
                 index = bins * (bins * img[..., 0] + img[..., 1]) + img[..., 2]
-                for s, (block) in enumerate(np.array_split(index, slices)):
-                    h, w = block.shape
-                    y, x = (np.arange(h) + 0.5) / h - 0.5, (np.arange(w) + 0.5) / w - 0.5
-                    weight = np.exp(-2 * (y[:, None] ** 2 + x[None, :] ** 2))
-                    hist = np.bincount(block.ravel(), weights=weight.ravel(), minlength=bins**3)
-                    out.append((r.stream_id, r.frame_id, s, (hist / hist.sum()).tolist()))
+                h, w = r.height // slices_y, r.width // slices_x
+                dy, dx = (0.5 * h - np.arange(h)) / (0.5 * h), (0.5 * w - np.arange(w)) / (0.5 * w)
+                weight = np.exp(-0.5 * (dy[:, None] ** 2 + dx[None, :] ** 2)).ravel()
+                for y in range(slices_y):
+                    for x in range(slices_x):
+                        block = index[y * h : (y + 1) * h, x * w : (x + 1) * w]
+                        out.append((r.stream_id, r.frame_id, y * slices_x + x, np.bincount(block.ravel(), weights=weight, minlength=bins**3).tolist()))
             yield pd.DataFrame(out, columns=["stream_id", "frame_id", "slice", "histogram"])
 
     return images.select("stream_id", "frame_id", "height", "width", "pixels").mapInPandas(count, "stream_id int, frame_id long, slice int, histogram array<double>")

@@ -97,11 +97,15 @@ def needs_reclassify(df: DataFrame, interval: int = 1, keys: Sequence[str] = ("s
     return scanned.unionByName(df.where(~tracked).withColumn("classify", F.lit(True)))
 
 
-def fill_classifications(df: DataFrame, value: str = "attr_value", keys: Sequence[str] = ("stream_id", "object_id"), order: str = "frame_num") -> DataFrame:
-    """The last result of each (object, layer) is carried on, with how many frames ago it was made."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def fill_classifications(df: DataFrame, value: str = "attr_value", keys: Sequence[str] = ("stream_id", "object_id"), order: str = "frame_num", layer: str | None = None) -> DataFrame:
+    """A tracked object's rows without a result take its last one (of their layer, if a column tells it), with how many frames ago
+    that was made in `frames_ago`; rows with a result of their own have none. Untracked rows (object_id null or 0) stay as they are."""
+    tracked = F.coalesce(F.col("object_id"), F.lit(0)) != 0
+    w = Window.partitionBy(*keys, *([layer] if layer else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(order).alias("at"))), ignorenulls=True).over(w)
-    return df.withColumn("_l", last).withColumns({value: F.col("_l.v"), "frames_ago": F.col(order) - F.col("_l.at")}).drop("_l")
+    filled = df.where(tracked).withColumn("_l", last)
+    filled = filled.withColumns({"frames_ago": F.when(F.col(value).isNull(), F.col(order) - F.col("_l.at")), value: F.coalesce(F.col(value), F.col("_l.v"))}).drop("_l")
+    return filled.unionByName(df.where(~tracked), allowMissingColumns=True)
 
 
 def loop_frames(df: DataFrame, n_in: int, n_out: int, index: Column | None = None) -> DataFrame:
