@@ -10,7 +10,7 @@ waste in all, and the search goes back over the sequences before. Then sequences
 some others and completed anew, again and again: the incumbent gives way where that takes fewer sequences.
 
 A histogram of many pieces is cut down first: fillings found in the same way are made as often as their lengths last,
-until TAIL pieces are left, and those are searched. The search has NODES nodes (sequences filled), a parameter: with more
+until TAIL pieces are left, and those are searched. The search fills NODES pieces anew, a parameter: with more
 it finds shorter plans; the plan is whole whatever it is.
 
 The documents then meet their patterns in Spark: each piece gets a number among those of its length (counted by salted
@@ -47,8 +47,8 @@ from pyspark.sql.window import Window
 from reeltable.llm.common import own_names, table, written
 
 CAPACITY, CLOSING_ID = 4096, 1
-#: Nodes of a search, and those until it starts over in another order; fillings looked at in a node, and steps for them; pieces searched at once.
-NODES, TURN, WIDTH, STEPS, TAIL = 30_000, 2_000, 8, 4_000, 1_500
+#: Pieces that a search fills anew at most, and sequences until it starts over in another order; fillings looked at in a node, and steps for them; pieces searched at once.
+NODES, TURN, WIDTH, STEPS, TAIL = 60_000, 1_000, 8, 600, 1_500
 ROWS_PER_SALT = 4_096
 WORD_CACHE = 1 << 20
 BEHIND, PAST_LATIN = string.punctuation.replace("'", ""), "\u0250"  # an apostrophe may begin a token group with letters
@@ -184,7 +184,10 @@ class Open:
             while i >= low and steps > 0:
                 steps -= 1
                 x = lengths[i]
-                if chosen.count(x) < counts[x]:
+                run = 0  # chosen descends, so what it holds of x stands at its end
+                while run < len(chosen) and chosen[-1 - run] == x:
+                    run += 1
+                if run < counts[x]:
                     any_fits, left = True, gap - x
                     if left == 0 or left < smallest and left <= waste:
                         yield [*chosen, x]
@@ -207,7 +210,8 @@ class Open:
             yield from rest_of(gap, top, first + 1, [])
 
     def dominated(self, filling: list[int], waste: int) -> bool:
-        """Whether an open length can stand for one of the filling's with less waste, or for two of them."""
+        """Whether an open length can stand for one of the filling's first few with less waste, or for two of them."""
+        filling = filling[:4]
         for i, x in enumerate(filling):
             if waste and self.between(x + 1, x + waste):
                 return True
@@ -305,7 +309,7 @@ def improved(fillings: list[list[int]], capacity: int, least: int, nodes: int) -
         pieces = Counter(x for f in taken for x in f)
         made = search(pieces, capacity, len(taken) - 1, len(taken)) if len(taken) < 12 else None
         made = made or refilled(pieces, capacity, order)
-        spent += len(taken)
+        spent += pieces.total()
         if (len(made), -worth(made)) <= (len(taken), -worth(taken)):
             gone = set(chosen)
             now = [f for i, f in enumerate(now) if i not in gone] + made
@@ -322,7 +326,7 @@ def completed(histogram: dict[int, int], capacity: int, nodes: int = NODES) -> l
     while open_.pieces > TAIL:
         longest = open_.lengths[-1]
         open_.take([longest])
-        found = open_.candidates(capacity - longest, capacity, WIDTH)
+        found = open_.candidates(capacity - longest, 0, 1) or open_.candidates(capacity - longest, capacity, 2)
         open_.put_back([longest])
         filling = [longest, *(found[0] if found else [])]
         uses = Counter(filling)
@@ -382,7 +386,7 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int
     histogram = {x: n for x, n in histogram.items() if n > 0}
     size = lambda plan: sum(times for _, times in plan)
     best, least = best_fit(histogram, capacity), lower_bound(histogram, capacity)
-    for better in (lambda: completed(histogram, capacity, nodes), lambda: repacked(best, capacity, nodes)):
+    for better in (lambda: repacked(best, capacity, nodes), lambda: completed(histogram, capacity, nodes)):
         if size(best) > least:
             best = min(best, better(), key=size)
     return best
