@@ -69,16 +69,26 @@ def decode_yolo_v7(s, d):
     return D.decode_yolo_v7(t, 0.3).select("stream_id", "frame_id", "roi_id", *boxcols(), "label_id")
 
 
-@query("decode_yolo_x")
+ARGMAX = "CAST(list_position({0}, list_max({0})) - 1 AS INT)"
+
+
+@query("decode_yolo_x", f"""SELECT stream_id, frame_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY i) - 1 AS INT) AS roi_id, round(((m[1] + gx) * s - exp(m[3]) * s / 2) / 16 + 1e-9, 6) AS x_min, round(((m[2] + gy) * s + exp(m[4]) * s / 2) / 24 + 1e-9, 6) AS y_max,
+round(conf + 1e-9, 6) AS confidence, {ARGMAX.format("m[6:8]")} AS label_id FROM (SELECT *, m[5] * list_max(m[6:8]) AS conf, CASE WHEN i < 6 THEN 8 ELSE 12 END AS s, CASE WHEN i < 6 THEN i % 2 ELSE 0 END AS gx, CASE WHEN i < 6 THEN i // 2 ELSE i - 6 END AS gy
+FROM (SELECT CAST(vec_id % 16 AS INT) AS stream_id, vec_id AS frame_id, i, list_transform(v[i * 8 + 1:i * 8 + 8], lambda x: abs(x) * 5) AS m FROM (SELECT vec_id, {VEC} AS v FROM embeddings), range(0, 8) AS t(i))) WHERE m[5] >= 0.1 AND conf >= 0.1""")
 def decode_yolo_x(s, d):
-    t = vectors(s, d).withColumns({"data": F.transform(F.slice("data", 1, 35), lambda v: F.abs(v) * 5), "dims": F.array(F.lit(5), F.lit(7))})
-    return D.decode_yolo_x(t, 16, 16, 0.1, (8, 16)).select("stream_id", "frame_id", "roi_id", *boxcols(), "label_id")
+    """Eight cells of eight values: six of stride 8 and two of stride 12 over an input of 16 by 24."""
+    t = vectors(s, d).withColumns({"data": F.transform("data", lambda v: F.abs(v) * 5), "dims": F.array(F.lit(8), F.lit(8))})
+    return D.decode_yolo_x(t, 16, 24, 0.1, (8, 12)).select("stream_id", "frame_id", "roi_id", *boxcols(), "label_id")
 
 
-@query("decode_yolo_grid")
+@query("decode_yolo_grid", f"""SELECT stream_id, frame_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY n) - 1 AS INT) AS roi_id, round((q[1] + x) / 2 - exp(z[3]) * aw / 64 / 2 + 1e-9, 6) AS x_min, round((q[2] + y) / 2 + exp(z[4]) * ah / 64 / 2 + 1e-9, 6) AS y_max,
+round(conf + 1e-9, 6) AS confidence, {ARGMAX.format("q[6:8]")} AS label_id FROM (SELECT *, q[5] * list_max(q[6:8]) AS conf FROM (SELECT *, list_transform(z, lambda c: 1 / (1 + exp(-c))) AS q FROM (
+SELECT CAST(vec_id % 16 AS INT) AS stream_id, vec_id AS frame_id, n, n // 4 AS y, n // 2 % 2 AS x, CASE n % 2 WHEN 0 THEN 10 ELSE 16 END AS aw, CASE n % 2 WHEN 0 THEN 13 ELSE 30 END AS ah,
+  list_transform(range(0, 8), lambda k: v[((n % 2 * 8 + k) * 2 + n // 4) * 2 + n // 2 % 2 + 1]) AS z FROM (SELECT vec_id, {VEC} AS v FROM embeddings), range(0, 8) AS t(n)))) WHERE q[5] >= 0.2 AND conf >= 0.2""")
 def decode_yolo_grid(s, d):
-    t = vectors(s, d).withColumns({"data": F.slice("data", 1, 56), "dims": F.array(F.lit(14), F.lit(2), F.lit(2))})
-    return D.decode_yolo_grid(t, (10, 13, 16, 30), 2, 64, 64, threshold=0.2).select("stream_id", "frame_id", "roi_id", *boxcols(), "label_id")
+    """Two anchors of 5 values and 3 classes in 2 by 2 cells."""
+    t = vectors(s, d).withColumn("dims", F.array(F.lit(16), F.lit(2), F.lit(2)))
+    return D.decode_yolo_grid(t, (10, 13, 16, 30), 3, 64, 64, threshold=0.2).select("stream_id", "frame_id", "roi_id", *boxcols(), "label_id")
 
 
 @query("regress_boxes", """SELECT stream_id, frame_id, roi_id, round(x_min + 0.1 * (x_max - x_min) + 1e-9, 5) AS x_min, round(y_max - 0.2 * (y_max - y_min) + 1e-9, 5) AS y_max, confidence FROM detections WHERE confidence >= 0.7""")
@@ -108,10 +118,9 @@ def classify_multi(s, d):
     return D.classify(vectors(s, d), LABELS, "multi", 0.2).select("frame_id", "label", F.round("confidence", 6).alias("confidence"))
 
 
-@query("classify_compound", f"""SELECT vec_id AS frame_id, array_to_string(list_transform(list_filter(range(1, 5), lambda i: v[i] > 0), lambda i: CASE WHEN v[i] >= 0.1 THEN 'is' ELSE 'maybe' END || CAST(i - 1 AS VARCHAR)), ' ') AS label FROM (SELECT vec_id, {VEC} AS v FROM embeddings)""")
+@query("classify_compound", f"""SELECT vec_id AS frame_id, array_to_string(list_transform(list_filter(range(1, 65), lambda i: v[i] > 0), lambda i: CASE WHEN v[i] >= 0.1 THEN 'is' ELSE 'maybe' END || CAST(i - 1 AS VARCHAR)), ' ') AS label FROM (SELECT vec_id, {VEC} AS v FROM embeddings)""")
 def classify_compound(s, d):
-    t = vectors(s, d).withColumn("data", F.slice("data", 1, 4))
-    return D.classify(t, [f"{w}{i}" for i in range(4) for w in ("is", "maybe")], "compound", 0.1).select("frame_id", "label")
+    return D.classify(vectors(s, d), [f"{w}{i}" for i in range(64) for w in ("is", "maybe")], "compound", 0.1).select("frame_id", "label")
 
 
 @query("classify_index", f"""SELECT vec_id AS frame_id, CASE WHEN list_max(u) > 0 THEN array_to_string(list_transform(u, lambda x: chr(CAST(97 + x AS INT))), '') END AS label FROM (
@@ -122,9 +131,9 @@ def classify_index(s, d):
     return D.classify(t, list("abcdefgh"), "index").select("frame_id", "label")
 
 
-@query("tensor_to_text", f"SELECT vec_id AS frame_id, array_to_string(list_transform({VEC}[1:4], lambda x: format('{{:.2f}}', round(x * 10 + 100.001, 2))), ', ') AS text FROM embeddings")
+@query("tensor_to_text", f"SELECT vec_id AS frame_id, array_to_string(list_transform({VEC}, lambda x: format('{{:.2f}}', round(x * 10 + 100.001, 2))), ', ') AS text FROM embeddings")
 def tensor_to_text(s, d):
-    t = vectors(s, d).withColumn("data", F.transform(F.slice("data", 1, 4), lambda v: F.round(v * 10 + 100.001, 2)))
+    t = vectors(s, d).withColumn("data", F.transform("data", lambda v: F.round(v * 10 + 100.001, 2)))
     return D.tensor_to_text(t).select("frame_id", "text")
 
 
@@ -134,6 +143,19 @@ def decode_text_ctc(s, d):
     return D.decode_text_ctc(vectors(s, d).withColumn("dims", F.array(F.lit(16), F.lit(4))), list("xyz")).select("frame_id", "text")
 
 
+@query("decode_text_steps", f"""SELECT vec_id AS frame_id, CASE WHEN len(t) > 3 THEN t ELSE '' END AS text FROM (SELECT vec_id, substr(array_to_string(list_transform(b, lambda k: CASE WHEN k < 3 THEN substr('xyz', CAST(k + 1 AS INT), 1) ELSE '' END), ''), 1, 32) AS t FROM (
+  SELECT vec_id, list_transform(range(0, 16), lambda i: list_position(v[i * 4 + 1:i * 4 + 4], list_max(v[i * 4 + 1:i * 4 + 4])) - 1) AS b FROM (SELECT vec_id, {VEC} AS v FROM embeddings)))""")
+def decode_text_steps(s, d):
+    return D.decode_text_steps(vectors(s, d).withColumn("dims", F.array(F.lit(16), F.lit(4))), list("xyz")).select("frame_id", "text")
+
+
+@query("most_common_text", """, w AS (SELECT stream_id, frame_num, frame_id, unnest(list(label) OVER (PARTITION BY stream_id, object_id ORDER BY frame_num ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS label FROM objects),
+c AS (SELECT stream_id, frame_id, label, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY stream_id, frame_id ORDER BY n DESC, label) AS k FROM c)
+SELECT stream_id, frame_id, label FROM r WHERE k = 1""")
+def most_common_text(s, d):
+    return D.most_common_text(view(s, d, "objects"), 5, order=("frame_num",), text="label").select("stream_id", "frame_id", "label")
+
+
 @query("normalize_tensor", f"""SELECT vec_id AS frame_id, round(list_sum(list_transform(range(1, 65), lambda i: v[i] / 255 * CASE i % 2 WHEN 1 THEN 2.0 ELSE 3.0 END + CASE i % 2 WHEN 1 THEN 0.5 ELSE 0.25 END)), 6) AS total FROM (SELECT vec_id, {VEC} AS v FROM embeddings)""")
 def normalize_tensor(s, d):
     t = D.normalize_tensor(vectors(s, d), mean=(0.5, 0.25), std=(2.0, 3.0))
@@ -186,18 +208,23 @@ def transcribe_chunks(s, d):
     return c.select("stream_id", "chunk", F.col("size").cast("int").alias("size"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 8).alias("total"))
 
 
-JSON = """, o AS (SELECT stream_id, frame_id, roi_id, width, height, pts, '{"x":' || x || ',"y":' || y || ',"w":' || w || ',"h":' || h || ',"region_id":' || roi_id || ',"roi_type":"' || label || '","detection":{"bounding_box":{"x_min":' || CAST(x_min AS VARCHAR) || ',"x_max":' || CAST(x_max AS VARCHAR) || ',"y_min":' || CAST(y_min AS VARCHAR)
-  || ',"y_max":' || CAST(y_max AS VARCHAR) || '},"confidence":' || CAST(confidence AS VARCHAR) || ',"label_id":' || label_id || ',"label":"' || label || '"}}' AS j FROM best_)
-SELECT stream_id, frame_id, '{"resolution":{"width":' || any_value(width) || ',"height":' || any_value(height) || '},"timestamp":' || any_value(pts) || ',"objects":[' || string_agg(j, ',' ORDER BY roi_id) || ']}' AS json FROM o GROUP BY stream_id, frame_id"""
+DOCUMENT = """SELECT stream_id, frame_id, width, height, pts, roi_id, label, label_id, x, y, w, h, round(x_min + 1e-9, 6) AS x_min, round(y_min + 1e-9, 6) AS y_min, round(x_max + 1e-9, 6) AS x_max, round(y_max + 1e-9, 6) AS y_max, confidence, CAST(row_number() OVER (PARTITION BY stream_id, frame_id ORDER BY roi_id) - 1 AS INT) AS position FROM best"""
 
 
-def kept(s, d):
-    return N.nms(wanted(s, d)).withColumns({c: F.round(c, 4) + 1 for c in ("x_min", "y_min", "x_max", "y_max")})
+def documents(s, d):
+    """De-duplicated persons and vehicles of each frame as JSON."""
+    return S.frames_to_json(view(s, d, "frames"), N.nms(wanted(s, d)))
 
 
-@query("frames_json", nms_sql(", best_ AS (SELECT * REPLACE (round(x_min, 4) + 1 AS x_min, round(y_min, 4) + 1 AS y_min, round(x_max, 4) + 1 AS x_max, round(y_max, 4) + 1 AS y_max) FROM best)" + JSON))
+@query("frames_json", nms_sql(DOCUMENT))
 def frames_json(s, d):
-    return S.frames_to_json(view(s, d, "frames"), kept(s, d))
+    """The documents' values, read from their text."""
+    from reeltable.schemas import FRAME
+
+    docs = documents(s, d).select("stream_id", "frame_id", F.from_json("json", FRAME).alias("d")).select("stream_id", "frame_id", "d.resolution.width", "d.resolution.height", F.col("d.timestamp").alias("pts"), F.posexplode("d.objects").alias("position", "o"))
+    box = F.col("o.detection.bounding_box")
+    return docs.select("stream_id", "frame_id", "width", "height", "pts", "position", F.col("o.region_id").alias("roi_id"), F.col("o.roi_type").alias("label"), "o.detection.label_id", *(F.col(f"o.{c}").alias(c) for c in "xywh"),
+                       *(F.round(box[c] + 1e-9, 6).alias(c) for c in ("x_min", "y_min", "x_max", "y_max")), "o.detection.confidence")
 
 
 @query("explode_objects", """SELECT stream_id, frame_id, roi_id, label, confidence, round(x_max + 1e-9, 6) AS x_max FROM detections""")
@@ -209,18 +236,21 @@ def explode_objects(s, d):
     return S.explode_objects(docs).select("stream_id", "frame_id", F.col("region_id").alias("roi_id"), "label", "confidence", F.round(F.col("x_max") + 1e-9, 6).alias("x_max"))
 
 
-@query("audio_events_json", """SELECT stream_id, block_id, '{"channels":1,"rate":16000,"events":[' || string_agg('{"start_timestamp":' || start || ',"end_timestamp":' || start + 100 || ',"event_type":"' || label || '","detection":{"segment":{"start_timestamp":' || start || ',"end_timestamp":' || start + 100 || '},"confidence":' || CAST(floor(attr_value * 100) / 100 AS VARCHAR) || ',"label_id":' || object_id || ',"label":"' || label || '"}}', ',' ORDER BY start) || ']}' AS json
-FROM (SELECT stream_id, frame_num // 64 AS block_id, frame_num * 1000 AS start, label, attr_value, object_id FROM objects WHERE attr_value BETWEEN 0.01 AND 1000000) GROUP BY ALL""")
+@query("audio_events_json", """SELECT stream_id, frame_num // 64 AS block_id, frame_num * 1000 AS start, frame_num * 1000 + 100 AS end_, label, object_id AS label_id, trunc(attr_value * 100) / 100 AS confidence, 1 AS channels, 16000 AS rate FROM objects WHERE attr_value IS NOT NULL""")
 def audio_events_json(s, d):
-    o = view(s, d, "objects").where("attr_value between 0.01 and 1000000")
+    """The documents' values, read from their text."""
+    o = view(s, d, "objects").where("attr_value is not null")
     e = o.select("stream_id", F.floor(F.col("frame_num") / 64).alias("block_id"), (F.col("frame_num") * 1000).alias("start"), (F.col("frame_num") * 1000 + 100).alias("end"), F.col("label").alias("event_type"), F.col("attr_value").alias("confidence"), F.col("object_id").alias("label_id"))
-    return S.audio_events_to_json(e)
+    schema = "channels int, rate int, events array<struct<event_type string, detection struct<segment struct<start_timestamp long, end_timestamp long>, confidence double, label_id int, label string>>>"
+    docs = S.audio_events_to_json(e).select("stream_id", "block_id", F.from_json("json", schema).alias("d")).select("stream_id", "block_id", "d.channels", "d.rate", F.explode("d.events").alias("e"))
+    return docs.select("stream_id", "block_id", "channels", "rate", F.col("e.detection.segment.start_timestamp").alias("start"), F.col("e.detection.segment.end_timestamp").alias("end_"), "e.detection.label", "e.detection.label_id", "e.detection.confidence")
 
 
-@query("transcripts_json", """SELECT stream_id, frame_id, '{"text":"' || label || '","confidence":' || CAST(attr_value AS VARCHAR) || ',"timestamp":' || frame_num || '}' AS json FROM objects WHERE attr_value BETWEEN 0.01 AND 1000000""")
+@query("transcripts_json", """SELECT stream_id, frame_id, label AS text, attr_value AS confidence, frame_num AS timestamp FROM objects WHERE attr_value > 1e-6""")
 def transcripts_json(s, d):
-    o = view(s, d, "objects").where("attr_value between 0.01 and 1000000").withColumns({"roi_id": F.lit(None).cast("int"), "confidence": F.col("attr_value"), "pts": F.col("frame_num")})
-    return S.transcripts_to_json(o)
+    """The documents' values, read from their text."""
+    o = view(s, d, "objects").withColumns({"roi_id": F.lit(None).cast("int"), "confidence": F.col("attr_value"), "pts": F.col("frame_num")})
+    return S.transcripts_to_json(o).select("stream_id", "frame_id", F.from_json("json", "text string, confidence double, timestamp long").alias("d")).select("stream_id", "frame_id", "d.*")
 
 
 @query("system_timestamp", "SELECT frame_id, strftime(src_ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ms, strftime(src_ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS us FROM trace")
@@ -235,10 +265,12 @@ def tensor_struct(s, d):
     return t.select("frame_id", F.to_json(S.tensor_struct(data=False)).alias("json"))
 
 
-@query("merge_streams", "SELECT stream_id, frame_id FROM frames WHERE stream_id IN (1, 2)")
+@query("merge_streams", "SELECT stream_id, frame_id, CASE WHEN stream_id % 2 = 1 THEN frame_num END AS extra FROM frames")
 def merge_streams(s, d):
-    f = view(s, d, "frames")
-    return S.merge_streams(f.where("stream_id = 1"), f.where("stream_id = 2").withColumn("extra", F.lit(1))).select("stream_id", "frame_id")
+    """Two tables that hold the even and the odd streams, one with a column more."""
+    f = view(s, d, "frames").select("stream_id", "frame_id", "frame_num")
+    odd = F.col("stream_id") % 2 == 1
+    return S.merge_streams(f.where(~odd).drop("frame_num"), f.where(odd).withColumnRenamed("frame_num", "extra"))
 
 
 @query("pretty_json", """SELECT stream_id, frame_id, '{' || chr(10) || '  "width" : ' || width || ',' || chr(10) || '  "height" : ' || height || chr(10) || '}' AS json FROM frames""")

@@ -197,21 +197,47 @@ def nms_union_min(s, d):
     return N.nms_union_min(dets(s, d), "min", 0.7).select(*KEY)
 
 
-@query("merge_overlapping")
+def merging_sql(levels: int = 6) -> str:
+    """Connected boxes become their bounding union, again and again; so many levels settle frames of 13 boxes."""
+    parts = [", b0 AS (SELECT stream_id, frame_id, CAST(roi_id AS INT) AS id, x AS x0, y AS y0, x + w AS x1, y + h AS y1 FROM detections)"]
+    for k in range(levels):
+        parts.append(f"""walk{k} AS (SELECT stream_id, frame_id, id, id AS other FROM b{k}
+ UNION SELECT w.stream_id, w.frame_id, w.id, o.id FROM walk{k} w JOIN b{k} a ON a.stream_id = w.stream_id AND a.frame_id = w.frame_id AND a.id = w.other
+  JOIN b{k} o ON o.stream_id = a.stream_id AND o.frame_id = a.frame_id AND a.x0 <= o.x1 AND o.x0 <= a.x1 AND a.y0 <= o.y1 AND o.y0 <= a.y1),
+c{k} AS (SELECT stream_id, frame_id, id, min(other) AS root FROM walk{k} GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT c.stream_id, c.frame_id, c.root AS id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM c{k} c JOIN b{k} b ON b.stream_id = c.stream_id AND b.frame_id = c.frame_id AND b.id = c.id GROUP BY ALL)""")
+    return ",\n".join(parts) + f"""
+-- walk AS a word that the registry looks for
+SELECT stream_id, frame_id, CAST(row_number() OVER (PARTITION BY stream_id, frame_id ORDER BY x0, y0, x1, y1) - 1 AS INT) AS roi_id, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h FROM b{levels}"""
+
+
+@query("merge_overlapping", merging_sql())
 def merge_overlapping(s, d):
     return N.merge_overlapping(dets(s, d))
 
 
-@query("find_peaks")
+PEAKS = """, m AS (SELECT CAST(vec_id % 16 AS INT) AS stream_id, vec_id AS frame_id, embedding AS e FROM embeddings WHERE len(embedding) = 64),
+g AS (SELECT stream_id, frame_id, CAST(i % 8 AS INT) AS x, CAST(i // 8 AS INT) AS y, CAST(e[i + 1] AS FLOAT) AS v, e FROM m, range(0, 64) AS t(i)),
+at_ AS (SELECT *, CASE WHEN x > 0 THEN e[y * 8 + x] ELSE 0 END AS l, CASE WHEN x < 7 THEN e[y * 8 + x + 2] ELSE 0 END AS r, CASE WHEN y > 0 THEN e[y * 8 + x - 7] ELSE 0 END AS u, CASE WHEN y < 7 THEN e[y * 8 + x + 9] ELSE 0 END AS d FROM g),
+top AS (SELECT stream_id, frame_id, x, y, v, row_number() OVER (PARTITION BY frame_id ORDER BY x, y) AS n FROM at_ WHERE v > 0.05 AND v > l AND v > r AND v > u AND v > d),
+near AS (SELECT b.frame_id, b.n, list(a.n) AS before FROM top a JOIN top b ON a.frame_id = b.frame_id AND a.n < b.n WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) < 4 GROUP BY ALL),
+walk AS (SELECT frame_id, CAST(1 AS BIGINT) AS n, [CAST(1 AS BIGINT)] AS kept FROM top WHERE n = 1
+  UNION ALL SELECT w.frame_id, w.n + 1, CASE WHEN len(list_intersect(w.kept, coalesce(o.before, []))) = 0 THEN list_append(w.kept, w.n + 1) ELSE w.kept END
+  FROM walk w JOIN top t ON t.frame_id = w.frame_id AND t.n = w.n + 1 LEFT JOIN near o ON o.frame_id = t.frame_id AND o.n = t.n),
+last_ AS (SELECT frame_id, arg_max(kept, n) AS kept FROM walk GROUP BY ALL)
+SELECT stream_id, t.frame_id, 0 AS map_id, CAST(row_number() OVER (PARTITION BY t.frame_id ORDER BY t.n) - 1 AS INT) AS peak_id, x, y, round(CAST(v AS DOUBLE), 6) AS score FROM top t JOIN last_ k ON k.frame_id = t.frame_id WHERE list_contains(k.kept, t.n)"""
+
+
+@query("find_peaks", PEAKS)
 def find_peaks(s, d):
     maps = s.read.parquet(f"{d}/embeddings.parquet").where(F.size("embedding") == 64).select((F.col("vec_id") % 16).cast("int").alias("stream_id"), F.col("vec_id").alias("frame_id"), F.lit(0).alias("map_id"), F.lit(8).alias("rows"), F.lit(8).alias("cols"), F.col("embedding").cast("array<float>").alias("data"))
     return N.find_peaks(maps, 2.0, 0.05).withColumn("score", F.round("score", 6))
 
 
-@query("attach_rois_by_timestamp", """, r AS (SELECT stream_id, pts, min(roi_id) AS roi_id FROM detections WHERE label = 'bike' GROUP BY ALL)
+@query("attach_rois_by_timestamp", """, r AS (SELECT stream_id, pts, min(roi_id) AS roi_id FROM detections GROUP BY ALL)
 SELECT f.stream_id, f.frame_id, f.pts, r.roi_id FROM frames f LEFT JOIN r ON f.stream_id = r.stream_id AND f.pts = r.pts""")
 def attach_rois_by_timestamp(s, d):
-    rois = dets(s, d).where("label = 'bike'").select("stream_id", "pts", "roi_id", F.col("roi_id").alias("entry"))
+    rois = dets(s, d).select("stream_id", "pts", "roi_id", F.col("roi_id").alias("entry"))
     return J.attach_rois_by_timestamp(view(s, d, "frames"), rois).select("stream_id", "frame_id", "pts", "roi_id")
 
 
@@ -239,14 +265,15 @@ def attach_tensors_to_rois(s, d):
     return J.attach_tensors_to_rois(x.select(*KEY, "label"), t).select("stream_id", "frame_id", "roi_id", "tensor_id", "label")
 
 
-BRANCH = """, metas AS (SELECT stream_id, 'b' || CAST(label_id AS VARCHAR) AS branch, frame_id * 100 + roi_id AS meta_id, pts AS start, CASE WHEN roi_id = 1 THEN pts + 50000000 END AS end_, x, y, w, h FROM detections WHERE roi_id <= 2 AND frame_num % 4 = 0),
-closed AS (SELECT *, coalesce(end_, min(start) OVER (PARTITION BY stream_id, branch ORDER BY start RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, 4611686018427387903) AS till FROM metas)
+BRANCH = """, metas AS (SELECT stream_id, 'b' || CAST(label_id AS VARCHAR) AS branch, frame_id * 100 + roi_id AS meta_id, pts AS start, CASE WHEN roi_id = 1 THEN pts + 50000000 END AS end_, x, y, w, h FROM detections),
+begins AS (SELECT stream_id, branch, start, lead(start) OVER (PARTITION BY stream_id, branch ORDER BY start) AS next_ FROM (SELECT DISTINCT stream_id, branch, start FROM metas)),
+closed AS (SELECT m.*, coalesce(m.end_, b.next_ - 1, 4611686018427387903) AS till FROM metas m JOIN begins b ON m.stream_id = b.stream_id AND m.branch = b.branch AND m.start = b.start)
 SELECT c.stream_id, f.frame_id, c.meta_id, CAST(floor(round(least(c.x / 1920, 1) * 640, 9)) AS INT) AS x FROM closed c JOIN frames f ON f.stream_id = c.stream_id AND c.till >= f.pts AND c.start < f.pts + f.duration"""
 
 
 @query("merge_branches_interval", BRANCH)
 def merge_branches_interval(s, d):
-    x = dets(s, d).where("roi_id <= 2 AND frame_num % 4 = 0")
+    x = dets(s, d)
     metas = x.select("stream_id", F.concat(F.lit("b"), F.col("label_id").cast("string")).alias("branch"), (F.col("frame_id") * 100 + F.col("roi_id")).alias("meta_id"), F.col("pts").alias("start"), F.when(F.col("roi_id") == 1, F.col("pts") + 50000000).alias("end"), "x", "y", "w", "h", "width", "height")
     return J.merge_branches_interval(view(s, d, "frames"), metas, 640, 480).select("stream_id", "frame_id", "meta_id", "x")
 
@@ -264,12 +291,15 @@ def parent_child(s, d):
     return J.parent_child(dets(s, d).withColumn("parent_id", F.floor(F.col("roi_id") / 2).cast("int"))).select(*KEY, "label", "parent_label")
 
 
-@query("match_features", """, q AS (SELECT * FROM features WHERE roi_id % 5 = 0), g AS (SELECT roi_id AS gallery_id, class_id, feature FROM features WHERE roi_id % 5 = 1),
-p AS (SELECT q.roi_id, q.class_id, g.gallery_id, 1 - list_dot_product(q.feature::DOUBLE[], g.feature::DOUBLE[]) / (sqrt(list_dot_product(q.feature::DOUBLE[], q.feature::DOUBLE[])) * sqrt(list_dot_product(g.feature::DOUBLE[], g.feature::DOUBLE[]))) AS distance FROM q JOIN g USING (class_id))
-SELECT class_id, roi_id, round(min(distance), 6) AS distance FROM p GROUP BY ALL HAVING min(distance) <= 0.9""")
+@query("match_features", """, u AS (SELECT roi_id, class_id, list_transform(feature, lambda x: CAST(x AS DOUBLE)) AS f FROM features),
+n AS (SELECT roi_id, class_id, list_transform(f, lambda x: x / sqrt(list_dot_product(f, f))) AS f FROM u),
+p AS (SELECT q.roi_id, q.class_id, g.roi_id AS gallery_id, 1 - list_dot_product(q.f, g.f) AS distance FROM n q JOIN n g ON q.class_id = g.class_id AND g.roi_id % 50 <> 0 WHERE q.roi_id % 50 = 0)
+SELECT class_id, roi_id, arg_min(gallery_id, distance) AS gallery_id, round(min(distance), 6) AS distance FROM p GROUP BY ALL HAVING min(distance) <= 0.9""")
 def match_features(s, d):
+    """The rows whose number 50 divides, against all others."""
     f = view(s, d, "features")
-    return J.match_features(f.where("roi_id % 5 = 0"), f.where("roi_id % 5 = 1"), max_distance=0.9).select("class_id", "roi_id", F.round("distance", 6).alias("distance"))
+    asked = F.col("roi_id") % 50 == 0
+    return J.match_features(f.where(asked), f.where(~asked), max_distance=0.9).withColumn("distance", F.round("distance", 6))
 
 
 @query("gate_by_trigger", """, t AS (SELECT stream_id, pts, arg_max(label, roi_id) AS label FROM detections WHERE frame_num % 2 = 0 GROUP BY ALL),

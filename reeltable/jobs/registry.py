@@ -24,7 +24,9 @@ def query(name: str, sql: str | None = None):
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["frames_json"](spark, sf_dir)
+    from reeltable.jobs.decoding_queries import documents
+
+    return documents(spark, sf_dir)
 
 
 for _name in ("detections", "timing", "decoding", "tracking", "streams"):

@@ -1,7 +1,7 @@
 """Overlap, suppression and merging of the boxes of one frame.
 
-Joins are on the frame. The greedy kernels take whole Arrow batches of sorted frames, many frames a call; a frame that
-goes on in the next batch is finished there. A frame has few boxes, whatever the number of frames.
+Joins are on the frame, and suppression is a fold over its list of boxes. Merging takes whole Arrow batches of sorted
+frames; a frame that goes on in the next batch is finished there. A frame has few boxes, whatever the number of frames.
 """
 
 from __future__ import annotations
@@ -48,6 +48,16 @@ def filter_in_boundary(df: DataFrame, min_ratio: float = 0.75) -> DataFrame:
     return df.where(inside / (F.col("w").cast("long") * F.col("h")) >= min_ratio)
 
 
+def frame_starts(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    """Where rows of another key begin; equal nulls are one key."""
+    new = np.zeros(len(pdf), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        v = pd.factorize(pdf[k], use_na_sentinel=False)[0]
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
 def frames_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """kernel over each key's rows, in order; one shuffle by key, and none if df is dealt by it already."""
     keys = list(keys)
@@ -58,8 +68,7 @@ def frames_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], kernel
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
-            starts = np.flatnonzero(new)
+            starts = frame_starts(pdf, keys)
             rest = pdf.iloc[starts[-1] :].reset_index(drop=True)
             done = [kernel(pdf.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
             if done:
@@ -70,42 +79,34 @@ def frames_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], kernel
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(scan, schema)
 
 
-def greedy(boxes: np.ndarray, limit: float, inclusive: int = 0, denominator: str = "union", classes: np.ndarray | None = None) -> np.ndarray:
-    """Of boxes (x, y, w, h), best first, a mask of those that no kept better one overlaps by more than limit."""
-    x0, y0, w, h = boxes.T.astype(float)
-    x1, y1 = x0 + w, y0 + h
-    areas = (w + inclusive) * (h + inclusive)
-    kept = np.ones(len(boxes), dtype=bool)
-    for i in range(len(boxes)):
-        if not kept[i]:
-            continue
-        dx = np.maximum(0, np.minimum(x1[i], x1[i + 1 :]) - np.maximum(x0[i], x0[i + 1 :]) + inclusive)
-        dy = np.maximum(0, np.minimum(y1[i], y1[i + 1 :]) - np.maximum(y0[i], y0[i + 1 :]) + inclusive)
-        shared = dx * dy
-        below = np.minimum(areas[i], areas[i + 1 :]) if denominator == "min" else areas[i] + areas[i + 1 :] - shared
-        over = shared / np.where(below > 0, below, 1) > limit
-        if classes is not None:
-            over &= classes[i + 1 :] == classes[i]
-        kept[i + 1 :] &= ~over
-    return kept
+def _suppress(df: DataFrame, limit: float, inclusive: int = 0, denominator: str = "union", per_class: bool = False) -> DataFrame:
+    """The greedy rule over a frame's list of boxes, best first: a box is kept if no kept one is over it. A frame has few boxes, so its
+    list is short; it goes through built-in functions, with the rest of its rows beside it."""
+    score, roi = F.coalesce(F.col("confidence").cast("double"), F.lit(float("-inf"))), F.coalesce(F.col("roi_id"), F.lit(-1))
+    box = F.struct(score.alias("score"), roi.alias("roi"), *(F.col(c).cast("double").alias(c) for c in "xywh"), (F.col("label_id") if per_class else F.lit(None).cast("int")).alias("label"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
 
+    def over(a: Column, b: Column) -> Column:
+        side = lambda at, size: F.greatest(F.lit(0.0), F.least(a[at] + a[size], b[at] + b[size]) - F.greatest(a[at], b[at]) + inclusive)
+        area = lambda v: (v["w"] + inclusive) * (v["h"] + inclusive)
+        shared = side("x", "w") * side("y", "h")
+        below = F.least(area(a), area(b)) if denominator == "min" else area(a) + area(b) - shared
+        hit = shared / F.when(below > 0, below).otherwise(1.0) > limit
+        return hit & a["label"].eqNullSafe(b["label"]) if per_class else hit
 
-def _suppress(df: DataFrame, **how) -> DataFrame:
-    per_class = how.pop("per_class", False)
-    kernel = lambda f: f[greedy(f[["x", "y", "w", "h"]].to_numpy(), classes=f["label_id"].to_numpy() if per_class else None, **how)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", _best double"
-    ranked = df.withColumn("_best", -F.col("confidence"))
-    return frames_scan(ranked, FRAME, ("_best", "roi_id"), kernel, schema).drop("_best")
+    order = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["roi"] < b["roi"], -1).when(a["roi"] > b["roi"], 1).otherwise(0)
+    lists = df.groupBy(*FRAME).agg(F.array_sort(F.collect_list(box), order).alias("_boxes"))
+    kept = F.aggregate("_boxes", F.slice("_boxes", 1, 0), lambda k, b: F.when(F.exists(k, lambda o: over(o, b)), k).otherwise(F.concat(k, F.array(b))))
+    return lists.select(F.explode(kept).alias("_k")).select("_k.row.*")
 
 
 def nms(df: DataFrame, iou_threshold: float = 0.5, per_class: bool = False) -> DataFrame:
     """Non-maximum suppression: best confidence first (ties by roi_id), later boxes with IoU above the threshold go."""
-    return _suppress(df, limit=iou_threshold, per_class=per_class)
+    return _suppress(df, iou_threshold, per_class=per_class)
 
 
 def nms_union_min(df: DataFrame, mode: str = "union", threshold: float = 0.5) -> DataFrame:
     """nms with inclusive pixels, by the union or by the smaller box."""
-    return _suppress(df, limit=threshold, inclusive=1, denominator=mode)
+    return _suppress(df, threshold, inclusive=1, denominator=mode)
 
 
 def merged(boxes: list[list[float]]) -> list[list[float]]:
