@@ -108,7 +108,7 @@ def test_ssd_list_ends_at_a_bad_row(spark):
 def test_grid_decoders_put_boxes_in_cells(spark):
     rows = spark.createDataFrame([(0, 1, [5, 6], [0.5, 0.5, 0.0, 0.0, 1.0, 1.0] + [0.0] * 24)], "stream_id int, frame_id long, dims array<int>, data array<double>")
     r = decode.decode_yolo_x(rows, 16, 16, 0.5, (8, 16)).first()
-    assert (r["x_min"], r["y_min"], r["x_max"], r["y_max"], r["confidence"]) == (0.0, 0.0, 8.0, 8.0, 1.0)
+    assert (r["x_min"], r["y_min"], r["x_max"], r["y_max"], r["confidence"]) == (0.0, 0.0, 0.5, 0.5, 1.0)
     grid = [0.0] * (6 * 4)
     grid[4 * 4 + 3] = 9.0  # objectness of the last of 2 x 2 cells
     grid[5 * 4 + 3] = 9.0

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reeltable.operators import monitor, overlap, tracking
+from reeltable.operators import decode, joins, monitor, overlap, tracking
 
 BOX = st.tuples(st.integers(0, 60), st.integers(0, 60), st.integers(2, 40), st.integers(2, 40))
 
@@ -18,15 +18,21 @@ def iou(a, b):
     return shared / (a[2] * a[3] + b[2] * b[3] - shared)
 
 
-@given(st.lists(BOX, max_size=14))
-@settings(max_examples=80, deadline=None)
-def test_greedy_suppression(boxes):
-    kept = overlap.greedy(np.array(boxes, dtype=float).reshape(-1, 4), 0.5)
-    want = []
-    for i, b in enumerate(boxes):
-        if all(iou(b, boxes[j]) <= 0.5 for j in want):
-            want.append(i)
-    assert np.flatnonzero(kept).tolist() == want
+@pytest.mark.parametrize("per_class", [False, True])
+def test_greedy_suppression(spark, per_class):
+    """Random frames against a loop."""
+    rng = np.random.default_rng(11)
+    frames = [[(*map(int, rng.integers((0, 0, 2, 2), (60, 60, 40, 40))), int(rng.integers(0, 2)), float(rng.integers(0, 6)) / 5) for _ in range(int(rng.integers(0, 14)))] for _ in range(150)]
+    rows = [(0, f, i, x, y, w, h, label, c) for f, boxes in enumerate(frames) for i, (x, y, w, h, label, c) in enumerate(boxes)]
+    df = spark.createDataFrame(rows, "stream_id int, frame_id long, roi_id int, x int, y int, w int, h int, label_id int, confidence double").repartition(3)
+    want = set()
+    for f, boxes in enumerate(frames):
+        kept = []
+        for i in sorted(range(len(boxes)), key=lambda i: (-boxes[i][5], i)):
+            if all(iou(boxes[i][:4], boxes[j][:4]) <= 0.5 or per_class and boxes[i][4] != boxes[j][4] for j in kept):
+                kept.append(i)
+        want |= {(f, i) for i in kept}
+    assert {(r["frame_id"], r["roi_id"]) for r in overlap.nms(df, 0.5, per_class).collect()} == want
 
 
 @given(st.lists(BOX, max_size=10))
@@ -42,7 +48,7 @@ def test_merged_boxes_neither_touch_nor_lose_area(boxes):
 @given(st.integers(1, 5), st.integers(0, 3), st.integers(0, 10**6))
 @settings(max_examples=60, deadline=None)
 def test_assignment_is_optimal(n, extra, seed):
-    cost = np.random.default_rng(seed).random((n, n + extra)).round(2)
+    cost = (np.random.default_rng(seed).random((n, n + extra)) * 4 - 3).round(2)
     got = tracking.assign(cost)
     assert len(set(got.tolist())) == n
     best = min(sum(cost[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(n + extra), n))
@@ -125,3 +131,28 @@ def test_intervals_close_at_the_first_row_past_them():
     parts = [ticks.iloc[:2], ticks.iloc[2:]]
     out = pd.concat(monitor.closing_ticks(iter(parts), ("k",), "at", 1000))
     assert out["interval_no"].tolist() == [0, 0, 0, 0, 1, 1]
+
+
+def test_softmax_of_many_classes(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(500).select(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.sin(i + F.col("id"))).alias("data"))
+    got = df.select(F.aggregate(decode.softmaxed(F.col("data")), F.lit(0.0), lambda a, x: a + x).alias("s"), decode.softmaxed(F.col("data"))[3].alias("p"), "data").collect()
+    assert all(abs(r["s"] - 1) < 1e-9 for r in got)
+    v = np.array(got[7]["data"])
+    assert abs(got[7]["p"] - np.exp(v)[3] / np.exp(v).sum()) < 1e-12
+
+
+def test_rows_without_keys_are_one_frame(spark):
+    rows = [(None, None, 1, 0, 0, 10, 10, 0.9), (None, None, 2, 1, 0, 10, 10, 0.8), (1, 1, 1, 0, 0, 10, 10, None), (1, 1, 2, 1, 0, 10, 10, 0.1)]
+    df = spark.createDataFrame(rows, "stream_id int, frame_id long, roi_id int, x int, y int, w int, h int, confidence double")
+    kept = overlap.nms(df).collect()
+    assert sorted((r["stream_id"] or 0, r["roi_id"]) for r in kept) == [(0, 1), (1, 2)]
+    assert len(overlap.merge_overlapping(df).collect()) == 2
+
+
+def test_the_last_row_before_goes_over_empty_buckets(spark):
+    left = spark.createDataFrame([(1, 5, "a"), (1, 95, "b"), (1, 205, "c"), (2, 50, "d"), (1, 10, "tie")], "k int, t long, name string")
+    right = spark.createDataFrame([(1, 10, 7), (1, 30, 8), (1, 200, 9)], "k int, t long, v int")
+    got = {r["name"]: r["l"]["v"] if r["l"] else None for r in joins.with_last(left, right, ["k"], "t", 20, "l").collect()}
+    assert got == {"a": None, "tie": 7, "b": 8, "c": 9, "d": None}
