@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reeltable.llm.common import WORD, carried, own_names, table, words_of, written
@@ -37,7 +37,9 @@ DIMS = ("source", "lang", "topic")
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 KEEP, SLACK = 0.75, 0.95
 #: The largest miss of a share, as a part of it, that a fit ends at and that is taken for met; rounds and halvings tried.
-TOLERANCE, MET, MOST_ROUNDS, HALVINGS = 1e-8, 1e-3, 60, 5
+TOLERANCE, MET, MOST_ROUNDS, HALVINGS = 1e-4, 1e-3, 30, 3
+#: So many cells at most are one task's work in a round.
+FEW_CELLS = 50_000
 #: First match wins; a topic is told from the whole text.
 TOPICS = (("legal", "(?i)licen[sc]e|copyright|rights reserved"), ("contact", "@|[+]1 [(]"), ("tabular", "[|]"), ("technical", "[#$%&=<>]"))
 OTHER = "prose"
@@ -84,7 +86,11 @@ class Fit:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], kept: float) -> tuple[DataFrame, float]:
     """cells (DIMS, tokens; only those with tokens) with `weight`, fitted until kept of all tokens have the target shares, and the largest miss that is left."""
     fitted = written(cells.where("tokens > 0").withColumn("weight", F.lit(float(kept))))
-    wanted = (fitted.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]) * kept
+    size = fitted.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count("*").alias("n")).first()
+    wanted = size["tokens"] * kept
+    # A few cells stay in one partition, so that a round needs no shuffle; the sums are the same either way.
+    together = (lambda df: df.coalesce(1)) if size["n"] <= FEW_CELLS else (lambda df: df)
+    fitted = together(fitted)
     part = F.col("tokens") * F.least(F.lit(1.0), F.col("weight"))
     miss = 0.0
     for _ in range(MOST_ROUNDS):
@@ -96,9 +102,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], kept: float) -> tuple[
             factor = F.when((F.col("_to") > F.col("_full")) & (F.col("_free") > 0), (F.col("_to") - F.col("_full")) / F.col("_free")).otherwise(F.col("_to") / F.col("_now"))
             now = now.select(dim, F.greatest(F.lit(0.25), F.least(F.lit(4.0), factor)).alias("_factor"), F.abs(F.col("_now") / F.col("_to") - 1).alias("_off"))
             step = step.join(now, dim).select(*DIMS, "tokens", (F.col("weight") * F.col("_factor")).alias("weight"), F.greatest("_miss", "_off").alias("_miss"))
-        stepped = written(step)
-        miss = stepped.agg(F.coalesce(F.max("_miss"), F.lit(0.0))).first()[0]
-        fitted = stepped.drop("_miss")
+        seen = Observation()
+        fitted = together(written(step.observe(seen, F.max("_miss").alias("miss")).drop("_miss")))
+        miss = seen.get["miss"] or 0.0
         if miss < TOLERANCE:
             break
     return fitted, float(miss)
@@ -144,10 +150,7 @@ def sample_mix(docs: DataFrame, keep: float = KEEP, given: dict[str, dict[str, f
 
 def op5_rake_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 4).alias("probability"), F.round("residual", 6).alias("residual"), "sampled")
-
-
-SQL_ROUNDS = 30  # in which the shares settle; each engine's sums differ in the last bits only
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 4).alias("probability"), F.round("residual", 2).alias("residual"), "sampled")
 
 
 def _sql() -> str:
@@ -158,11 +161,16 @@ def _sql() -> str:
 t_{dim} AS MATERIALIZED (SELECT {dim}, share, pow(share, {EXPONENTS[dim]}) / (SELECT sum(pow(share, {EXPONENTS[dim]})) FROM s_{dim}) AS target FROM s_{dim})""")
     bounds = ", ".join(f"{SLACK} * (SELECT min(share / target) FROM t_{dim})" for dim in DIMS)
     steps.append(f"k AS MATERIALIZED (SELECT least({KEEP}, {bounds}) AS kept, sum(tokens) AS total FROM cells)")
-    steps.append("w0 AS MATERIALIZED (SELECT source, lang, topic, tokens, kept AS weight FROM cells, k WHERE tokens > 0)")
-    for n in range(SQL_ROUNDS):
+    steps.append("w0 AS MATERIALIZED (SELECT source, lang, topic, tokens, kept AS weight, CAST(1 AS DOUBLE) AS off_ FROM cells, k WHERE tokens > 0)")
+    steps.append("v AS (SELECT true AS live)")
+    live = "v"
+    for n in range(MOST_ROUNDS):  # those after the shares are met change nothing
+        steps.append(f"v{n} AS MATERIALIZED (SELECT max(off_) >= {TOLERANCE} AND (SELECT live FROM {live}) AS live FROM {last})")
+        live = f"v{n}"
         for dim in DIMS:
             new = f"w{n}_{dim}"
-            steps.append(f"""{new} AS MATERIALIZED (SELECT x.* REPLACE (weight * greatest(0.25, least(4, CASE WHEN goal > filled AND free > 0 THEN (goal - filled) / free ELSE goal / now END)) AS weight) FROM {last} x JOIN (
+            steps.append(f"""{new} AS MATERIALIZED (SELECT x.* REPLACE (weight * CASE WHEN (SELECT live FROM {live}) THEN greatest(0.25, least(4, CASE WHEN goal > filled AND free > 0 THEN (goal - filled) / free ELSE goal / now END)) ELSE 1 END AS weight,
+greatest({"0" if dim == DIMS[0] else "off_"}, abs(now / goal - 1)) AS off_) FROM {last} x JOIN (
 SELECT {dim}, target * kept * total AS goal, now, filled, free FROM (SELECT {dim}, sum(tokens * least(1, weight)) AS now, sum(CASE WHEN weight >= 1 THEN tokens ELSE 0 END) AS filled, sum(CASE WHEN weight < 1 THEN tokens * weight ELSE 0 END) AS free FROM {last} GROUP BY {dim})
 JOIN t_{dim} USING ({dim}), k) USING ({dim}))""")
             last = new
@@ -172,7 +180,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS sourc
 told AS MATERIALIZED (SELECT doc_id, source, lang, {topic} AS topic, CAST(len(regexp_extract_all(t, '{WORD}')) AS BIGINT) AS n_tokens FROM d),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM told GROUP BY ALL),
 {body}
-SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(least(1, weight), kept), 4) AS probability, CAST(0 AS DOUBLE) AS residual,
+SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(least(1, weight), kept), 4) AS probability, round((SELECT max(off_) FROM {last}), 2) AS residual,
     CAST('0x' || substr(md5('{SEED}' || CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) / {float(1 << 48)} < coalesce(least(1, weight), kept) AS sampled
 FROM told LEFT JOIN {last} USING (source, lang, topic), k
 """
