@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from reeltable.llm.common import own_names, table, written
 
-TOKENS, FOLDS, HELD_OUT = 1 << 22, 7, 2
+TOKENS, FOLDS, HELD_OUT = 3 << 20, 7, 2
 #: Counts up to K are discounted. Keys a bucket should hold.
 K, KEYS_PER_BUCKET = 5, 1 << 21
 END = b" "  # no word holds a space
