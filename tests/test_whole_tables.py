@@ -6,7 +6,7 @@ from tests.compare import DATA
 
 
 def test_trackers_take_all_regions(spark):
-    all_regions = view(spark, DATA, "detections").where("confidence >= 0.2")
+    all_regions = view(spark, DATA, "detections")
     assert all_regions.where("roi_id > 4").count() > 0
     assert tracking_queries.moving(spark, DATA).count() == all_regions.count()
 
