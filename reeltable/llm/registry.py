@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their SQL."""
 
-from reeltable.llm import cdc, conversations, hostrules, katz, licenses, mixing, ogg, packing, sharding, simhash, surrogates
+from reeltable.llm import alignment, cdc, conversations, hostrules, katz, licenses, mixing, ogg, packing, sharding, simhash, surrogates
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -14,5 +14,6 @@ QUERIES = {
     "op9_chunk_dedup": cdc.op9_chunk_dedup,
     "op10_host_rules": hostrules.op10_host_rules,
     "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 ORACLES = {"op1_license_scan": licenses.OP1_SQL, "op5_rake_mix": mixing.OP5_SQL, "op10_host_rules": hostrules.OP10_SQL}
