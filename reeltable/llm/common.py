@@ -41,14 +41,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Stored:
+    """df as a Parquet table in the shared folder. It cuts the lineage, outlives lost executors and goes when it is dropped or the session ends."""
+
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        path = f"{shared_dir(spark)}/reeltable-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self._path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.deleteOnExit(self._path)
+        self.df = spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        self._fs.delete(self._path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder. It cuts the lineage, outlives lost executors and goes when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/reeltable-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table that stays until the session ends."""
+    return Stored(df).df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their SQL."""
 
-from reeltable.llm import alignment, cdc, conversations, hostrules, katz, licenses, mixing, ogg, packing, sharding, simhash, surrogates
+from reeltable.llm import alignment, cdc, conversations, hostrules, katz, licenses, mixing, ogg, packing, sharding, simhash, suffixes, surrogates
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_vector_sharding": sharding.op8_vector_sharding,
     "op9_chunk_dedup": cdc.op9_chunk_dedup,
     "op10_host_rules": hostrules.op10_host_rules,
+    "op11_suffix_dedup": suffixes.op11_suffix_dedup,
     "op12_conversation_repair": conversations.op12_conversation_repair,
     "op13_token_alignment": alignment.op13_token_alignment,
 }
