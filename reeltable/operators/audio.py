@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reeltable.operators.chains import with_interval_numbers
+from reeltable.operators.monitor import running
+
 RATE = 16_000
+BLOCKS = 4_096  # blocks of a stream that are summed up in one go
 NS = 62_500  # a sample's nanoseconds
 
 
@@ -49,24 +50,12 @@ def audio_events(scores: DataFrame, labels: DataFrame) -> DataFrame:
 def transcribe_chunks(blocks: DataFrame, seconds: float = 3.0) -> DataFrame:
     """Blocks by chunk: a chunk ends with the block that makes it longer than so many seconds. Samples as shares of full scale.
 
-    The scan passes over sorted blocks in Arrow batches and keeps only the count of the open chunk."""
+    The samples up to each block are a running sum in buckets of blocks; on that scale chunks are intervals from 0, whose ends
+    are found in buckets too. A chunk's blocks are put together at its end; what is left of a stream goes."""
     limit = int(seconds * RATE)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, held, chunk = None, 0, 0
-        for pdf in batches:
-            out = []
-            for s, n in zip(pdf["stream_id"], pdf["size"], strict=True):
-                if s != stream:
-                    stream, held, chunk = s, 0, 0
-                out.append(chunk)
-                held += n
-                if held > limit:
-                    held, chunk = 0, chunk + 1
-            yield pdf.assign(chunk=out)
-
-    sizes = blocks.select("stream_id", "block", F.size("samples").alias("size"))
-    numbered = sizes.repartition("stream_id").sortWithinPartitions("stream_id", "block").mapInPandas(scan, "stream_id int, block long, size int, chunk long")
-    joined = numbered.join(blocks.select("stream_id", "block", "samples"), ["stream_id", "block"])
+    sizes = blocks.where("block is not null").select("stream_id", "block", F.size("samples").alias("size"))
+    summed = running(sizes, ("stream_id",), ("block",), F.col("block"), BLOCKS, {"_until": ("sum", F.col("size").cast("long"))})
+    numbered = with_interval_numbers(summed, ("stream_id",), "_until", limit + 1, ("block",), from_zero=True).select(F.col("stream_id").alias("_s"), F.col("block").alias("_b"), "size", F.col("interval_no").alias("chunk"))
+    joined = blocks.select("stream_id", "block", "samples").join(numbered, F.col("stream_id").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     lists = joined.groupBy("stream_id", "chunk").agg(F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("block", "samples"))).alias("_b"))  # of at most a chunk
     return lists.where(F.col("size") > limit).select("stream_id", "chunk", "size", F.transform(F.flatten(F.transform("_b", lambda b: b["samples"])), lambda x: x / F.lit(32768.0)).alias("samples"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,33 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def closing_ticks(ticks: Iterator[pd.DataFrame], key: Sequence[str], at: str, interval: float) -> Iterator[pd.DataFrame]:
-    """Rows of sorted batches with `interval_no`: an interval ends with the first row at or past `interval` after the last end."""
-    last_key, start, number = None, None, 0
-    for pdf in ticks:
-        out = np.empty(len(pdf), dtype=np.int64)
-        for i, row in enumerate(zip(*(pdf[k] for k in key), pdf[at], strict=True)):
-            if row[:-1] != last_key:
-                last_key, start, number = row[:-1], row[-1], 0
-            out[i] = number
-            if row[-1] - start >= interval:
-                start, number = row[-1], number + 1
-        yield pdf.assign(interval_no=out)
+from reeltable.functions.tables import Stored
+from reeltable.operators.chains import with_interval_numbers
 
 
 def fps_by_interval(df: DataFrame, interval_ns: int = 1_000_000_000, starting_frame: int = 0) -> DataFrame:
     """Frames a second between ends of intervals over all streams, and of each stream on average.
 
-    The total needs one ordered pass. What it passes over is one row for each distinct time, pre-aggregated; the streams'
-    counts then join their intervals by time."""
-    counted = df.where(F.col("frame_num") >= starting_frame).groupBy("pts").agg(F.count("*").alias("frames"), F.collect_set("stream_id").alias("streams")).withColumn("all", F.lit(0))
-    ordered = counted.repartition(1).sortWithinPartitions("pts")
-    scanned = ordered.mapInPandas(lambda it: closing_ticks(it, ("all",), "pts", interval_ns), "pts long, frames long, streams array<int>, all int, interval_no long")
-    sums = scanned.groupBy("interval_no").agg(F.sum("frames").alias("frames"), F.min("pts").alias("first"), F.max("pts").alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("streams")))).alias("streams"))
-    w = Window.orderBy("interval_no")  # a row an interval
-    begin = F.coalesce(F.lag("end").over(w), F.col("first"))
-    out = sums.withColumn("seconds", (F.col("end") - begin) / 1e9).where("seconds > 0")
+    An interval ends with the first time at or past its length after the last end; those ends are found in time buckets from
+    one row for each distinct time. Frames without a time are left out."""
+    counted = Stored(df.where((F.col("frame_num") >= starting_frame) & F.col("pts").isNotNull()).groupBy("pts").agg(F.count("*").alias("frames"), F.collect_set("stream_id").alias("streams"))).df
+    numbered = with_interval_numbers(counted.select("pts"), (), "pts", interval_ns)
+    sums = numbered.join(counted, "pts").groupBy("interval_no").agg(F.sum("frames").alias("frames"), F.min("pts").alias("first"), F.max("pts").alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("streams")))).alias("streams"))
+    sums = Stored(sums).df  # a row an interval
+    before = sums.select((F.col("interval_no") + 1).alias("interval_no"), F.col("end").alias("begin"))
+    out = sums.join(before, "interval_no", "left").withColumn("seconds", (F.col("end") - F.coalesce("begin", "first")) / 1e9).where("seconds > 0")
     return out.select("interval_no", "frames", "streams", "seconds", (F.col("frames") / F.col("seconds")).alias("fps"), (F.col("frames") / F.col("seconds") / F.col("streams")).alias("fps_per_stream"))
 
 
@@ -107,10 +96,9 @@ def pipeline_latency_running(trace: DataFrame, keys: Sequence[str] = ("stream_id
 
 def latency_by_interval(trace: DataFrame, interval_ms: float = 1000, keys: Sequence[str] = ("element",)) -> DataFrame:
     """Mean, least, most of each element's latency by interval; an interval ends with the first row at or past its length."""
-    rows = trace.select(*keys, (F.unix_micros("src_ts") / 1000).alias("at"), "frame_id", "latency_ms")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", interval_no long"
-    scanned = rows.repartition(*keys).sortWithinPartitions(*keys, "at", "frame_id").mapInPandas(lambda it: closing_ticks(it, keys, "at", interval_ms), schema)
-    return scanned.groupBy(*keys, "interval_no").agg(F.count("*").alias("frames"), F.avg("latency_ms").alias("avg_ms"), F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms"), F.max("at").alias("end_ms"))
+    rows = trace.select(*keys, F.unix_micros("src_ts").alias("at"), "frame_id", "latency_ms")
+    numbered = with_interval_numbers(rows, keys, "at", math.ceil(interval_ms * 1000), ("frame_id",))
+    return numbered.groupBy(*keys, "interval_no").agg(F.count("*").alias("frames"), F.avg("latency_ms").alias("avg_ms"), F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms"), (F.max("at") / 1000).alias("end_ms"))
 
 
 def element_hops(trace: DataFrame, keys: Sequence[str] = ("stream_id", "frame_id")) -> DataFrame:

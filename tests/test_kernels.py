@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reeltable.operators import decode, joins, monitor, overlap, tracking
+from reeltable.operators import decode, joins, overlap, tracking
 
 BOX = st.tuples(st.integers(0, 60), st.integers(0, 60), st.integers(2, 40), st.integers(2, 40))
 
@@ -124,15 +124,6 @@ def test_motion_regions_follow_the_square():
     assert tracking.motion_regions(dark, dark) == []
 
 
-def test_intervals_close_at_the_first_row_past_them():
-    import pandas as pd
-
-    ticks = pd.DataFrame({"k": [0] * 6, "at": [0, 400, 900, 1200, 1900, 2300]})
-    parts = [ticks.iloc[:2], ticks.iloc[2:]]
-    out = pd.concat(monitor.closing_ticks(iter(parts), ("k",), "at", 1000))
-    assert out["interval_no"].tolist() == [0, 0, 0, 0, 1, 1]
-
-
 def test_softmax_of_many_classes(spark):
     from pyspark.sql import functions as F
 
