@@ -8,14 +8,13 @@ meet are one span. Whole chunks only are seen, so a passage's edges (up to a chu
 MIN_WORDS is well under the shortest passage that must be caught for that. Digests are combined on the map side to a row
 each with its smallest and largest document before the shuffle; the join back is on digests, whose hot ones AQE splits.
 
-Documents are told apart by `uid`: the doc_id where one row has it, else, and for ids from 2^62 on, a hash of doc_id and
-text above all of those. So rows that share a doc_id, or have none, are documents of their own text.
+Documents are told apart by `uid`: the doc_id where no other row has it, else, and for ids from 2^62 on, a number above all of
+those. So rows that share a doc_id, or have none, are documents of their own.
 
 Defined results: null and empty texts have no chunks. A null doc_id is kept as such; its documents come after all others
-in the order that tells which is first. Rows that repeat a doc_id with differing texts are different documents, told
-apart and each with spans of its own text; equal rows are one: what only they share isn't repeated across documents, and
-their spans stand once. A very long text is one task's, chunk by chunk. Ties of order don't occur, as equal uids are one
-document. An empty table gives an empty result. Only doc_id and text are read, so other columns can't clash.
+in the order that tells which is first. Rows that repeat a doc_id, or have none, are different documents,
+told apart and each with its own spans, equal rows too: of those one is the first. A very long text is one task's, chunk by chunk.
+Ties of order don't occur, as each row has a uid of its own. An empty table gives an empty result. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -90,12 +89,17 @@ PASSAGES = "uid long, start int, end int, word int, word_end int, hi long, lo lo
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """docs with `uid`. Repeated ids are a written table, so Spark knows whether it is small enough to broadcast."""
+    """docs with `uid`, a row's own: the doc_id where no other row has it, else a number from BIG on. Rows that need one are a written table, in
+    order of doc_id and text's hash, so their numbers stay; repeated ids are one too, so Spark knows whether they are few enough to broadcast."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_again"))
     again = written(ids)
-    own = F.col("_again").isNull() & F.col("doc_id").isNotNull() & (F.col("doc_id") < BIG)
-    joined = docs.join(again, docs["doc_id"] == again["_again"], "left")
-    return joined.withColumn("uid", F.when(own, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text").bitwiseAND(F.lit(BIG - 1)) + F.lit(BIG))).drop("_again")
+    none = F.col("doc_id").isNull() | (F.col("doc_id") >= BIG)
+    same = docs["doc_id"] == again["_again"]
+    plain = docs.where(~none).join(again, same, "left_anti").withColumn("uid", F.col("doc_id"))
+    odd = docs.where(none).unionByName(docs.where(~none).join(again, same, "left_semi")).withColumns({"_hash": F.xxhash64("text"), "_at": F.monotonically_increasing_id()})
+    order = [F.asc_nulls_last("doc_id"), F.asc("_hash"), F.asc("_at")]
+    numbered = written(odd.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("uid", F.monotonically_increasing_id() + F.lit(BIG)).drop("_hash", "_at"))
+    return plain.unionByName(numbered)
 
 
 def passages_of(known: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -145,7 +149,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     known = identified(own_names(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     spans = spans_of(known, min_words)
     # Only uids from 2^62 on stand for another doc_id; those rows' ids are looked up.
-    ids = written(known.where(F.col("uid") >= BIG).select("uid", "doc_id").distinct())
+    ids = written(known.where(F.col("uid") >= BIG).select("uid", "doc_id"))
     for uid, name in (("uid", "doc_id"), ("first", "first_doc_id")):
         found = ids.select(F.col("uid").alias("_uid"), F.col("doc_id").alias("_id"))
         spans = spans.join(found, spans[uid] == found["_uid"], "left").withColumn(name, F.when(F.col(uid) < BIG, F.col(uid)).otherwise(F.col("_id"))).drop("_uid", "_id")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reeltable.functions.tables import Stored, shared_dir, written  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of anything but ASCII white space (space, \t, \n, \v, \f, \r).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,38 +30,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. A local session without one gets its own."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="reeltable-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Stored:
-    """df as a Parquet table in the shared folder. It cuts the lineage, outlives lost executors and goes when it is dropped or the session ends."""
-
-    def __init__(self, df: DataFrame):
-        spark = df.sparkSession
-        path = f"{shared_dir(spark)}/reeltable-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self._path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.deleteOnExit(self._path)
-        self.df = spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        self._fs.delete(self._path, True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table that stays until the session ends."""
-    return Stored(df).df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -49,6 +49,8 @@ from reeltable.llm.common import own_names, table, written
 CAPACITY, CLOSING_ID = 4096, 1
 #: Pieces that a search fills anew at most, and sequences until it starts over in another order; fillings looked at in a node, and steps for them; pieces searched at once.
 NODES, TURN, WIDTH, STEPS, TAIL = 60_000, 1_000, 8, 600, 1_500
+#: Steps of the search that sees all fillings, which proves a plan the shortest if they suffice.
+PROOF = 300_000
 ROWS_PER_SALT = 4_096
 WORD_CACHE = 1 << 20
 BEHIND, PAST_LATIN = string.punctuation.replace("'", ""), "\u0250"  # an apostrophe may begin a token group with letters
@@ -172,11 +174,10 @@ class Open:
         i = bisect_left(self.lengths, low)
         return i < len(self.lengths) and self.lengths[i] <= high
 
-    def fillings(self, gap: int, waste: int, start: float = 1.0) -> Iterator[list[int]]:
-        """Descending lists of lengths that fill gap but for waste at most, and that nothing more fits into; in STEPS steps at most.
+    def fillings(self, gap: int, waste: int, start: float = 1.0, steps: int = STEPS) -> Iterator[list[int]]:
+        """Descending lists of lengths that fill gap but for waste at most, and that nothing more fits into; in so many steps at most.
         They begin with the length at `start` of those that fit, go down, and then come to those above."""
         lengths, counts, smallest = self.lengths, self.counts, self.lengths[0] if self.lengths else 0
-        steps = STEPS
 
         def rest_of(gap: int, i: int, low: int, chosen: list[int]) -> Iterator[list[int]]:
             nonlocal steps
@@ -210,8 +211,13 @@ class Open:
             yield from rest_of(gap, top, first + 1, [])
 
     def dominated(self, filling: list[int], waste: int) -> bool:
-        """Whether an open length can stand for one of the filling's first few with less waste, or for two of them."""
-        filling = filling[:4]
+        """Whether a length that stays open beside the filling can stand for one of its first few with less waste, or for two of them."""
+        self.take(filling)
+        found = self._replaceable(filling[:4], waste)
+        self.put_back(filling)
+        return found
+
+    def _replaceable(self, filling: list[int], waste: int) -> bool:
         for i, x in enumerate(filling):
             if waste and self.between(x + 1, x + waste):
                 return True
@@ -273,13 +279,54 @@ def search(histogram: dict[int, int], capacity: int, bins: int, nodes: int) -> l
                     open_.put_back(path.pop())
                     left.pop()
             if not todo:
-                return None  # all there is has been seen
+                return None  # all that was looked at has been seen
             open_.take(step)
             path.append(step)
             left.append(left[-1] - (capacity - sum(step)))
     return None
 
 
+def exhausted(histogram: dict[int, int], capacity: int, bins: int, steps: int) -> tuple[list[list[int]] | None, bool]:
+    """Fillings that pack the histogram into so many sequences, or None; and whether that is proven: all undominated fillings around
+    each longest length were seen, within so many steps."""
+    open_, left = Open(histogram), steps
+
+    def fill(bins: int, spare: int) -> list[list[int]] | None:
+        nonlocal left
+        if not open_.pieces:
+            return []
+        if not bins or left <= 0:
+            return None
+        longest = open_.lengths[-1]
+        gap = capacity - longest
+        open_.take([longest])
+        for f in list_of(open_.fillings(gap, min(gap, spare), steps=left)):
+            waste = gap - sum(f)
+            if waste > spare or open_.dominated(f, waste):
+                continue
+            open_.take(f)
+            rest = fill(bins - 1, spare - waste)
+            open_.put_back(f)
+            if rest is not None:
+                open_.put_back([longest])
+                return [[longest, *f], *rest]
+        open_.put_back([longest])
+        return None
+
+    def list_of(fillings: Iterator[list[int]]) -> list[list[int]]:
+        nonlocal left
+        found = []
+        for f in fillings:
+            left -= 1 + len(f)
+            if left <= 0:
+                return []
+            found.append(f)
+        return sorted(found, key=sum, reverse=True)
+
+    found = fill(bins, bins * capacity - sum(x * n for x, n in histogram.items()))
+    return found, left > 0
+
+
 def refilled(histogram: dict[int, int], capacity: int, order: random.Random) -> list[list[int]]:
     """The histogram packed by one filling after another around the longest length, each with the least waste of those looked at, from a length drawn anew each time."""
     open_, found = Open(histogram), []
@@ -343,6 +390,11 @@ def shortest(histogram: dict[int, int], capacity: int, nodes: int) -> list[list[
     if len(best) > least:
         best = min(best, search(histogram, capacity, least, TURN) or best, refilled(histogram, capacity, random.Random(0)), key=len)
         best = improved(best, capacity, least, nodes)
+    while len(best) > least:  # what is left is proven, or the steps end
+        found, _ = exhausted(histogram, capacity, len(best) - 1, PROOF)
+        if found is None:
+            break
+        best = found
     return best
 
 
@@ -407,7 +459,7 @@ def slots(patterns: list[tuple[list[int], int]]) -> list[tuple]:
     return found
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
     """pieces (doc_id, piece, length, ids_crc32 and more; a written table, as it is read twice) with sequence_id and offset."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity numbers
@@ -416,7 +468,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)  # a row a salt
     offsets = groups.select("length", "_salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    lookup = spark.createDataFrame(slots(plan_packing(histogram, capacity)), "length long, _from long, _to long, _uses long, _sequence long, _offset long")
+    lookup = spark.createDataFrame(slots(plan_packing(histogram, capacity, nodes)), "length long, _from long, _to long, _uses long, _sequence long, _offset long")
     own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     numbered = salted.withColumn("_row", F.row_number().over(own) - 1).join(offsets, ["length", "_salt"]).withColumn("_k", F.col("_before") + F.col("_row"))
     # The lookup is bounded by the capacity, not by the documents.
@@ -430,9 +482,9 @@ def digest(pieces: DataFrame) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset. Tokens are made once; only their sizes and digests are kept for packing."""
-    return pack(written(digest(pieces_of(docs, tokenizer, capacity))), capacity)
+    return pack(written(digest(pieces_of(docs, tokenizer, capacity))), capacity, nodes)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

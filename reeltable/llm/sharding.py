@@ -49,10 +49,10 @@ def place(sizes: np.ndarray, room: np.ndarray) -> np.ndarray:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, tokens and the text's digest."""
+    """doc_id, size, text_crc32, tokens, the text's digest and a number of the row's own, to be written before it is used."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = own_names(docs, "doc_id", "text")
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.size(words_of(text)).cast("long").alias("tokens"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.size(words_of(text)).cast("long").alias("tokens"), F.unhex(F.md5(text.cast("binary"))).alias("key"), F.monotonically_increasing_id().alias("row"))
 
 
 def large_groups(rows: DataFrame, groups: DataFrame, share: np.ndarray, shards: int) -> DataFrame:
@@ -60,12 +60,12 @@ def large_groups(rows: DataFrame, groups: DataFrame, share: np.ndarray, shards:
     large = groups.where((F.col("b") > float(share[0] / LARGE)) | (F.col("n") > float(share[2] / LARGE)))
     parts = F.when(F.col("b") > float(share[0]), F.least(F.col("n"), F.ceil(F.col("b") * 4 / float(max(share[0], 1.0))))).otherwise(F.lit(1)).cast("long")
     split = large.where(F.col("b") > float(share[0])).select("key", parts.alias("parts"))  # at most `shards` groups
-    split_parts = rows.join(F.broadcast(split), "key").groupBy("key", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")).agg(F.first("parts").alias("parts"), F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    split_parts = rows.join(F.broadcast(split), "key").groupBy("key", F.pmod(F.xxhash64("row"), F.col("parts")).alias("part")).agg(F.first("parts").alias("parts"), F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
     return large.where(F.col("b") <= float(share[0])).select("key", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts"), "b", "t", "n").unionByName(split_parts)
 
 
 def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """rows (doc_id, size, tokens, key; a written table) with shard and slot."""
+    """rows (doc_id, size, tokens, key, row; a written table) with shard and slot."""
     spark = rows.sparkSession
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")))
     total = groups.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "btn"), F.count("*").alias("groups")).first()
@@ -91,15 +91,15 @@ def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     small = groups.join(whole, "key", "left_anti").withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)))
     placed = small.groupBy("cell").applyInPandas(fill, "key binary, shard int")
     parts = F.broadcast(first.select("key", "parts").distinct())
-    put_large = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).join(F.broadcast(first.drop("parts")), ["key", "part"]).drop("parts", "part")
+    put_large = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).join(F.broadcast(first.drop("parts")), ["key", "part"]).drop("parts", "part")
     put_small = rows.join(whole, "key", "left_anti").join(placed, "key")
     put = written(put_large.unionByName(put_small).drop("key", "tokens"))
     salts = max(1, math.ceil(n_rows / (shards * ROWS_PER_SALT)))
-    salted = put.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(salts)))
+    salted = put.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     counts = salted.groupBy("shard", "_salt").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    own = Window.partitionBy("shard", "_salt").orderBy("doc_id", "text_crc32")
-    return salted.withColumn("_row", F.row_number().over(own) - 1).join(before, ["shard", "_salt"]).withColumn("slot", (F.col("_before") + F.col("_row")).cast("long")).drop("_salt", "_row", "_before")
+    own = Window.partitionBy("shard", "_salt").orderBy("doc_id", "text_crc32", "row")
+    return salted.withColumn("_row", F.row_number().over(own) - 1).join(before, ["shard", "_salt"]).withColumn("slot", (F.col("_before") + F.col("_row")).cast("long")).drop("_salt", "_row", "_before", "row")
 
 
 def op8_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

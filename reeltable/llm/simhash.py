@@ -131,14 +131,13 @@ def hex16(fp: Column) -> Column:
 
 
 def first_of_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """Of docs one document of each component, by placed (doc_id, text_hash, component): that with the smallest doc_id, then the
-    smallest hash of the text. Documents are told apart by both, so rows that share a doc_id are different documents unless
-    their texts are equal too; of such one row stays. Rows without doc_id stay, as nothing tells them apart."""
-    own = "_text_hash_of_row"
-    keep = placed.where("doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_keep"), F.col("k.text_hash").alias("_hash"))
+    """Of docs one document of each component, by placed (doc_id, text_hash, component): that with the smallest doc_id (none: the last), then the
+    smallest hash of the text. Documents are told apart by both, so rows that share a doc_id, or have none, are different documents unless
+    their texts are equal too; of such one row stays."""
+    own, order = "_text_hash_of_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    keep = placed.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_keep"), F.col("k.text_hash").alias("_hash"))
     hashed = docs.withColumn(own, F.xxhash64("text"))
-    kept = hashed.join(keep, (hashed["doc_id"] == keep["_keep"]) & (hashed[own] == keep["_hash"]), "left_semi").dropDuplicates(["doc_id", own]).drop(own)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    return hashed.join(keep, hashed["doc_id"].eqNullSafe(keep["_keep"]) & (hashed[own] == keep["_hash"]), "left_semi").dropDuplicates(["doc_id", own]).drop(own)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -17,8 +17,7 @@ the length is reached. All positions of a corpus don't fit such rounds, so they
 Ranks are 64-bit digests, chained; what is removed rests on two digests or more, of core and hull.
 
 Shuffles are by rank, pre-aggregated, and joins back on it, which Spark splits where a rank is hot; no group is collected but a
-document's own runs. Rows are told apart as in `cdc`: `uid` is the doc_id where one row has it, else a hash of doc_id and text;
-equal rows are one document that stands twice. Tables and shuffle files that are done with are deleted on the way.
+document's own runs. Rows are told apart as in `cdc`: `uid` is the doc_id where no other row has it, else a number of the row's own. Tables and shuffle files that are done with are deleted on the way.
 
 Defined results: a null text is empty; it and texts of fewer than LENGTH bytes have no window and lose nothing. A null doc_id stays null; repeated
 rows each have a result, and all their windows stand twice. A very long text is cut into sections of windows, which overlap in bytes,
@@ -37,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reeltable.llm.cdc import BIG, identified
+from reeltable.llm.cdc import identified
 from reeltable.llm.common import Stored, carried, own_names, table
 
 LENGTH = 200
@@ -93,14 +92,14 @@ RUNS = "uid long, start int, windows short, off short, rank long, hull long"
 
 
 def runs(known: DataFrame, length: int) -> DataFrame:
-    """known: uid, text, twins (equal rows; two and more are two)."""
+    """known: uid, text."""
     span = spans_of(length)[0]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, core = xxhash.xxh3_64_intdigest, length - span + 1
         for batch in batches:
             found, held = [], 0
-            for uid, text, twins in zip(*batch.columns, strict=True):
+            for uid, text in zip(*batch.columns, strict=True):
                 whole = (text.as_py() or "").encode()
                 for base in range(0, len(whole) - length + 1, SECTION):
                     raw = whole[base : base + SECTION + length - 1]
@@ -108,7 +107,7 @@ def runs(known: DataFrame, length: int) -> DataFrame:
                     off = anchor - first
                     ranks = signed([digest(raw[a : a + core]) for a in anchor.tolist()])
                     hulls = signed([digest(raw[a : a + n + length - 1], o) for a, n, o in zip(first.tolist(), count.tolist(), off.tolist(), strict=True)])
-                    found += [(np.full(len(first), uid.as_py(), dtype=np.int64), first + base, count, off, ranks, hulls)] * min(2, twins.as_py())
+                    found.append((np.full(len(first), uid.as_py(), dtype=np.int64), first + base, count, off, ranks, hulls))
                 held += len(whole)
                 if held > 1 << 22 and found:
                     yield record([np.concatenate(c) for c in zip(*found, strict=True)], RUNS)
@@ -116,16 +115,20 @@ def runs(known: DataFrame, length: int) -> DataFrame:
             if found:
                 yield record([np.concatenate(c) for c in zip(*found, strict=True)], RUNS)
 
-    return known.select("uid", "text", "twins").mapInArrow(cut, RUNS)
+    return known.select("uid", "text").mapInArrow(cut, RUNS)
 
 
-def ranked(positions: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+def ranked(positions: DataFrame, keys: list[str], weight: str | None = None) -> Stored:
     """positions whose rank isn't alone, with `mixed`: whether hulls of the rank differ. With a weight, those that stand for several are
-    known already; a rank of such ones alone has nothing left to tell."""
+    known already; a rank of such ones alone has nothing left to tell. Ranks are a table, so that Spark sees the join's sides as they
+    are and splits a hot rank's."""
     n = F.sum(weight) if weight else F.count("*")
     still = F.max((F.col(weight) == 1).cast("int")) if weight else F.lit(1)
     of_rank = positions.groupBy(*keys).agg(n.alias("_n"), F.min("hull").alias("_low"), F.max("hull").alias("_high"), still.alias("_open")).where("_n > 1 AND _open = 1")
-    return positions.join(of_rank.select(*keys, (F.col("_low") != F.col("_high")).alias("mixed")), keys)
+    ranks = Stored(of_rank.select(*keys, (F.col("_low") != F.col("_high")).alias("mixed")))
+    found = Stored(positions.join(ranks.df, keys))
+    ranks.drop()
+    return found
 
 
 #: A node of a round: the run it is of, how many runs that stands for, the node's number, its windows, rank before, digest of what the core adds, of the hull.
@@ -193,15 +196,13 @@ def forget(spark: SparkSession, *tables: Stored) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs: uid, text. uid, start and how many: windows that stand anywhere else too."""
-    spark, spans = docs.sparkSession, spans_of(length)
-    odd = docs.where(F.col("uid") >= BIG).groupBy("uid").agg(F.first("text").alias("text"), F.count("*").alias("twins"))
-    known = docs.where(F.col("uid") < BIG).withColumn("twins", F.lit(1).cast("long")).unionByName(odd)
+def repeated_windows(known: DataFrame, length: int = LENGTH) -> DataFrame:
+    """known: uid (a row's own), text. uid, start and how many: windows that stand anywhere else too."""
+    spark, spans = known.sparkSession, spans_of(length)
     ranges = lambda df, first="start": df.select("uid", F.col(first).cast("long").alias("start"), F.col("windows").cast("long").alias("windows"))
 
     every = Stored(runs(known, length))
-    shared = Stored(ranked(every.df, ["rank"]))
+    shared = ranked(every.df, ["rank"])
     forget(spark, every)
     mixed = shared.df.where("mixed")
     one = mixed.groupBy("rank", "hull").agg(F.count("*").alias("weight"), F.min(F.struct("uid", "start", "windows", "off")).alias("x")).select("rank", "hull", "weight", "x.*")
@@ -216,7 +217,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     before = None
     for wide, narrow in zip(spans, spans[1:], strict=False):
         each = Stored(nodes(cores, length, wide, narrow))
-        told = Stored(ranked(each.df, ["rank", "added"], "weight"))
+        told = ranked(each.df, ["rank", "added"], "weight")
         forget(spark, each, *([before] if before else []))
         found.append(Stored(ranges(told.df.where("not mixed and weight = 1"), "first")))
         again = told.df.where("mixed").groupBy("uid", "start").agg(F.collect_list(F.struct("node", F.xxhash64("rank", "added").alias("rank"))).alias("open"))  # a run's own nodes

@@ -174,10 +174,10 @@ def surrogate(kind: str, canon: str, attempt: int = 0, gender: str = "", host: s
         good = next(d for d in DIGITS if _luhn(body + d) == 0)
         return body + (good if valid else str((int(good) + 1 + draw.below(9)) % 10))
     if kind == "phone":
-        country = canon[:-10] if len(canon) > 10 else canon[: max(0, len(canon) - 9)]
+        country = canon[:-10]
         rest = canon[len(country) :]
         area = "".join([str(2 + draw.below(8)), str(draw.below(10)), str(draw.below(10))])
-        keep = rest[3:6] if rest[3:6] == "555" else ""  # fictional numbers stay fictional
+        keep = "" if rest[3:6] != "555" else rest[3:8] if rest[6:8] == "01" else "555"  # fictional numbers, 555-0100 to 555-0199, stay fictional
         return country + (area + keep + draw.some(DIGITS, max(0, len(rest) - 3 - len(keep))))[: len(rest)] + draw.some(DIGITS, more)
     if kind == "aws_key":
         return "AKIA" + draw.some(KEY_LETTERS, len(canon) - 4 + more)
