@@ -106,10 +106,11 @@ def scale_roi(df: DataFrame, roi_scale: float) -> DataFrame:
 def rescale_rois(df: DataFrame, out_w: int, out_h: int) -> DataFrame:
     """x, y, w, h from a branch of size (width, height) to an output of another size: clipped to the frame, truncated.
 
-    Regions of a branch of the output's own size stay as they are."""
+    Regions of a branch of the output's own size stay as they are; those of a branch without size have no place (null)."""
     same = (F.col("width") == out_w) & (F.col("height") == out_h)
-    x, y = unit(F.col("x") / F.col("width")), unit(F.col("y") / F.col("height"))
-    w, h = F.least(F.greatest(F.col("w") / F.col("width"), F.lit(0.0)), 1 - x), F.least(F.greatest(F.col("h") / F.col("height"), F.lit(0.0)), 1 - y)
+    share = lambda a, size: F.try_divide(F.col(a), F.col(size))
+    x, y = unit(share("x", "width")), unit(share("y", "height"))
+    w, h = F.least(F.greatest(share("w", "width"), F.lit(0.0)), 1 - x), F.least(F.greatest(share("h", "height"), F.lit(0.0)), 1 - y)
     new = {"x": x * out_w, "y": y * out_h, "w": w * out_w, "h": h * out_h}
     return df.withColumns({c: F.when(same, F.col(c)).otherwise(truncated(F.round(v, 9))) for c, v in new.items()})
 
@@ -124,7 +125,7 @@ def add_region(frames: DataFrame, regions: Sequence[tuple], normalized: bool = F
     px = {c: truncated(F.col(f"_r.{c}") * F.col(size[c])) if normalized else truncated(F.col(f"_r.{c}")) for c in "xywh"}
     out = out.withColumns({"x": F.least(F.greatest(px["x"], F.lit(0)), F.col("width")), "y": F.least(F.greatest(px["y"], F.lit(0)), F.col("height"))})
     out = out.withColumns({"w": F.least(px["w"], F.col("width") - F.col("x")), "h": F.least(px["h"], F.col("height") - F.col("y"))})
-    out = out.withColumns({"x_min": F.col("x") / F.col("width"), "y_min": F.col("y") / F.col("height"), "x_max": (F.col("x") + F.col("w")) / F.col("width"), "y_max": (F.col("y") + F.col("h")) / F.col("height")})
+    out = out.withColumns({"x_min": F.try_divide("x", "width"), "y_min": F.try_divide("y", "height"), "x_max": F.try_divide(F.col("x") + F.col("w"), F.col("width")), "y_max": F.try_divide(F.col("y") + F.col("h"), F.col("height"))})
     return out.withColumns({"label": F.lit(label).cast("string"), "confidence": F.lit(float(confidence))}).drop("_r")
 
 

@@ -27,25 +27,25 @@ def area(a: str) -> Column:
 
 
 def iou_pairs(df: DataFrame, min_iou: float = 0.0) -> DataFrame:
-    """Pairs (roi_a < roi_b) of a frame's boxes with IoU above min_iou."""
+    """Pairs (roi_a < roi_b) of a frame's boxes with IoU above min_iou. Boxes without area make no pair."""
     box = df.select(*FRAME, "roi_id", "x", "y", "w", "h")
     shared = intersection("a", "b")
     pairs = box.alias("a").join(box.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in FRAME] + [F.col("a.roi_id") < F.col("b.roi_id")])
-    return pairs.select("a.stream_id", "a.frame_id", F.col("a.roi_id").alias("roi_a"), F.col("b.roi_id").alias("roi_b"), (shared / (area("a") + area("b") - shared)).alias("iou")).where(F.col("iou") > min_iou)
+    return pairs.select("a.stream_id", "a.frame_id", F.col("a.roi_id").alias("roi_a"), F.col("b.roi_id").alias("roi_b"), F.try_divide(shared, area("a") + area("b") - shared).alias("iou")).where(F.col("iou") > min_iou)
 
 
 def occlusion_ratio(df: DataFrame) -> DataFrame:
-    """Of each box, the largest share that another box of the frame covers."""
+    """Of each box, the largest share that another box of the frame covers; 0 of a box without area."""
     box = df.select(*FRAME, "roi_id", "x", "y", "w", "h")
     pairs = box.alias("a").join(box.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in FRAME] + [F.col("a.roi_id") != F.col("b.roi_id")], "left")
-    return pairs.groupBy(*(F.col(f"a.{k}") for k in (*FRAME, "roi_id"))).agg(F.coalesce(F.max(intersection("a", "b") / area("a")), F.lit(0.0)).alias("occlusion"))
+    return pairs.groupBy(*(F.col(f"a.{k}") for k in (*FRAME, "roi_id"))).agg(F.coalesce(F.max(F.try_divide(intersection("a", "b"), area("a"))), F.lit(0.0)).alias("occlusion"))
 
 
 def filter_in_boundary(df: DataFrame, min_ratio: float = 0.75) -> DataFrame:
-    """Boxes of which at least that share lies in the frame."""
+    """Boxes of which at least that share lies in the frame; of a box without area, none does."""
     seen = lambda at, size, frame: F.greatest(F.lit(0), F.least(F.col(at) + F.col(size), F.col(frame)) - F.greatest(F.col(at), F.lit(0)))
     inside = seen("x", "w", "width").cast("long") * seen("y", "h", "height")
-    return df.where(inside / (F.col("w").cast("long") * F.col("h")) >= min_ratio)
+    return df.where(F.coalesce(F.try_divide(inside, F.col("w").cast("long") * F.col("h")), F.lit(0.0)) >= min_ratio)
 
 
 def frame_starts(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
