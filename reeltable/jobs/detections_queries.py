@@ -151,7 +151,7 @@ def iou_pairs(s, d):
     return N.iou_pairs(dets(s, d), 0.1).withColumn("iou", F.round("iou", 6))
 
 
-@query("occlusion_ratio", f"""SELECT a.stream_id, a.frame_id, a.roi_id, round(coalesce(max({PAIR} / (a.w * a.h)), 0), 6) AS occlusion
+@query("occlusion_ratio", f"""SELECT a.stream_id, a.frame_id, a.roi_id, round(max(CASE WHEN b.roi_id IS NULL THEN 0 ELSE {PAIR} / (a.w * a.h) END), 6) AS occlusion
 FROM detections a LEFT JOIN detections b ON a.stream_id = b.stream_id AND a.frame_id = b.frame_id AND a.roi_id <> b.roi_id GROUP BY ALL""")
 def occlusion_ratio(s, d):
     return N.occlusion_ratio(dets(s, d)).withColumn("occlusion", F.round("occlusion", 6))
@@ -302,6 +302,16 @@ def match_features(s, d):
     return J.match_features(f.where(asked), f.where(~asked), max_distance=0.9).withColumn("distance", F.round("distance", 6))
 
 
+@query("match_histograms", """, p AS (SELECT q.roi_id, q.class_id, g.roi_id AS gallery_id, 1 - list_sum(list_transform(list_zip(q.h, g.h), lambda z: sqrt(z[1] * z[2]))) / sqrt(list_sum(q.h) * list_sum(g.h)) AS distance
+  FROM (SELECT roi_id, class_id, list_transform(feature, lambda x: abs(CAST(x AS DOUBLE))) AS h FROM features) q JOIN (SELECT roi_id, class_id, list_transform(feature, lambda x: abs(CAST(x AS DOUBLE))) AS h FROM features) g ON q.class_id = g.class_id AND g.roi_id % 50 <> 0 WHERE q.roi_id % 50 = 0)
+SELECT class_id, roi_id, arg_min(gallery_id, distance) AS gallery_id, round(min(distance), 6) AS distance FROM p GROUP BY ALL HAVING min(distance) <= 0.3""")
+def match_histograms(s, d):
+    """Bhattacharyya's distance of the features' absolute values: the rows whose number 50 divides, against all others."""
+    f = view(s, d, "features").withColumn("feature", F.transform("feature", lambda x: F.abs(x)))
+    asked = F.col("roi_id") % 50 == 0
+    return J.match_features(f.where(asked), f.where(~asked), metric="bhattacharyya", max_distance=0.3).withColumn("distance", F.round("distance", 6))
+
+
 @query("gate_by_trigger", """, t AS (SELECT stream_id, pts, arg_max(label, roi_id) AS label FROM detections WHERE frame_num % 2 = 0 GROUP BY ALL),
 c AS (SELECT stream_id, frame_id, pts FROM frames WHERE frame_num % 2 = 1)
 SELECT c.stream_id, c.frame_id FROM c ASOF JOIN t ON c.stream_id = t.stream_id AND c.pts >= t.pts WHERE t.label = 'vehicle'""")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reeltable.functions.columns import let
 from reeltable.operators.detections import FRAME, rescale_rois
+from reeltable.operators.nearest import dot, nearest, total
 
 SECOND = 1_000_000_000
 
@@ -39,11 +39,10 @@ def with_last(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, b
     both = left.withColumns({"_b": slot, "_side": F.lit(1)}).unionByName(r, allowMissingColumns=True)
     w = Window.partitionBy(*keys, "_b").orderBy(at, "_side", into).rowsBetween(Window.unboundedPreceding, 0)
     near = both.withColumn(into, F.last(into, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
-    early = near.where(F.col(into).isNull()).drop(into)
-    marks = r.groupBy(*keys, "_b").agg(F.max(into).alias(into)).unionByName(early.select(*keys, "_b").distinct(), allowMissingColumns=True).groupBy(*keys, "_b").agg(F.max(into).alias(into))  # a row a bucket
+    marks = r.groupBy(*keys, "_b").agg(F.max(into).alias(into)).unionByName(left.select(*keys, slot.alias("_b")).distinct(), allowMissingColumns=True).groupBy(*keys, "_b").agg(F.max(into).alias(into))  # a row a bucket
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = marks.select(*keys, "_b", F.last(into, ignorenulls=True).over(before).alias(into))
-    return near.where(F.col(into).isNotNull()).unionByName(early.join(carried, [*keys, "_b"], "left")).drop("_b")
+    carried = marks.select(*keys, "_b", F.last(into, ignorenulls=True).over(before).alias("_before"))
+    return near.join(carried, [*keys, "_b"], "left").withColumn(into, F.coalesce(into, "_before")).drop("_b", "_before")
 
 
 def merge_meta_asof(frames: DataFrame, metas: DataFrame, bucket_ns: int = 60 * SECOND) -> DataFrame:
@@ -61,20 +60,46 @@ def attach_tensors_to_rois(dets: DataFrame, tensors: DataFrame) -> DataFrame:
     return keyed.join(dets, [*FRAME, "roi_id"], "left")
 
 
+def dyadic(low: Column, high: Column) -> Column:
+    """The fewest nodes of the binary tree over whole numbers, (level, place), that make up [low, high]: two a level at most."""
+    end, up = high + 1, F.lit(-1)
+    over = lambda l: F.call_function("shiftright", up * low, l) * up  # noqa: E731, E741  rounded up
+    under = lambda l: F.call_function("shiftright", end, l)  # noqa: E731, E741
+    node = lambda there, l, place: F.when(there, F.array(F.struct(l.alias("level"), place.alias("place")))).otherwise(F.array().cast("array<struct<level:int,place:bigint>>"))  # noqa: E731, E741
+    at = lambda l: F.concat(node((over(l) < under(l)) & (F.pmod(over(l), F.lit(2)) == 1), l, over(l)), node((over(l) < under(l)) & (F.pmod(under(l), F.lit(2)) == 1), l, under(l) - 1))  # noqa: E731, E741
+    levels = F.sequence(F.lit(0), F.floor(F.log2((end - low).cast("double")) + 1e-9).cast("int"))
+    return F.flatten(F.transform(levels, at))
+
+
+def meeting(frames: DataFrame, closed: DataFrame, cell_ns: int) -> DataFrame:
+    """Pairs of frames (stream_id, pts, _f_end) and closed intervals (stream_id, start, end) whose cells of time overlap, each pair once.
+
+    Both are told in nodes of a tree over the cells, so an interval has about two rows for each doubling of its length. Of two that overlap, one has a node
+    inside a node of the other: each side asks the levels that the other has above its own nodes. The pair counts where the smaller node
+    holds the cell in which both have begun."""
+    cell = lambda c: F.floor(F.col(c) / cell_ns).cast("long")
+    f = frames.withColumns({"_f0": cell("pts"), "_n": F.explode(dyadic(cell("pts"), cell("_f_end")))}).withColumns({"_fl": F.col("_n.level"), "_fp": F.col("_n.place")}).drop("_n")
+    m = closed.withColumns({"_m0": cell("start"), "_n": F.explode(dyadic(cell("start"), cell("end")))}).withColumns({"_ml": F.col("_n.level"), "_mp": F.col("_n.place")}).drop("_n")
+    levels = lambda df, c: sorted(r[0] for r in df.select(c).distinct().collect())  # noqa: E731  at most 63 numbers
+    above = lambda df, own, place, of: df.withColumn("_l", F.explode(F.array(*map(F.lit, of)) if of else F.array().cast("array<int>"))).where(F.col("_l") >= F.col(own)).withColumn("_p", F.call_function("shiftright", F.col(place), F.col("_l") - F.col(own)))
+    begun = F.greatest("_f0", "_m0")
+    inner = above(f, "_fl", "_fp", levels(m, "_ml")).join(m.withColumns({"_l": F.col("_ml"), "_p": F.col("_mp")}), ["stream_id", "_l", "_p"]).where(F.call_function("shiftright", begun, F.col("_fl")) == F.col("_fp"))
+    outer = above(m, "_ml", "_mp", levels(f, "_fl")).where("_l > _ml").join(f.withColumns({"_l": F.col("_fl"), "_p": F.col("_fp")}), ["stream_id", "_l", "_p"]).where(F.call_function("shiftright", begun, F.col("_ml")) == F.col("_mp"))
+    return inner.unionByName(outer).drop("_l", "_p", "_f0", "_m0", "_fl", "_fp", "_ml", "_mp")
+
+
 def merge_branches_interval(frames: DataFrame, metas: DataFrame, out_w: int | None = None, out_h: int | None = None, bucket_ns: int = SECOND) -> DataFrame:
     """Metadata whose interval meets a frame's: end >= start of the frame and start < its end. Rows without an end hold until
     the next row of their stream and branch starts, so a frame has those of the last start at or before it, and those that
-    start in it. Only rows with an end are put into the time buckets they cover; held ones are found by the last start,
-    however long they hold. All joins are on equal keys."""
-    slots = lambda a, b: F.explode(F.sequence(F.floor(a / bucket_ns), F.floor(b / bucket_ns)))
+    start in it. Rows with an end meet frames at nodes of a tree over time buckets; held ones are found by the last start, so both
+    cost little however long they last. All joins are on equal keys."""
     f = frames.select("stream_id", "frame_id", "pts", (F.col("pts") + F.col("duration")).alias("_f_end"))
-    in_slots = f.withColumn("_b", slots(F.col("pts"), F.col("_f_end")))
-    closed = metas.where(F.col("end").isNotNull() & (F.col("start") <= F.col("end"))).withColumn("_b", slots(F.col("start"), F.col("end")))
-    met = closed.join(in_slots, ["stream_id", "_b"]).where((F.col("end") >= F.col("pts")) & (F.col("start") < F.col("_f_end")))
-    met = met.where(F.col("_b") == F.floor(F.greatest(F.col("start"), F.col("pts")) / bucket_ns)).drop("_b", "_f_end")  # the bucket where both have begun
+    closed = metas.where(F.col("end").isNotNull() & (F.col("start") <= F.col("end")))
+    met = meeting(f, closed, bucket_ns).where((F.col("end") >= F.col("pts")) & (F.col("start") < F.col("_f_end"))).drop("_f_end")
     held = metas.where(F.col("end").isNull())
     starts = metas.select("stream_id", "branch", "start").distinct()
-    begun = starts.withColumn("_b", F.floor(F.col("start") / bucket_ns)).join(in_slots, ["stream_id", "_b"]).where((F.col("start") > F.col("pts")) & (F.col("start") < F.col("_f_end"))).select("stream_id", "branch", "start", "frame_id", "pts")
+    points = starts.withColumn("end", F.col("start"))
+    begun = meeting(f, points, bucket_ns).where((F.col("start") > F.col("pts")) & (F.col("start") < F.col("_f_end"))).select("stream_id", "branch", "start", "frame_id", "pts")
     branches = held.select("stream_id", "branch").distinct()  # few of a stream
     asked = f.join(branches, "stream_id").select("stream_id", "branch", "frame_id", F.col("pts").alias("at"), "pts")
     last = with_last(asked, starts.withColumn("at", F.col("start")), ["stream_id", "branch"], "at", 60 * bucket_ns, "_l").where("_l is not null")
@@ -95,36 +120,25 @@ def parent_child(dets: DataFrame) -> DataFrame:
     return dets.join(p, [*FRAME, "parent_id"])
 
 
-def dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def feature_distance(a, b, metric: str = "cosine"):
-    """Cosine distance of vectors (1 where lengths differ), or Bhattacharyya's of histograms: one less the coefficient, 1 where
-    one is empty."""
+    """Cosine distance of vectors, or Bhattacharyya's of histograms: one less the coefficient. 1 where lengths differ or one is empty or zero."""
     if metric == "cosine":
-        d = 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+        d = F.coalesce(1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(1.0))
     else:
-        total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-        mixed = F.aggregate(F.zip_with(a, b, lambda x, y: F.sqrt(x.cast("double") * y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+        mixed = total(F.zip_with(a, b, lambda x, y: F.sqrt(x.cast("double") * y.cast("double"))))
         d = F.when((total(a) > 1e-4) & (total(b) > 1e-4), 1 - mixed / F.sqrt(total(a) * total(b))).otherwise(F.lit(1.0))
     return F.when(F.size(a) == F.size(b), d).otherwise(F.lit(1.0))
 
 
 def match_features(query: DataFrame, gallery: DataFrame, block: Sequence[str] = ("class_id",), metric: str = "cosine", max_distance: float = 0.2) -> DataFrame:
-    """The nearest gallery feature of each query row, within its block (class, stream), and at most max_distance away.
+    """The nearest gallery feature of each query row, within its block (class, stream), and at most max_distance away; equal
+    distances go to the smallest gallery_id.
 
-    The join is on the block, never of all with all; equal distances go to the smallest gallery_id. Vectors are brought to
-    length one once a row, not once a pair."""
+    Distances under 1 are found by an inverted file (`nearest`). From 1 on also features without likeness match, so all of a block's pairs are looked at."""
+    if max_distance < 1:
+        return nearest(query, gallery, block, metric, max_distance)
     g = gallery.select(*block, F.col("roi_id").alias("gallery_id"), F.col("feature").alias("_g"))
-    q = query
-    if metric == "cosine":
-        unit = lambda c: let(F.sqrt(dot(F.col(c), F.col(c))), lambda n: F.transform(F.col(c), lambda x: x.cast("double") / n))
-        g, q = g.withColumn("_g", unit("_g")), q.withColumn("feature", unit("feature"))
-        distance = F.when(F.size("feature") == F.size("_g"), 1 - dot(F.col("feature"), F.col("_g"))).otherwise(F.lit(1.0))
-    else:
-        distance = feature_distance(F.col("feature"), F.col("_g"), metric)
-    pairs = q.join(g, [*block]).select(*block, "roi_id", F.struct(distance.alias("distance"), "gallery_id").alias("_m"))
+    pairs = query.join(g, [*block]).select(*block, "roi_id", F.struct(feature_distance(F.col("feature"), F.col("_g"), metric).alias("distance"), "gallery_id").alias("_m"))
     best = pairs.groupBy(*block, "roi_id").agg(F.min("_m").alias("_m"))
     return best.select(*block, "roi_id", F.col("_m.gallery_id").alias("gallery_id"), F.col("_m.distance").alias("distance")).where(F.col("distance") <= max_distance)
 

@@ -26,19 +26,32 @@ def area(a: str) -> Column:
     return F.col(f"{a}.w").cast("long") * F.col(f"{a}.h")
 
 
+CELL = 512  # pixels
+
+
+def overlapping(df: DataFrame, cell: int = CELL) -> DataFrame:
+    """Pairs (a, b) of a frame's boxes that share an area, roi_a <> roi_b. Boxes meet in the cells of a grid that they lie in, and a pair counts
+    where its shared part begins, so a crowded frame costs what its overlaps are, not the square of its boxes."""
+    box = df.where("w > 0 AND h > 0").select(*FRAME, "roi_id", "x", "y", "w", "h")
+    lies = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(size) - 1) / cell))
+    spread = box.withColumn("_cx", F.explode(lies("x", "w"))).withColumn("_cy", F.explode(lies("y", "h")))
+    a, b = spread.alias("a"), spread.alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*FRAME, "_cx", "_cy")]
+    begins = lambda at: F.floor(F.greatest(F.col(f"a.{at}"), F.col(f"b.{at}")) / cell)
+    return a.join(b, [*same, F.col("a.roi_id") != F.col("b.roi_id")]).where((begins("x") == F.col("a._cx")) & (begins("y") == F.col("a._cy")) & (intersection("a", "b") > 0))
+
+
 def iou_pairs(df: DataFrame, min_iou: float = 0.0) -> DataFrame:
-    """Pairs (roi_a < roi_b) of a frame's boxes with IoU above min_iou. Boxes without area make no pair."""
-    box = df.select(*FRAME, "roi_id", "x", "y", "w", "h")
+    """Pairs (roi_a < roi_b) of a frame's boxes with IoU above min_iou (0 or more). Boxes without area make no pair."""
     shared = intersection("a", "b")
-    pairs = box.alias("a").join(box.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in FRAME] + [F.col("a.roi_id") < F.col("b.roi_id")])
-    return pairs.select("a.stream_id", "a.frame_id", F.col("a.roi_id").alias("roi_a"), F.col("b.roi_id").alias("roi_b"), F.try_divide(shared, area("a") + area("b") - shared).alias("iou")).where(F.col("iou") > min_iou)
+    pairs = overlapping(df).where("a.roi_id < b.roi_id")
+    return pairs.select("a.stream_id", "a.frame_id", F.col("a.roi_id").alias("roi_a"), F.col("b.roi_id").alias("roi_b"), (shared / (area("a") + area("b") - shared)).alias("iou")).where(F.col("iou") > min_iou)
 
 
 def occlusion_ratio(df: DataFrame) -> DataFrame:
     """Of each box, the largest share that another box of the frame covers; 0 of a box without area."""
-    box = df.select(*FRAME, "roi_id", "x", "y", "w", "h")
-    pairs = box.alias("a").join(box.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in FRAME] + [F.col("a.roi_id") != F.col("b.roi_id")], "left")
-    return pairs.groupBy(*(F.col(f"a.{k}") for k in (*FRAME, "roi_id"))).agg(F.coalesce(F.max(F.try_divide(intersection("a", "b"), area("a"))), F.lit(0.0)).alias("occlusion"))
+    most = overlapping(df).groupBy(*(F.col(f"a.{k}").alias(k) for k in (*FRAME, "roi_id"))).agg(F.max(intersection("a", "b") / area("a")).alias("occlusion"))
+    return df.select(*FRAME, "roi_id").distinct().join(most, [*FRAME, "roi_id"], "left").withColumn("occlusion", F.coalesce("occlusion", F.lit(0.0)))
 
 
 def filter_in_boundary(df: DataFrame, min_ratio: float = 0.75) -> DataFrame:
