@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from reeltable.functions.tables import Stored
 from reeltable.jobs.registry import query
 from reeltable.operators import monitor as A
 from reeltable.operators import sampling as W
@@ -160,6 +161,22 @@ def count_objects(s, d):
     return A.count_objects(view(s, d, "detections"), ("stream_id", "label"), cube=True, tracks="frame_id")
 
 
+@query("count_objects_sketched", """, k AS (SELECT *, pts // 60000000000 AS minute FROM detections)
+SELECT stream_id, label, minute, count(*) AS objects, true AS close FROM k GROUP BY ALL UNION ALL SELECT stream_id, label, NULL, count(*), true FROM k GROUP BY ALL UNION ALL SELECT stream_id, NULL, NULL, count(*), true FROM k GROUP BY ALL UNION ALL SELECT NULL, NULL, NULL, count(*), true FROM k""")
+def count_objects_sketched(s, d):
+    """Distinct frames from stored sketches at four levels: whether each is within four standard deviations of the exact count."""
+    k = view(s, d, "detections").withColumn("minute", F.floor(F.col("pts") / 60_000_000_000))
+    full = ("stream_id", "label", "minute")
+    sketches = Stored(A.object_sketches(k, "frame_id", full)).df
+    levels = []
+    for by in (full, full[:2], full[:1], ()):
+        exact = k.groupBy(*by).agg(F.countDistinct("frame_id").alias("exact")).withColumn("_one", F.lit(1))
+        found = A.count_sketched(sketches, by).withColumn("_one", F.lit(1)).join(exact, [*by, "_one"])
+        close = F.abs(F.col("tracks") - F.col("exact")) <= 4 * 1.04 / 64 * F.col("exact") + 1
+        levels.append(found.select(*(F.col(c) if c in by else F.lit(None).cast(k.schema[c].dataType).alias(c) for c in full), "objects", close.alias("close")))
+    return levels[0].unionByName(levels[1]).unionByName(levels[2]).unionByName(levels[3])
+
+
 PIXELS = """, hx AS (SELECT stream_id, frame_id, md5(CAST(frame_id AS VARCHAR) || 'a') || md5(CAST(frame_id AS VARCHAR) || 'b') || md5(CAST(frame_id AS VARCHAR) || 'c') AS h FROM frames),
 px AS (SELECT stream_id, frame_id, i % 4 AS x, i // 4 AS y, list_transform([0, 2, 4], lambda k: CAST('0x' || substr(h, i * 6 + k + 1, 2) AS INT) // 128) AS c FROM hx, range(0, 16) AS t(i)),
 wt AS (SELECT stream_id, frame_id, CAST(y // 2 * 2 + x // 2 AS INT) AS slice, 2 * (2 * c[1] + c[2]) + c[3] AS bin, exp(-0.5 * (pow(1 - x % 2, 2) + pow(1 - y % 2, 2))) AS w FROM px)

@@ -57,10 +57,24 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], at: Column
 
     A key is sorted in buckets of `at` (a whole number that grows with the order), so its sort is many tasks'; a row a bucket
     brings what the buckets before add up to."""
+    return carried_on(df.withColumn("_b", F.floor(at / bucket)), keys, order, parts)
+
+
+def running_by_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: dict[str, tuple[str, Column]], rows: int = 1 << 20) -> DataFrame:
+    """As `running`, in buckets of about so many rows by measured ranges of keys and order, so it is the same to it how rows lie in time and which
+    keys have them. The rows are dealt and written once; rows equal in keys and order stay together."""
+    n = max(1, math.ceil(df.count() / rows))
+    if n == 1:
+        return carried_on(df.withColumn("_b", F.lit(0)), keys, order, parts)
+    ranges = [F.asc_nulls_first(c) for c in (*keys, *order)]
+    return carried_on(Stored(df.repartitionByRange(n, *ranges).withColumn("_b", F.spark_partition_id())).df, keys, order, parts)
+
+
+def carried_on(rows: DataFrame, keys: Sequence[str], order: Sequence[str], parts: dict[str, tuple[str, Column]]) -> DataFrame:
+    """rows with parts over its key's rows so far; `_b` numbers buckets that follow one another in order."""
     keys, combine = list(keys), {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
     make = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + b, "count": lambda a, b: F.coalesce(a, F.lit(0)) + b, "min": F.least, "max": F.greatest}
-    rows = df.withColumn("_b", F.floor(at / bucket))
     here = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*keys, "_b").agg(*(make[how](c).alias(f"_{n}") for n, (how, c) in parts.items()))
@@ -76,20 +90,20 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], at: Column
 HOUR = 3_600
 
 
-def latency_running(trace: DataFrame, keys: Sequence[str] = ("element",), order: Sequence[str] = ("src_ts", "frame_id"), bucket_s: int = HOUR) -> DataFrame:
-    """Each element's latency with its mean, least and most so far, and the number of frames; order begins with a timestamp."""
+def latency_running(trace: DataFrame, keys: Sequence[str] = ("element",), order: Sequence[str] = ("src_ts", "frame_id"), rows: int = 1 << 20) -> DataFrame:
+    """Each element's latency with its mean, least and most so far, and the number of frames, in buckets of about so many rows."""
     v = F.col("latency_ms")
-    out = running(trace, keys, order, F.unix_seconds(F.col(order[0]).cast("timestamp")), bucket_s, {"_sum": ("sum", v), "_n": ("count", v), "min_ms": ("min", v), "max_ms": ("max", v), "frame_num": ("count", F.lit(1))})
+    out = running_by_count(trace, keys, order, {"_sum": ("sum", v), "_n": ("count", v), "min_ms": ("min", v), "max_ms": ("max", v), "frame_num": ("count", F.lit(1))}, rows)
     return out.withColumn("avg_ms", F.col("_sum") / F.col("_n")).drop("_sum", "_n")
 
 
-def pipeline_latency_running(trace: DataFrame, keys: Sequence[str] = ("stream_id",), order: Sequence[str] = ("src_ts", "frame_id"), bucket_s: int = HOUR) -> DataFrame:
+def pipeline_latency_running(trace: DataFrame, keys: Sequence[str] = ("stream_id",), order: Sequence[str] = ("src_ts", "frame_id"), rows: int = 1 << 20) -> DataFrame:
     """latency_running, with the mean time between outputs so far and the frames a second that it gives."""
     first = trace.groupBy(*(F.col(k).alias(f"_f{i}") for i, k in enumerate(keys))).agg(F.min(F.unix_micros("src_ts")).alias("_first"))  # a row a key
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_f{i}"))
-    out = latency_running(trace, keys, order, bucket_s).join(first, same)
+    out = latency_running(trace, keys, order, rows).join(first, same)
     out = out.withColumn("interval_ms", (F.unix_micros("src_ts") - F.col("_first")) / 1000 / F.col("frame_num")).drop("_first", *(f"_f{i}" for i in range(len(keys))))
     return out.withColumn("fps", F.when(F.col("interval_ms") > 0, 1000 / F.col("interval_ms")))
 
@@ -126,6 +140,16 @@ def count_objects(dets: DataFrame, by: Sequence[str] = ("label",), cube: bool =
     return grouped.agg(F.count("*").alias("objects"), *distinct)
 
 
+def object_sketches(dets: DataFrame, tracks: str, by: Sequence[str] = ("stream_id", "label"), lg_k: int = 12) -> DataFrame:
+    """Objects and a mergeable sketch of the distinct tracks by group, to be stored: coarser groups are counted from it, without the rows."""
+    return dets.groupBy(*by).agg(F.count("*").alias("objects"), F.hll_sketch_agg(tracks, lg_k).alias("sketch"))
+
+
+def count_sketched(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Objects and, within the sketch's error (1.04 / sqrt(2^lg_k) is one standard deviation), distinct tracks of coarser groups."""
+    return sketches.groupBy(*by).agg(F.sum("objects").alias("objects"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("tracks"))
+
+
 def color_histogram(images: DataFrame, bins: int = 8, slices_x: int = 1, slices_y: int = 1) -> DataFrame:
     """RGB histogram of each slice of a grid, row by row, each pixel weighted by a Gaussian about the slice's centre; bin
     B*(B*r + g) + b of channel values by 256 // B. images: frame key, height, width, pixels (binary, RGB interleaved)."""
