@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reeltable.functions.tables import Stored
 from reeltable.operators.detections import FRAME, rescale_rois
 from reeltable.operators.nearest import dot, nearest, total
 
@@ -71,21 +72,29 @@ def dyadic(low: Column, high: Column) -> Column:
     return F.flatten(F.transform(levels, at))
 
 
-def meeting(frames: DataFrame, closed: DataFrame, cell_ns: int) -> DataFrame:
-    """Pairs of frames (stream_id, pts, _f_end) and closed intervals (stream_id, start, end) whose cells of time overlap, each pair once.
+def in_nodes(df: DataFrame, low: str, high: str, cell_ns: int, names: Sequence[str]) -> tuple[DataFrame, list[int]]:
+    """df with the cell of `low` and a row for each node of [low, high] (first, level and place as named), written, and the levels that there are: at most 63."""
+    cell = lambda c: F.floor(F.col(c) / cell_ns).cast("long")
+    first, level, place = names
+    rows = df.withColumns({first: cell(low), "_node": F.explode(dyadic(cell(low), cell(high)))}).withColumns({level: F.col("_node.level"), place: F.col("_node.place")}).drop("_node")
+    rows = Stored(rows).df
+    return rows, sorted(r[0] for r in rows.select(level).distinct().collect())
+
+
+def meeting(frames: tuple[DataFrame, list[int]], closed: tuple[DataFrame, list[int]]) -> DataFrame:
+    """Pairs of frames and closed intervals of a stream (by `in_nodes`) whose cells of time overlap, each pair once.
 
     Both are told in nodes of a tree over the cells, so an interval has about two rows for each doubling of its length. Of two that overlap, one has a node
     inside a node of the other: each side asks the levels that the other has above its own nodes. The pair counts where the smaller node
     holds the cell in which both have begun."""
-    cell = lambda c: F.floor(F.col(c) / cell_ns).cast("long")
-    f = frames.withColumns({"_f0": cell("pts"), "_n": F.explode(dyadic(cell("pts"), cell("_f_end")))}).withColumns({"_fl": F.col("_n.level"), "_fp": F.col("_n.place")}).drop("_n")
-    m = closed.withColumns({"_m0": cell("start"), "_n": F.explode(dyadic(cell("start"), cell("end")))}).withColumns({"_ml": F.col("_n.level"), "_mp": F.col("_n.place")}).drop("_n")
-    levels = lambda df, c: sorted(r[0] for r in df.select(c).distinct().collect())  # noqa: E731  at most 63 numbers
+    (f, f_levels), (m, m_levels) = frames, closed
     above = lambda df, own, place, of: df.withColumn("_l", F.explode(F.array(*map(F.lit, of)) if of else F.array().cast("array<int>"))).where(F.col("_l") >= F.col(own)).withColumn("_p", F.call_function("shiftright", F.col(place), F.col("_l") - F.col(own)))
     begun = F.greatest("_f0", "_m0")
-    inner = above(f, "_fl", "_fp", levels(m, "_ml")).join(m.withColumns({"_l": F.col("_ml"), "_p": F.col("_mp")}), ["stream_id", "_l", "_p"]).where(F.call_function("shiftright", begun, F.col("_fl")) == F.col("_fp"))
-    outer = above(m, "_ml", "_mp", levels(f, "_fl")).where("_l > _ml").join(f.withColumns({"_l": F.col("_fl"), "_p": F.col("_fp")}), ["stream_id", "_l", "_p"]).where(F.call_function("shiftright", begun, F.col("_ml")) == F.col("_mp"))
-    return inner.unionByName(outer).drop("_l", "_p", "_f0", "_m0", "_fl", "_fp", "_ml", "_mp")
+    met = above(f, "_fl", "_fp", m_levels).join(m.withColumns({"_l": F.col("_ml"), "_p": F.col("_mp")}), ["stream_id", "_l", "_p"]).where(F.call_function("shiftright", begun, F.col("_fl")) == F.col("_fp"))
+    if f_levels and m_levels and max(f_levels) > min(m_levels):  # else no frame has a node above an interval's
+        outer = above(m, "_ml", "_mp", f_levels).where("_l > _ml").join(f.withColumns({"_l": F.col("_fl"), "_p": F.col("_fp")}), ["stream_id", "_l", "_p"]).where(F.call_function("shiftright", begun, F.col("_ml")) == F.col("_mp"))
+        met = met.unionByName(outer)
+    return met.drop("_l", "_p", "_f0", "_m0", "_fl", "_fp", "_ml", "_mp")
 
 
 def merge_branches_interval(frames: DataFrame, metas: DataFrame, out_w: int | None = None, out_h: int | None = None, bucket_ns: int = SECOND) -> DataFrame:
@@ -95,11 +104,12 @@ def merge_branches_interval(frames: DataFrame, metas: DataFrame, out_w: int | No
     cost little however long they last. All joins are on equal keys."""
     f = frames.select("stream_id", "frame_id", "pts", (F.col("pts") + F.col("duration")).alias("_f_end"))
     closed = metas.where(F.col("end").isNotNull() & (F.col("start") <= F.col("end")))
-    met = meeting(f, closed, bucket_ns).where((F.col("end") >= F.col("pts")) & (F.col("start") < F.col("_f_end"))).drop("_f_end")
+    told = in_nodes(f, "pts", "_f_end", bucket_ns, ("_f0", "_fl", "_fp"))
+    met = meeting(told, in_nodes(closed, "start", "end", bucket_ns, ("_m0", "_ml", "_mp"))).where((F.col("end") >= F.col("pts")) & (F.col("start") < F.col("_f_end"))).drop("_f_end")
     held = metas.where(F.col("end").isNull())
     starts = metas.select("stream_id", "branch", "start").distinct()
-    points = starts.withColumn("end", F.col("start"))
-    begun = meeting(f, points, bucket_ns).where((F.col("start") > F.col("pts")) & (F.col("start") < F.col("_f_end"))).select("stream_id", "branch", "start", "frame_id", "pts")
+    cell = F.floor(F.col("start") / bucket_ns).cast("long")
+    begun = meeting(told, (starts.withColumns({"_m0": cell, "_ml": F.lit(0), "_mp": cell}), [0])).where((F.col("start") > F.col("pts")) & (F.col("start") < F.col("_f_end"))).select("stream_id", "branch", "start", "frame_id", "pts")
     branches = held.select("stream_id", "branch").distinct()  # few of a stream
     asked = f.join(branches, "stream_id").select("stream_id", "branch", "frame_id", F.col("pts").alias("at"), "pts")
     last = with_last(asked, starts.withColumn("at", F.col("start")), ["stream_id", "branch"], "at", 60 * bucket_ns, "_l").where("_l is not null")
