@@ -58,15 +58,15 @@ def _grid(t: DataFrame, decode: Callable[[np.ndarray, Sequence[int]], np.ndarray
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                b = decode(np.asarray(r.data, dtype=float), [int(x) for x in r.dims])
-                if len(b):
-                    cx, cy, w, h, conf, label = b.T[:6]
-                    turned = {"rotation": b.T[6]} if rotated else {}
-                    out.append(pd.DataFrame({"stream_id": r.stream_id, "frame_id": r.frame_id, "roi_id": np.arange(len(b)), "x_min": (cx - w / 2) / input_w, "y_min": (cy - h / 2) / input_h, "x_max": (cx + w / 2) / input_w, "y_max": (cy + h / 2) / input_h, "confidence": conf, "label_id": label.astype(int), **turned}))
-            if out:
-                yield pd.concat(out)
+            found = [decode(np.asarray(data, dtype=float), [int(x) for x in dims]) for data, dims in zip(pdf["data"], pdf["dims"], strict=True)]
+            counts = np.array([len(b) for b in found], dtype=np.int64)
+            if not counts.sum():
+                continue
+            cx, cy, w, h, conf, label = (b := np.concatenate([f for f in found if len(f)])).T[:6]
+            own = np.repeat(np.arange(len(counts)), counts)  # the tensor of each box
+            turned = {"rotation": b.T[6]} if rotated else {}
+            keys = {k: pdf[k].take(own).reset_index(drop=True) for k in FRAME}
+            yield pd.DataFrame({**keys, "roi_id": np.arange(len(own)) - (np.cumsum(counts) - counts)[own], "x_min": (cx - w / 2) / input_w, "y_min": (cy - h / 2) / input_h, "x_max": (cx + w / 2) / input_w, "y_max": (cy + h / 2) / input_h, "confidence": conf, "label_id": label.astype(int), **turned})
 
     return t.select(*FRAME, "dims", "data").mapInPandas(run, BOXES + ", rotation double" * rotated)
 
