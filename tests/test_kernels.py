@@ -147,3 +147,27 @@ def test_the_last_row_before_goes_over_empty_buckets(spark):
     right = spark.createDataFrame([(1, 10, 7), (1, 30, 8), (1, 200, 9)], "k int, t long, v int")
     got = {r["name"]: r["l"]["v"] if r["l"] else None for r in joins.with_last(left, right, ["k"], "t", 20, "l").collect()}
     assert got == {"a": None, "tie": 7, "b": 8, "c": 9, "d": None}
+
+
+def test_few_pairs_equal_many():
+    """Assignments on plain numbers and on arrays, and the least costs by pair and by table, are the same."""
+    rnd = np.random.default_rng(5)
+    for _ in range(200):
+        n, m = sorted(rnd.integers(1, 7, 2).tolist())
+        cost = rnd.integers(-3, 9, (n, m)) / 2
+        assert tracking.assign_few(cost) == tracking.assign(cost).tolist()
+    boxes = [[*map(float, rnd.integers(0, 300, 2)), *map(float, rnd.integers(0, 80, 2))] for _ in range(12)]
+    tracks = [tracking.Track(i, "ab"[i % 2], tracking.Motion(b), box=b, waited=0.1 * i) for i, b in enumerate([*boxes[::2], *([x + 3, y - 4, w + 1, h] for x, y, w, h in boxes)])]
+    labels = ["ab"[i % 2] for i in range(12)]
+    table = tracking.pair_costs(np.array(boxes), np.array([t.box for t in tracks]), np.array([t.waited for t in tracks]))
+    want = {(d, t): table[d, t] for d in range(12) for t in range(len(tracks)) if table[d, t] < tracking.LIMIT and labels[d] == tracks[t].label}
+    got = tracking.near_pairs(boxes, labels, tracks, True, None)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 10
+
+
+def test_many_planes_at_once():
+    rnd = np.random.default_rng(6)
+    before, now = rnd.integers(0, 60, (2, 9, 20, 37), dtype=np.uint8)
+    hot, boxes = tracking.moving_blocks(before, now, 8, 10)
+    assert hot.shape == (9, len(boxes)) and hot.any()
+    assert all((tracking.moving_blocks(a, b, 8, 10)[0] == h).all() for a, b, h in zip(before, now, hot, strict=True))
