@@ -183,7 +183,7 @@ def blocks(s, d):
 SAMPLES = """, full_ AS (SELECT stream_id, frame_num // 16 AS block FROM objects GROUP BY ALL HAVING count(*) = 16), smp AS (SELECT o.stream_id, o.frame_num AS i, CAST(o.frame_id % 97 AS DOUBLE) AS v FROM objects o JOIN full_ f ON o.stream_id = f.stream_id AND o.frame_num // 16 = f.block)"""
 
 
-@query("audio_windows", SAMPLES + """ SELECT s.stream_id, k AS "window", sum(v) AS total, k * 32 * 62500 AS start_ns, k * 32 * 62500 + 40 * 62500 AS end_ns FROM smp s, range(0, 10000) AS t(k) WHERE s.i >= k * 32 AND s.i < k * 32 + 40 GROUP BY ALL HAVING count(*) = 40""")
+@query("audio_windows", SAMPLES + """ SELECT s.stream_id, k AS "window", sum(v) AS total, k * 32 * 62500 AS start_ns, k * 32 * 62500 + 40 * 62500 AS end_ns FROM (SELECT stream_id, i, v, i // 32 - j AS k FROM smp, range(0, 2) AS t(j)) s WHERE k >= 0 AND i < k * 32 + 40 GROUP BY ALL HAVING count(*) = 40""")
 def audio_windows(s, d):
     w = U.audio_windows(blocks(s, d), 40, 0.0021, 16)
     return w.select("stream_id", "window", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total"), "start_ns", "end_ns")

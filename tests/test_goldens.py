@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from reeltable.jobs import registry
 from reeltable.functions import user
 from reeltable.operators import audio, decode, detections, joins, sampling
 from reeltable.sources import frames as S
@@ -164,3 +165,17 @@ def test_user_code(spark, tmp_path):
     f = frame(spark).union(frame(spark, pts=10))
     got = user.apply_python(f, "mine", cls="Keep", kwargs={"least": 5}).collect()
     assert [r["pts"] for r in got] == [11]
+
+
+def test_audio_windows_sql_has_every_window():
+    """The SQL counts windows of a stream of any length; it stopped at 10,000."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, 0::BIGINT AS user_id, 'view' AS event_type, 1.0 AS value FROM range(0, 320032) AS t(i)")
+    con.sql("CREATE TABLE orders (o_custkey BIGINT, o_orderkey BIGINT)")
+    con.sql("CREATE TABLE lineitem (l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_shipdate TIMESTAMP)")
+    con.sql("CREATE TABLE embeddings (vec_id BIGINT, label INT, embedding FLOAT[])")
+    assert con.sql(f'SELECT count(*), max("window") FROM ({registry.ORACLES["audio_windows"]})').fetchone() == (10_000, 9_999)
+    con.sql("INSERT INTO events SELECT i, TIMESTAMP '2024-01-01' + to_seconds(i), 0, 'view', 1.0 FROM range(320032, 320064) AS t(i)")
+    assert con.sql(f'SELECT count(*), max("window") FROM ({registry.ORACLES["audio_windows"]})').fetchone() == (10_001, 10_000)
