@@ -176,6 +176,6 @@ def test_audio_windows_sql_has_every_window():
     con.sql("CREATE TABLE orders (o_custkey BIGINT, o_orderkey BIGINT)")
     con.sql("CREATE TABLE lineitem (l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_shipdate TIMESTAMP)")
     con.sql("CREATE TABLE embeddings (vec_id BIGINT, label INT, embedding FLOAT[])")
-    assert con.sql(f'SELECT count(*), max("window") FROM ({registry.ORACLES["audio_windows"]})').fetchone() == (10_000, 9_999)
+    assert con.sql(f'SELECT count(*), max("window") FROM ({registry.ORACLES["audio_windows"]})').fetchall() == [(10_000, 9_999)]
     con.sql("INSERT INTO events SELECT i, TIMESTAMP '2024-01-01' + to_seconds(i), 0, 'view', 1.0 FROM range(320032, 320064) AS t(i)")
-    assert con.sql(f'SELECT count(*), max("window") FROM ({registry.ORACLES["audio_windows"]})').fetchone() == (10_001, 10_000)
+    assert con.sql(f'SELECT count(*), max("window") FROM ({registry.ORACLES["audio_windows"]})').fetchall() == [(10_001, 10_000)]
