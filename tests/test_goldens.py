@@ -179,3 +179,9 @@ def test_audio_windows_sql_has_every_window():
     assert con.sql(f'SELECT count(*), max("window") FROM ({registry.ORACLES["audio_windows"]})').fetchall() == [(10_000, 9_999)]
     con.sql("INSERT INTO events SELECT i, TIMESTAMP '2024-01-01' + to_seconds(i), 0, 'view', 1.0 FROM range(320032, 320064) AS t(i)")
     assert con.sql(f'SELECT count(*), max("window") FROM ({registry.ORACLES["audio_windows"]})').fetchall() == [(10_001, 10_000)]
+
+
+def test_json_lines_are_compressed(spark, tmp_path):
+    df = frame(spark).select(F.to_json(F.struct(F.struct("width", "height").alias("resolution"), F.col("pts").alias("timestamp"))).alias("json"))
+    S.write_json_lines(df, str(tmp_path / "lines"))
+    assert {p.suffix for p in (tmp_path / "lines").glob("part-*")} == {".gz"} and S.read_frames_jsonl(spark, str(tmp_path / "lines")).count() == 1
