@@ -291,12 +291,8 @@ def exhausted(histogram: dict[int, int], capacity: int, bins: int, steps: int) -
     each longest length were seen, within so many steps."""
     open_, left = Open(histogram), steps
 
-    def fill(bins: int, spare: int) -> list[list[int]] | None:
-        nonlocal left
-        if not open_.pieces:
-            return []
-        if not bins or left <= 0:
-            return None
+    def around(spare: int) -> Iterator[tuple[list[int], int]]:
+        """The fillings around the longest length with the waste that is left beside each, which is taken while it is looked at."""
         longest = open_.lengths[-1]
         gap = capacity - longest
         open_.take([longest])
@@ -305,13 +301,9 @@ def exhausted(histogram: dict[int, int], capacity: int, bins: int, steps: int) -
             if waste > spare or open_.dominated(f, waste):
                 continue
             open_.take(f)
-            rest = fill(bins - 1, spare - waste)
+            yield [longest, *f], spare - waste
             open_.put_back(f)
-            if rest is not None:
-                open_.put_back([longest])
-                return [[longest, *f], *rest]
         open_.put_back([longest])
-        return None
 
     def list_of(fillings: Iterator[list[int]]) -> list[list[int]]:
         nonlocal left
@@ -323,8 +315,20 @@ def exhausted(histogram: dict[int, int], capacity: int, bins: int, steps: int) -
             found.append(f)
         return sorted(found, key=sum, reverse=True)
 
-    found = fill(bins, bins * capacity - sum(x * n for x, n in histogram.items()))
-    return found, left > 0
+    spare = bins * capacity - sum(x * n for x, n in histogram.items())
+    path: list[list[int]] = []
+    todo: list[Iterator[tuple[list[int], int]]] = []  # not by recursion, as there may be thousands of sequences
+    while open_.pieces:
+        todo.append(around(spare) if len(path) < bins and left > 0 else iter(()))
+        while todo and (step := next(todo[-1], None)) is None:  # back over the sequences before
+            todo.pop()
+            if path:
+                path.pop()
+        if not todo:
+            return None, left > 0
+        path.append(step[0])
+        spare = step[1]
+    return path, left > 0
 
 
 def refilled(histogram: dict[int, int], capacity: int, order: random.Random) -> list[list[int]]:

@@ -163,6 +163,13 @@ def test_plans_are_whole_and_no_longer_than_best_fit():
         assert sum(t for _, t in plan) <= best_fit_decreasing(h)
 
 
+def test_exhaustive_search_of_many_sequences():
+    """More sequences than Python lets calls nest."""
+    found, whole = packing.exhausted({3000: 1500, 1000: 1500}, 4096, 1500, 300_000)
+    assert whole and sorted(map(sorted, found)) == [[1000, 3000]] * 1500
+    assert packing.exhausted({3000: 3, 1000: 3}, 4096, 2, 300_000) == (None, True)
+
+
 def fewest(lengths, capacity):
     """By trying all."""
     best = len(lengths)
