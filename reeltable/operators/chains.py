@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reeltable.functions.tables import Stored
+from reeltable.functions.tables import Stored, dealt
 from reeltable.operators.overlap import frame_starts
 
 SPREAD = 64  # intervals in a bucket
@@ -68,7 +68,7 @@ def jumps(ticks: DataFrame, interval: int, width: int) -> DataFrame:
             may = min(n, int(np.searchsorted(at[:n], b * width + interval)) + 1)
             yield pd.DataFrame({"_k": k, "_b": b, "entry": at[:may], "next": pd.array(ends[:may], dtype="Int64"), "steps": steps[:may]})
 
-    return rows.repartition("_k", "_b").sortWithinPartitions("_k", "_b", "at").mapInPandas(told, JUMPS)
+    return dealt(rows, "_k", "_b").sortWithinPartitions("_k", "_b", "at").mapInPandas(told, JUMPS)
 
 
 def first_ends(ticks: DataFrame, interval: int, width: int) -> Stored:
@@ -134,4 +134,4 @@ def with_interval_numbers(df: DataFrame, keys: Sequence[str], at: str, interval:
             yield pdf[out].assign(interval_no=numbers)
 
     # Only a key's first end can have no row of its own, where it begins at 0.
-    return joined.repartition("_k", "_b").sortWithinPartitions("_k", "_b", "_at", *order).mapInPandas(scan, schema)
+    return dealt(joined, "_k", "_b").sortWithinPartitions("_k", "_b", "_at", *order).mapInPandas(scan, schema)

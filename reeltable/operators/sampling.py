@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reeltable.functions.tables import dealt
+
 STREAM = ("stream_id",)
 
 
@@ -93,7 +95,7 @@ def needs_reclassify(df: DataFrame, interval: int = 1, keys: Sequence[str] = ("s
             yield pdf.assign(classify=flags)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", classify boolean"
-    scanned = keyed.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(scan, schema)
+    scanned = dealt(keyed, *keys).sortWithinPartitions(*keys, order).mapInPandas(scan, schema)
     return scanned.unionByName(df.where(~tracked).withColumn("classify", F.lit(True)))
 
 

@@ -32,6 +32,22 @@ def test_numbers_equal_one_pass(spark, interval, spread, span, from_zero):
     assert with_interval_numbers(df.limit(0), ["k"], "at", interval).collect() == []
 
 
+def test_numbers_where_joins_turn_to_broadcasts(spark):
+    """Joins that are planned by shuffle and turn to broadcasts at run time, as those of large tables with few buckets, leave a bucket's rows together."""
+    rnd = random.Random(5)
+    rows = [(rnd.choice("ab"), rnd.randrange(4_000), i) for i in range(3_000)]
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        found = with_interval_numbers(spark.createDataFrame(rows, "k string, at long, id int"), ["k"], "at", 7, ["id"], spread=4).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((tuple(r) for r in found), key=str) == one_pass(rows, 7, False)
+
+
 def test_chunks_of_blocks_of_all_sizes(spark):
     rnd = random.Random(1)
     blocks = [(s, b, [rnd.randrange(-9, 9)] * rnd.choice([0, 1, 500, 1_600, 9_000])) for s in (1, 2, None) for b in range(60)]
