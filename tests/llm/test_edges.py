@@ -115,6 +115,15 @@ def test_simhash_links_chains(spark):
     assert {p: got.get(p, p) for p in prints} == want
 
 
+def test_components_end_where_links_are_stars(spark):
+    """Two components of which one link each changes in the second round, before they are stars, and leaves the number of links and the sum of their hashes what they were."""
+    parts = [(0, 1, 252_699, 500_000, 500_001), (1_000_000, 1_000_001, 1_007_469, 1_500_000, 1_500_001)]
+    links = [(p[a], p[b]) for p in parts for a, b in ((2, 0), (3, 2), (4, 1), (4, 3))]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: p[0] for p in parts for x in p[1:]}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_near_duplicates_leave_one(spark):
     rows = [(9, LONG), (3, LONG + " tail"), (3, LONG + " tail"), (5, "quite another text here"), (None, LONG), (7, None)]
     got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
